@@ -45,7 +45,7 @@ def backtest(
     costs: Sequence[Costs] = (Costs(),),
     *,
     position: str = "session_no",
-    segment_rows: int = segments.SEGMENT_ROWS,
+    size: int | None = None,
 ) -> Backtest:
     """Act at the open when the target weight changes; start flat; all in or all out.
 
@@ -53,7 +53,7 @@ def backtest(
     by the cost-laden open, a sell multiplies with the cost-reduced open. The running product
     replaces a bar-by-bar loop. ``bars`` carries the calendar position of each bar.
     """
-    ledger = _ledger(bars, targets, costs, position, segment_rows)
+    ledger = _ledger(bars, targets, costs, position, size)
     long = F.col("target_weight") == 1
     traded = F.col("_traded")
     asset_value = F.col("quantity") * F.col("_close")
@@ -68,6 +68,7 @@ def backtest(
         .select(
             *RUN,
             "session",
+            position,
             F.col("session_close_at").alias("observed_at"),
             F.col("close"),
             "cash",
@@ -119,21 +120,22 @@ def backtest(
     return Backtest(points, trades, totals)
 
 
-def _ledger(bars, targets, costs, position: str, segment_rows: int) -> DataFrame:
+def _ledger(bars, targets, costs, position: str, size: int | None) -> DataFrame:
     wanted = targets.select(
         "asset_id",
         F.col("effective_at").alias("session_open_at"),
         F.col("weight").cast("double").alias("_weight"),
     )
-    matched = segments.cut(
-        bars.select(
-            "asset_id", "session", position, "session_open_at", "session_close_at", "open", "close"
-        ).join(wanted, ["asset_id", "session_open_at"], "left"),
-        position,
-        size=segment_rows,
-    )
+    matched = bars.select(
+        "asset_id", "session", position, "session_open_at", "session_close_at", "open", "close"
+    ).join(wanted, ["asset_id", "session_open_at"], "left")
     earlier = segments.running(
-        matched, ["asset_id"], position, {"_previous": ("last", F.col("_weight"))}, exclusive=True
+        matched,
+        ["asset_id"],
+        position,
+        {"_previous": ("last", F.col("_weight"))},
+        size,
+        exclusive=True,
     )
     settings = F.array(
         *[
@@ -165,7 +167,7 @@ def _ledger(bars, targets, costs, position: str, segment_rows: int) -> DataFrame
     priced = expanded.withColumns(
         {"_traded": traded, "_factor": F.when(traded, factor).otherwise(1.0)}
     )
-    grown = segments.running(priced, RUN, position, {"_growth": ("product", F.col("_factor"))})
+    grown = segments.running(priced, RUN, position, {"_growth": ("product", F.col("_factor"))}, size)
     return grown.withColumns(
         {
             "_capital": F.col("_cost.initial_cash") * F.col("_growth"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import segments
@@ -50,9 +50,11 @@ class MetricPolicy:
         return self.risk_free_rate
 
 
-def simple_returns(equity: DataFrame, keys: Sequence[str]) -> DataFrame:
+def simple_returns(
+    equity: DataFrame, keys: Sequence[str], *, size: int | None = None
+) -> DataFrame:
     """Adjacent simple returns; ``equity`` has keys, observed_on, position, equity."""
-    rows = _with_previous(equity, keys).filter(F.col("_previous").isNotNull())
+    rows = _with_previous(equity, keys, size).filter(F.col("_previous").isNotNull())
     return rows.select(
         *keys,
         "observed_on",
@@ -60,14 +62,16 @@ def simple_returns(equity: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def exact_returns(equity: DataFrame, keys: Sequence[str]) -> DataFrame:
+def exact_returns(
+    equity: DataFrame, keys: Sequence[str], *, size: int | None = None
+) -> DataFrame:
     """Adjacent returns as reduced integer ratios.
 
     ``equity`` is a decimal column. Both values share one scale, so the ratio of the unscaled
     integers is the exact return; Euclid's algorithm runs as a bounded fold over a short array
     (a 19-digit pair needs at most 90 steps).
     """
-    rows = _with_previous(equity, keys).filter(F.col("_previous").isNotNull())
+    rows = _with_previous(equity, keys, size).filter(F.col("_previous").isNotNull())
     unscaled = rows.select(
         *keys,
         "observed_on",
@@ -90,14 +94,17 @@ def exact_returns(equity: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def drawdown_points(equity: DataFrame, keys: Sequence[str]) -> DataFrame:
+def drawdown_points(
+    equity: DataFrame, keys: Sequence[str], *, size: int | None = None
+) -> DataFrame:
     """Each observation with its running peak and drawdown."""
     peaked = segments.running(
-        segments.cut(equity, "position"),
+        equity,
         keys,
         "position",
         {"running_peak": ("max", F.col("equity").cast("double"))},
-    ).drop(segments.SEGMENT)
+        size,
+    )
     return peaked.withColumn(
         "drawdown", F.col("equity").cast("double") / F.col("running_peak") - 1
     )
@@ -110,6 +117,7 @@ def metric_set(
     *,
     returns: DataFrame | None = None,
     version: int = 1,
+    size: int | None = None,
 ) -> DataFrame:
     """Five metrics per run, each a struct of status, value and reason.
 
@@ -118,22 +126,35 @@ def metric_set(
     """
     if version not in (1, 2):
         raise ValueError("metric set version must be 1 or 2")
-    points = drawdown_points(equity, keys)
+    points = drawdown_points(equity, keys, size=size)
     value = F.col("equity").cast("double")
-    shape = points.groupBy(*keys).agg(
+    if returns is None:
+        # Peak and previous value come from one pass over the same window partitions.
+        points = _with_previous(points, keys, size).withColumn(
+            "value", value / F.col("_previous").cast("double") - 1
+        )
+    shape = [
         F.count(F.lit(1)).alias("n_equity"),
         F.min_by(value, "observed_on").alias("first"),
         F.max_by(value, "observed_on").alias("last"),
         F.datediff(F.max("observed_on"), F.min("observed_on")).alias("days"),
         F.least(F.min("drawdown"), F.lit(0.0)).alias("worst"),
-    )
-    observed = simple_returns(equity, keys) if returns is None else returns
-    moments = observed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_returns"),
-        F.avg(F.col("value").cast("double")).alias("mean"),
-        F.var_pop(F.col("value").cast("double")).alias("variance"),
-    )
-    facts = shape.join(moments, list(keys), "full_outer").na.fill(0, ["n_equity", "n_returns"])
+    ]
+    observed = F.col("value").cast("double")
+    moments = [
+        F.count("value").alias("n_returns"),
+        F.avg(observed).alias("mean"),
+        F.var_pop(observed).alias("variance"),
+    ]
+    if returns is None:
+        facts = points.groupBy(*keys).agg(*shape, *moments)
+    else:
+        facts = (
+            points.groupBy(*keys)
+            .agg(*shape)
+            .join(returns.groupBy(*keys).agg(*moments), list(keys), "full_outer")
+            .na.fill(0, ["n_equity", "n_returns"])
+        )
     few_equity = F.col("n_equity") < 2
     degrees = F.col("n_returns") - policy.volatility_ddof
     volatility = F.sqrt(F.col("variance") * F.col("n_returns") / F.nullif(degrees, F.lit(0))) * (
@@ -181,16 +202,17 @@ def long_form(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def metric_input_violations(
-    equity: DataFrame, returns: DataFrame | None, keys: Sequence[str]
+    equity: DataFrame,
+    returns: DataFrame | None,
+    keys: Sequence[str],
+    *,
+    size: int | None = None,
 ) -> DataFrame:
     """Contract of the metric input: positive start, zero only at the end, exact returns.
 
     Equity and returns are decimals; the reconciliation multiplies instead of dividing.
     """
-    last = Window.partitionBy(*keys)
-    flagged = _with_previous(equity, keys).withColumn(
-        "_terminal", F.col("observed_on") == F.max("observed_on").over(last)
-    )
+    flagged = _with_terminal(_with_previous(equity, keys, size), keys)
     first = flagged.filter(F.col("_previous").isNull() & (F.col("equity") <= 0))
     zero = flagged.filter((F.col("equity") <= 0) & ~F.col("_terminal"))
     found = _rule(first, keys, "non_positive_start").unionByName(
@@ -211,9 +233,7 @@ def metric_input_violations(
         .join(returns.select(*keys, "observed_on", "value"), [*keys, "observed_on"], "full_outer")
     )
     exact = F.col("value") * F.col("_previous") == F.col("_now") - F.col("_previous")
-    whole_loss = returns.withColumn(
-        "_terminal", F.col("observed_on") == F.max("observed_on").over(last)
-    ).filter((F.col("value") < -1) | ((F.col("value") == -1) & ~F.col("_terminal")))
+    whole_loss = _with_terminal(returns, keys).filter((F.col("value") < -1) | ((F.col("value") == -1) & ~F.col("_terminal")))
     return (
         found.unionByName(_rule(pairs.filter(F.col("value").isNull()), keys, "return_missing"))
         .unionByName(_rule(pairs.filter(F.col("_now").isNull()), keys, "return_without_transition"))
@@ -222,12 +242,19 @@ def metric_input_violations(
     )
 
 
-def _with_previous(equity: DataFrame, keys: Sequence[str]) -> DataFrame:
-    framed = segments.cut_with_halo(equity, "position", halo=1)
-    spec = segments.segment_window(keys, "position")
+def _with_previous(equity: DataFrame, keys: Sequence[str], size: int | None) -> DataFrame:
+    framed = segments.cut_with_halo(equity, "position", 1, size)
+    spec = segments.series_window(keys, "position", size)
     return segments.drop_halo(
-        framed.withColumn("_previous", F.lag("equity").over(spec)), "position"
-    ).drop(segments.SEGMENT)
+        framed.withColumn("_previous", F.lag("equity").over(spec)), "position", size
+    )
+
+
+def _with_terminal(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    last = rows.groupBy(*keys).agg(F.max("observed_on").alias("_last"))
+    return rows.join(last, list(keys)).withColumn(
+        "_terminal", F.col("observed_on") == F.col("_last")
+    )
 
 
 def _metric(value: Column, undefined: Sequence[tuple[Column, str]]) -> Column:

@@ -22,6 +22,7 @@ def with_wilder_rsi(
     period: int,
     *,
     name: str = "rsi",
+    size: int | None = None,
 ) -> DataFrame:
     """Add Wilder's RSI; ``position`` numbers the rows of each series from zero without gaps.
 
@@ -34,8 +35,8 @@ def with_wilder_rsi(
     require_positive("period", period)
     ratio = (period - 1) / period
     block = BLOCK_ROWS
-    spec = segments.segment_window(keys, position)
-    framed = segments.cut_with_halo(df, position, halo=period, size=block)
+    spec = segments.series_window(keys, position, block)
+    framed = segments.cut_with_halo(df, position, period, block)
     changes = framed.withColumn("_change", F.col(column) - F.lag(column).over(spec))
     seed = spec.rowsBetween(-(period - 1), 0)
     place = F.col(position) % block
@@ -48,11 +49,10 @@ def with_wilder_rsi(
             .otherwise(0.0)
         )
 
-    pulses = segments.drop_halo(
-        changes.withColumns({"_gain": impulse(F.col("_change")), "_loss": impulse(-F.col("_change"))}),
-        position,
-        size=block,
-    )
+    own = F.floor(F.col(position) / block) == F.col(segments.SEGMENT)
+    pulses = changes.withColumns(
+        {"_gain": impulse(F.col("_change")), "_loss": impulse(-F.col("_change"))}
+    ).filter(own)
     if ratio == 0:
         averaged = pulses.withColumns({"_avg_gain": F.col("_gain"), "_avg_loss": F.col("_loss")})
     else:
@@ -73,7 +73,11 @@ def with_wilder_rsi(
             (F.col(position) >= period) & both_zero, 50.0
         ).otherwise(value)
     filled = segments.running(
-        averaged.withColumn("_rsi", value), keys, position, {name: ("last", F.col("_rsi"))}
+        averaged.drop(segments.SEGMENT).withColumn("_rsi", value),
+        keys,
+        position,
+        {name: ("last", F.col("_rsi"))},
+        size,
     )
     return filled.select(*df.columns, name)
 
@@ -102,11 +106,14 @@ def _averages(pulses: DataFrame, keys, position: str, ratio: float, place) -> Da
             for side in weighted
         ],
     )
-    rows = segments.segment_window(keys, position).rowsBetween(
+    rows = segments.series_window(keys, position, block).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     local = pulses.withColumns(
-        {f"_local_{side}": F.sum(w).over(rows) * F.pow(F.lit(ratio), place) for side, w in weighted.items()}
+        {
+            f"_local_{side}": F.sum(w).over(rows) * F.pow(F.lit(ratio), place)
+            for side, w in weighted.items()
+        }
     )
     return local.join(carries, [*keys, segments.SEGMENT], "left").withColumns(
         {

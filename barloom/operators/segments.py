@@ -1,11 +1,16 @@
-"""Windows over long series without putting a whole series into one task.
-
-A series is cut into segments of ``size`` consecutive positions. Bounded frames (moving
-averages, channels, lags) get the rows they need from the segment before as halo copies, so
-one shuffle on (series, segment) is enough and no task ever holds more than
-``size + halo`` rows of a series. Unbounded running values (peak, latch, product, sum) are
-computed inside a segment and completed with a carry taken from the segment totals, of which
-there are only ``rows / size`` per series.
+"""Windows over series of any length.
+
+Series that passed the calendar cover check hold one row per session, so the calendar size is
+a proven bound for every per-series window partition. :func:`layout_for` checks it once: up to
+``WINDOW_BOUND`` sessions a series is one window partition. Beyond that the same operators cut
+each series into segments of ``size`` consecutive positions:
+
+* bounded frames (means, channels, lags) get the rows they need from the segment before as
+  halo copies, so no task holds more than ``size + halo`` rows of a series;
+* unbounded running values (peak, latch, product, sum) are computed inside a segment and
+  completed with a carry from the segment totals, of which there are ``rows / size``.
+
+Both layouts give the same result; the tests compare them.
 """
 
 from __future__ import annotations
@@ -16,7 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SEGMENT = "_segment"
-SEGMENT_ROWS = 1024
+SEGMENT_ROWS = 4096
+WINDOW_BOUND = 50_000
 
 _COMBINE = {
     "max": F.max,
@@ -26,27 +32,37 @@ _COMBINE = {
 }
 
 
-def cut(df: DataFrame, position: str, *, size: int = SEGMENT_ROWS) -> DataFrame:
+def layout_for(sessions: DataFrame) -> int | None:
+    """Segment size for series on this calendar, or None if whole series fit a window."""
+    return None if sessions.count() <= WINDOW_BOUND else SEGMENT_ROWS
+
+
+def cut(df: DataFrame, position: str, size: int | None) -> DataFrame:
     """Label each row with the segment its position falls into."""
+    if size is None:
+        return df
     return df.withColumn(SEGMENT, F.floor(F.col(position) / size).cast("long"))
 
 
-def cut_with_halo(
-    df: DataFrame, position: str, *, halo: int, size: int = SEGMENT_ROWS
-) -> DataFrame:
+def cut_with_halo(df: DataFrame, position: str, halo: int, size: int | None) -> DataFrame:
     """Like :func:`cut`, and copy the last ``halo`` positions of a segment into the next ones."""
+    if size is None:
+        return df
     first = F.floor(F.col(position) / size).cast("long")
     last = F.floor((F.col(position) + halo) / size).cast("long")
     return df.withColumn(SEGMENT, F.explode(F.sequence(first, last)))
 
 
-def drop_halo(df: DataFrame, position: str, *, size: int = SEGMENT_ROWS) -> DataFrame:
-    """Keep each row in its own segment only."""
-    return df.filter(F.floor(F.col(position) / size) == F.col(SEGMENT))
+def drop_halo(df: DataFrame, position: str, size: int | None) -> DataFrame:
+    """Keep each row in its own segment only, and drop the segment label."""
+    if size is None:
+        return df
+    return df.filter(F.floor(F.col(position) / size) == F.col(SEGMENT)).drop(SEGMENT)
 
 
-def segment_window(keys: Sequence[str], position: str) -> WindowSpec:
-    return Window.partitionBy(*keys, SEGMENT).orderBy(position)
+def series_window(keys: Sequence[str], position: str, size: int | None) -> WindowSpec:
+    parts = list(keys) if size is None else [*keys, SEGMENT]
+    return Window.partitionBy(*parts).orderBy(position)
 
 
 def running(
@@ -54,30 +70,45 @@ def running(
     keys: Sequence[str],
     position: str,
     specs: Mapping[str, tuple[str, Column]],
+    size: int | None,
     *,
     exclusive: bool = False,
 ) -> DataFrame:
-    """Add unbounded running values; ``df`` must carry a segment label without halo rows.
+    """Add unbounded running values per series.
 
     ``specs`` maps an output name to (kind, value) with kind one of max, sum, product, last.
     ``exclusive`` stops each frame at the row before.
     """
-    rows = segment_window(keys, position).rowsBetween(
-        Window.unboundedPreceding, -1 if exclusive else Window.currentRow
-    )
-    before = (
-        Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    frame = (Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
+    if size is None:
+        rows = series_window(keys, position, None).rowsBetween(*frame)
+        return df.withColumns(
+            {name: _COMBINE[kind](value).over(rows) for name, (kind, value) in specs.items()}
+        )
+    return running_in_parts(cut(df, position, size), keys, SEGMENT, position, specs, frame).drop(
+        SEGMENT
     )
-    inputs = df.select(
-        "*", *[value.alias(f"_in_{name}") for name, (_, value) in specs.items()]
-    )
-    totals = inputs.groupBy(*keys, SEGMENT).agg(
-        *[_total(kind, f"_in_{name}", position).alias(f"_total_{name}")
+
+
+def running_in_parts(
+    df: DataFrame,
+    keys: Sequence[str],
+    part: str,
+    order: str,
+    specs: Mapping[str, tuple[str, Column]],
+    frame=(Window.unboundedPreceding, Window.currentRow),
+) -> DataFrame:
+    """Running values over rows already labelled with consecutive parts of bounded size."""
+    rows = Window.partitionBy(*keys, part).orderBy(order).rowsBetween(*frame)
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    inputs = df.select("*", *[v.alias(f"_in_{name}") for name, (_, v) in specs.items()])
+    totals = inputs.groupBy(*keys, part).agg(
+        *[_total(kind, f"_in_{name}", order).alias(f"_total_{name}")
           for name, (kind, _) in specs.items()]
     )
     carries = totals.select(
         *keys,
-        SEGMENT,
+        part,
         *[_COMBINE[kind](F.col(f"_total_{name}")).over(before).alias(f"_carry_{name}")
           for name, (kind, _) in specs.items()],
     )
@@ -86,33 +117,44 @@ def running(
         *[_COMBINE[kind](F.col(f"_in_{name}")).over(rows).alias(f"_local_{name}")
           for name, (kind, _) in specs.items()],
     )
-    joined = local.join(carries, [*keys, SEGMENT], "left")
-    return joined.select(
-        *df.columns,
+    return local.join(carries, [*keys, part], "left").select(
+        *[c for c in df.columns if c not in specs],
         *[_join_parts(kind, F.col(f"_carry_{name}"), F.col(f"_local_{name}")).alias(name)
           for name, (kind, _) in specs.items()],
     )
 
 
+def any_in_series(
+    df: DataFrame, keys: Sequence[str], condition: Column, name: str, size: int | None
+) -> DataFrame:
+    """Flag every row of a series in which ``condition`` holds somewhere."""
+    if size is None:
+        return df.withColumn(
+            name, F.coalesce(F.max(condition).over(Window.partitionBy(*keys)), F.lit(False))
+        )
+    hit = df.filter(condition).select(*keys).distinct().withColumn(name, F.lit(True))
+    return df.join(hit, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def positions(
-    df: DataFrame, keys: Sequence[str], day: str, *, name: str = "position", days: int = 1024
+    df: DataFrame, keys: Sequence[str], day: str, *, name: str = "position", days: int = 4096
 ) -> DataFrame:
-    """Number the rows of each series from zero in date order.
+    """Number the rows of each series from zero in date order, where no calendar does.
 
-    Needed where no calendar gives the position. Dates are cut into spans of ``days`` days,
-    rows are numbered inside a span and shifted by the counts of the spans before.
+    Dates are cut into spans of ``days`` days, rows are numbered inside a span and shifted by
+    the counts of the spans before. With one row per date a span never exceeds ``days`` rows.
     """
     span = F.floor(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")) / days).cast("long")
-    numbered = running(
-        df.withColumn(SEGMENT, span), keys, day, {name: ("sum", F.lit(1).cast("long"))}
+    numbered = running_in_parts(
+        df.withColumn("_span", span), keys, "_span", day, {name: ("sum", F.lit(1).cast("long"))}
     )
-    return numbered.withColumn(name, F.col(name) - 1).drop(SEGMENT)
+    return numbered.withColumn(name, F.col(name) - 1).drop("_span")
 
 
-def _total(kind: str, column: str, position: str) -> Column:
+def _total(kind: str, column: str, order: str) -> Column:
     value = F.col(column)
     if kind == "last":
-        return F.max_by(value, F.when(value.isNotNull(), F.col(position)))
+        return F.max_by(value, F.when(value.isNotNull(), F.col(order)))
     return _COMBINE[kind](value)
 
 

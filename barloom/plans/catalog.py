@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import features
 from barloom.operators import segments
-from barloom.operators.alignment import align
+from barloom.operators.alignment import cover
 from barloom.operators.backtest import Costs, backtest
 from barloom.operators.metrics import (
     MetricPolicy,
@@ -41,50 +41,57 @@ def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _framed(spark, sf_dir, halo):
-    bars, sessions = market(spark, sf_dir)
-    aligned = align(bars, sessions)
-    return segments.cut_with_halo(aligned, "session_no", halo=halo), segments.segment_window(
-        KEY, "session_no"
+def _covered(spark, sf_dir):
+    return cover(*market(spark, sf_dir))
+
+
+def _features(spark, sf_dir, halo, add):
+    """Features over framed windows of the covered series."""
+    a = _covered(spark, sf_dir)
+    framed = segments.cut_with_halo(a.bars, "session_no", halo, a.size)
+    return segments.drop_halo(
+        add(framed, segments.series_window(KEY, "session_no", a.size)), "session_no", a.size
     )
 
 
 @query
 def sma_200(spark: SparkSession, sf_dir: str) -> DataFrame:
-    framed, spec = _framed(spark, sf_dir, 199)
-    out = segments.drop_halo(
-        features.with_sma(framed, {"sma": ("close", 200)}, spec), "session_no"
+    out = _features(
+        spark, sf_dir, 199, lambda df, w: features.with_sma(df, {"sma": ("close", 200)}, w)
     )
     return publish(out.select("asset_id", "session", "close", "sma"))
 
 
 @query
 def donchian_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    framed, spec = _framed(spark, sf_dir, 55)
-    out = framed.withColumns(
-        {
-            "upper": features.prior_max("high", 55, spec),
-            "lower": features.prior_min("low", 20, spec),
-        }
-    )
+    def add(df, w):
+        return df.withColumns(
+            {
+                "upper": features.prior_max("high", 55, w),
+                "lower": features.prior_min("low", 20, w),
+            }
+        )
+
     return publish(
-        segments.drop_halo(out, "session_no").select("asset_id", "session", "upper", "lower")
+        _features(spark, sf_dir, 55, add).select("asset_id", "session", "upper", "lower")
     )
 
 
 @query
 def trailing_return_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    framed, spec = _framed(spark, sf_dir, 12)
-    out = framed.withColumn("momentum", features.trailing_return("close", 12, spec))
-    return publish(
-        segments.drop_halo(out, "session_no").select("asset_id", "session", "momentum"), momentum=8
+    out = _features(
+        spark,
+        sf_dir,
+        12,
+        lambda df, w: df.withColumn("momentum", features.trailing_return("close", 12, w)),
     )
+    return publish(out.select("asset_id", "session", "momentum"), momentum=8)
 
 
 @query
 def running_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars, sessions = market(spark, sf_dir)
-    points = drawdown_points(_as_equity(align(bars, sessions)), KEY)
+    a = _covered(spark, sf_dir)
+    points = drawdown_points(_as_equity(a.bars), KEY, size=a.size)
     return publish(
         points.select("asset_id", "observed_on", "running_peak", "drawdown"), drawdown=8
     )
@@ -101,8 +108,8 @@ def wilder_rsi_14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rsi(spark, sf_dir, period):
-    bars, sessions = market(spark, sf_dir)
-    out = with_wilder_rsi(align(bars, sessions), KEY, "session_no", "close", period)
+    a = _covered(spark, sf_dir)
+    out = with_wilder_rsi(a.bars, KEY, "session_no", "close", period, size=a.size)
     return publish(out.select("asset_id", "session", "rsi"))
 
 
@@ -127,30 +134,31 @@ def targets_s2(spark: SparkSession, sf_dir: str) -> DataFrame:
 COSTS = (Costs("free", 10_300), Costs("costly", 10_300, 10, 5))
 
 
-def _run(spark, sf_dir, costs=COSTS):
+def _run(spark, sf_dir, window=200):
     bars, sessions = market(spark, sf_dir)
-    targets = strategies.sma_targets(bars, sessions, window=200).clean()
-    return backtest(align(bars, sessions), targets, costs)
+    a = cover(bars, sessions)
+    targets = strategies.sma_targets(bars, sessions, window=window).clean()
+    return backtest(a.bars, targets, COSTS, size=a.size), a.size
 
 
 @query
 def backtest_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _run(spark, sf_dir).points
-    return publish(points, cash=2, equity=2, quantity=7)
+    points = _run(spark, sf_dir)[0].points.drop("session_no")
+    return publish(points, significant=("cash", "equity", "quantity"))
 
 
 @query
 def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trades = _run(spark, sf_dir).trades
+    trades = _run(spark, sf_dir)[0].trades
     return publish(
-        trades, execution_price=4, quantity=7, commission=4, slippage_cost=4
+        trades, significant=("quantity", "commission", "slippage_cost"), execution_price=7
     )
 
 
 @query
 def backtest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = _run(spark, sf_dir).totals
-    return publish(totals, final_equity=2, total_commission=2, total_slippage=2)
+    totals = _run(spark, sf_dir)[0].totals
+    return publish(totals, significant=("final_equity", "total_commission", "total_slippage"))
 
 
 POLICY = MetricPolicy(252, 365, 1, 0.02, "annual_effective")
@@ -167,20 +175,15 @@ def _as_equity(aligned: DataFrame, value: str = "close") -> DataFrame:
 
 @query
 def metrics_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars, sessions = market(spark, sf_dir)
-    scored = metric_set(_as_equity(align(bars, sessions)), KEY, POLICY)
-    return publish(long_form(scored, KEY))
+    a = _covered(spark, sf_dir)
+    scored = metric_set(_as_equity(a.bars), KEY, POLICY, size=a.size)
+    return publish(long_form(scored, KEY), significant=("value",))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: bars -> SMA targets -> costed backtest -> five metrics per run."""
-    bars, sessions = market(spark, sf_dir)
-    targets = strategies.sma_targets(bars, sessions, window=50).clean()
-    aligned = align(bars, sessions)
-    points = backtest(aligned, targets, COSTS).points
-    equity = points.join(
-        aligned.select("asset_id", "session", "session_no"), ["asset_id", "session"]
-    ).select(
+    result, size = _run(spark, sf_dir, window=50)
+    equity = result.points.select(
         "asset_id",
         "run_id",
         F.col("session").alias("observed_on"),
@@ -188,7 +191,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
         "equity",
     )
     keys = ["asset_id", "run_id"]
-    return publish(long_form(metric_set(equity, keys, POLICY), keys))
+    scored = metric_set(equity, keys, POLICY, size=size)
+    return publish(long_form(scored, keys), significant=("value",))
 
 
 @query

@@ -7,7 +7,7 @@ ORACLES: dict[str, str] = {}
 LINES = """
 lines AS (
   SELECT l_returnflag AS asset_id, CAST(l_shipdate AS DATE) AS session,
-         l_orderkey * 10 + l_linenumber AS line,
+         l_orderkey AS line,
          CAST(l_extendedprice AS DECIMAL(18,6)) AS px, CAST(l_quantity AS DECIMAL(18,6)) AS qty
   FROM lineitem
 ),
@@ -49,6 +49,11 @@ def num(expr: str, digits: int = 6) -> str:
     return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0"
 
 
+def sig(expr: str) -> str:
+    """Nine significant digits."""
+    return f"CAST(printf('%.8e', CAST({expr} AS DOUBLE)) AS DOUBLE)"
+
+
 def oracle(name: str, sql: str) -> None:
     ORACLES[name] = sql.strip()
 
@@ -202,15 +207,15 @@ trades AS (
 oracle("backtest_equity", f"""
 WITH {BARS}, {backtest_cte()}
 SELECT asset_id, run_id, {day('session')} AS session, {day('session')} || ' 21:00:00' AS observed_at,
-       {num('k')} AS close, {num('cash', 2)} AS cash, {num('quantity', 7)} AS quantity, {num('equity', 2)} AS equity,
+       {num('k')} AS close, {sig('cash')} AS cash, {sig('quantity')} AS quantity, {sig('equity')} AS equity,
        CAST(w AS BIGINT) AS target_weight, {num('CASE WHEN w = 1 THEN 1.0 ELSE 0.0 END')} AS actual_weight
 FROM points""")
 
 oracle("backtest_trades", f"""
 WITH {BARS}, {backtest_cte()}
 SELECT asset_id, run_id, {day('session')} AS session, CASE WHEN w = 1 THEN 'buy' ELSE 'sell' END AS side,
-       {opens('session')} AS executed_at, {num('o')} AS reference_price, {num('ex', 4)} AS execution_price,
-       {num('q', 7)} AS quantity, {num('commission', 4)} AS commission, {num('q * abs(ex - o)', 4)} AS slippage_cost
+       {opens('session')} AS executed_at, {num('o')} AS reference_price, {num('ex', 7)} AS execution_price,
+       {sig('q')} AS quantity, {sig('commission')} AS commission, {sig('q * abs(ex - o)')} AS slippage_cost
 FROM trades""")
 
 oracle("backtest_totals", f"""
@@ -218,9 +223,9 @@ WITH {BARS}, {backtest_cte()},
 spent AS (
   SELECT asset_id, run_id, count(*) AS n, sum(commission) AS c, sum(q * abs(ex - o)) AS s FROM trades GROUP BY ALL
 )
-SELECT p.asset_id, p.run_id, {num('arg_max(equity, session)', 2)} AS final_equity, count(*) AS point_count,
-       coalesce(any_value(t.n), 0) AS trade_count, {num('coalesce(any_value(t.c), 0)', 2)} AS total_commission,
-       {num('coalesce(any_value(t.s), 0)', 2)} AS total_slippage
+SELECT p.asset_id, p.run_id, {sig('arg_max(equity, session)')} AS final_equity, count(*) AS point_count,
+       coalesce(any_value(t.n), 0) AS trade_count, {sig('coalesce(any_value(t.c), 0)')} AS total_commission,
+       {sig('coalesce(any_value(t.s), 0)')} AS total_slippage
 FROM points p LEFT JOIN spent t ON t.asset_id = p.asset_id AND t.run_id = p.run_id
 GROUP BY p.asset_id, p.run_id""")
 
@@ -250,7 +255,7 @@ graded AS (
   UNION ALL SELECT {keys}, 'max_drawdown', NULL, worst FROM vols
 )
 SELECT {keys}, metric, CASE WHEN reason IS NULL THEN 'valid' ELSE 'undefined' END AS status,
-       CASE WHEN reason IS NULL THEN {num('value')} END AS value, reason
+       CASE WHEN reason IS NULL THEN {sig('value')} END AS value, reason
 FROM graded"""
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def publish(df: DataFrame, **digits: int) -> DataFrame:
+def publish(df: DataFrame, significant: tuple[str, ...] = (), **digits: int) -> DataFrame:
     """Dates and instants as text, integers as bigint, decimals and doubles rounded.
 
-    ``digits`` overrides the six decimal places per column.
+    ``digits`` overrides the six decimal places per column; ``significant`` columns keep nine
+    significant digits instead, for values that span many magnitudes.
     """
     columns = []
     for field in df.schema.fields:
@@ -22,6 +23,8 @@ def publish(df: DataFrame, **digits: int) -> DataFrame:
             value = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)):
             value = value.cast("bigint")
+        elif field.name in significant:
+            value = F.format_string("%.8e", value.cast("double")).cast("double")
         elif isinstance(kind, (T.DecimalType, T.DoubleType, T.FloatType)):
             # Adding zero turns a negative zero into a plain one.
             value = F.round(value.cast("double"), digits.get(field.name, 6)) + F.lit(0.0)

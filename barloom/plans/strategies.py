@@ -9,14 +9,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import calendar, features
 from barloom.operators import segments
-from barloom.operators.alignment import align, cover_violations
+from barloom.operators.alignment import cover
+from barloom.operators.resample import period_violations
 from barloom.operators.rsi import with_wilder_rsi
 
+KEY = ["asset_id"]
+POSITION = "session_no"
+
 
 class ContractViolation(ValueError):
     """Raised by the fail-closed forms when violation rows exist."""
@@ -31,79 +35,70 @@ def assert_clean(violations: DataFrame) -> None:
 
 @dataclass(frozen=True)
 class Targets:
-    """Candidate targets, and the violations that withhold a whole series."""
+    """Candidate targets flagged per series, and the violations behind the flags."""
 
-    candidates: DataFrame
+    flagged: DataFrame
     violations: DataFrame
 
     def clean(self) -> DataFrame:
         """Targets of the series without any violation."""
-        broken = self.violations.select("asset_id").distinct()
-        return self.candidates.join(broken, "asset_id", "left_anti")
+        return self.flagged.filter(~F.col("withheld")).drop("withheld")
 
     def require(self) -> DataFrame:
         """All targets, or an error if any series broke a contract."""
         assert_clean(self.violations)
-        return self.candidates
+        return self.clean()
 
 
-def sma_targets(
-    bars: DataFrame, sessions: DataFrame, *, window: int, segment_rows: int = segments.SEGMENT_ROWS
-) -> Targets:
+def sma_targets(bars: DataFrame, sessions: DataFrame, *, window: int) -> Targets:
     """Long after a close strictly above its trailing mean; flat otherwise.
 
     The bars must cover the calendar exactly. The last bar has no next session and emits
     nothing. The comparison is ``close * n > sum`` in decimals, so ties never trigger.
     """
     features.require_positive("window", window)
-    aligned = align(bars, sessions)
-    cover = cover_violations(aligned, exact=True)
-    spec = segments.segment_window(["asset_id"], "session_no")
-    framed = _cut(aligned, window - 1, segment_rows)
+    aligned = cover(bars, sessions, exact=True)
+    spec = segments.series_window(KEY, POSITION, aligned.size)
+    framed = segments.cut_with_halo(aligned.bars, POSITION, window - 1, aligned.size)
     scored = features.with_rolling_sums(framed, {"_sum": ("close", window)}, spec).withColumn(
         "decision_at", features.trailing_watermark("available_at", window, spec)
     )
-    rows = segments.drop_halo(scored, "session_no", size=segment_rows).filter(
+    rows = segments.drop_halo(scored, POSITION, aligned.size).filter(
         F.col("_sum").isNotNull() & F.col("next_open_at").isNotNull()
     )
-    return _targets(rows, F.col("close") * window > F.col("_sum"), cover)
+    is_long = F.col("close") * window > F.col("_sum")
+    return _targets(rows, is_long, aligned.violations, aligned.size)
 
 
 def donchian_targets(
-    bars: DataFrame,
-    sessions: DataFrame,
-    *,
-    pairs: Sequence[tuple[int, int]] = ((55, 20),),
-    segment_rows: int = segments.SEGMENT_ROWS,
+    bars: DataFrame, sessions: DataFrame, *, pairs: Sequence[tuple[int, int]] = ((55, 20),)
 ) -> Targets:
     """Channel breakout: in above the prior high of n rows, out below the prior low of m rows.
 
     ``pairs`` is a grid of (entry, exit) windows evaluated in one pass. Entry and exit cannot
     both hold on one bar (high >= low), so "last event wins" equals the stateful rule.
     """
-    entry_max = max(entry for entry, _ in pairs)
     if any(exit_ > entry for entry, exit_ in pairs):
         raise ValueError("the exit window must not be longer than the entry window")
-    aligned = align(bars, sessions)
-    spec = segments.segment_window(["asset_id"], "session_no")
-    framed = _cut(aligned, entry_max, segment_rows)
+    aligned = cover(bars, sessions)
+    spec = segments.series_window(KEY, POSITION, aligned.size)
+    halo = max(entry for entry, _ in pairs)
+    framed = segments.cut_with_halo(aligned.bars, POSITION, halo, aligned.size)
     channels = {f"_high_{n}": features.prior_max("high", n, spec) for n, _ in pairs} | {
         f"_low_{m}": features.prior_min("low", m, spec) for _, m in pairs
     }
-    rows = segments.drop_halo(framed.withColumns(channels), "session_no", size=segment_rows)
-    grid = F.array(
-        *[
-            F.struct(
-                F.lit(f"{n}/{m}").alias("params"),
-                F.lit(n).alias("warmup"),
-                F.when(F.col("close") > F.col(f"_high_{n}"), 1)
-                .when(F.col("close") < F.col(f"_low_{m}"), 0)
-                .alias("event"),
-            )
-            for n, m in pairs
-        ]
-    )
-    return _stateful(rows, grid, aligned, segment_rows)
+    rows = segments.drop_halo(framed.withColumns(channels), POSITION, aligned.size)
+    grid = [
+        (
+            f"{n}/{m}",
+            n,
+            F.when(F.col("close") > F.col(f"_high_{n}"), 1).when(
+                (F.col("close") < F.col(f"_low_{m}")) & F.col(f"_high_{n}").isNotNull(), 0
+            ),
+        )
+        for n, m in pairs
+    ]
+    return _stateful(rows, grid, aligned)
 
 
 def rsi_pullback_targets(
@@ -112,7 +107,6 @@ def rsi_pullback_targets(
     *,
     period: int = 2,
     grid: Sequence[tuple[float, float, int]] = ((10, 70, 200),),
-    segment_rows: int = segments.SEGMENT_ROWS,
 ) -> Targets:
     """Buy weakness in an uptrend: in at rsi < entry with close > SMA, out at rsi > exit.
 
@@ -124,33 +118,24 @@ def rsi_pullback_targets(
     trends = sorted({n for _, _, n in grid})
     if min(trends) <= period:
         raise ValueError("the trend window must be longer than the RSI period")
-    aligned = align(bars, sessions)
-    rsi = with_wilder_rsi(
-        aligned.filter(F.col("session_no").isNotNull()), ["asset_id"], "session_no", "close", period
-    )
-    spec = segments.segment_window(["asset_id"], "session_no")
-    framed = segments.cut_with_halo(rsi, "session_no", halo=max(trends) - 1, size=segment_rows)
+    aligned = cover(bars, sessions)
+    rsi = with_wilder_rsi(aligned.bars, KEY, POSITION, "close", period, size=aligned.size)
+    spec = segments.series_window(KEY, POSITION, aligned.size)
+    framed = segments.cut_with_halo(rsi, POSITION, max(trends) - 1, aligned.size)
     summed = features.with_rolling_sums(framed, {f"_sum_{n}": ("close", n) for n in trends}, spec)
-    rows = segments.drop_halo(summed, "session_no", size=segment_rows)
+    rows = segments.drop_halo(summed, POSITION, aligned.size)
     strength = F.round("rsi", 9)
-    options = F.array(
-        *[
-            F.struct(
-                F.lit(f"{entry:g}/{exit_:g}/{n}").alias("params"),
-                F.lit(n - 1).alias("warmup"),
-                F.when(
-                    (F.col("session_no") >= n - 1)
-                    & (strength < entry)
-                    & (F.col("close") * n > F.col(f"_sum_{n}")),
-                    1,
-                )
-                .when((F.col("session_no") >= n - 1) & (strength > exit_), 0)
-                .alias("event"),
-            )
-            for entry, exit_, n in grid
-        ]
-    )
-    return _stateful(rows, options, aligned, segment_rows)
+    options = [
+        (
+            f"{entry:g}/{exit_:g}/{n}",
+            n - 1,
+            F.when(F.col(f"_sum_{n}").isNull(), None)
+            .when((strength < entry) & (F.col("close") * n > F.col(f"_sum_{n}")), 1)
+            .when(strength > exit_, 0),
+        )
+        for entry, exit_, n in grid
+    ]
+    return _stateful(rows, options, aligned)
 
 
 def dual_ma_targets(
@@ -189,96 +174,83 @@ def _period_targets(
     warmup: int,
     is_long: Column,
 ) -> Targets:
-    from pyspark.sql import Window
-
-    from barloom.operators.resample import period_violations
-
-    # A period series has at most 53 rows a year, so one window partition per series is small.
+    found = period_violations(period_bars, sessions, frequency)
+    kept = period_bars.join(found.select("asset_id").distinct(), "asset_id", "left_anti")
+    # Consecutive periods of a series: at most 53 rows a year, so one window partition each.
     spec = Window.partitionBy("asset_id").orderBy("period_start")
-    scored = features.with_rolling_sums(period_bars, sums, spec).withColumns(
+    scored = features.with_rolling_sums(kept, sums, spec).withColumns(
         {
             "decision_at": features.trailing_watermark("available_at", warmup, spec),
             "_index": F.row_number().over(spec) - 1,
         }
     )
     following = calendar.number_sessions(sessions).select(
-        F.col("session").alias("last_session"), "next_session", "next_open_at"
+        F.col("session").alias("last_session"), "next_open_at"
     )
     rows = (
         scored.filter(F.col("_index") >= warmup - 1)
+        .withColumnRenamed("period_end", "_period_end")
         .join(following, "last_session", "left")
         .withColumn("session", F.col("last_session"))
     )
-    broken = period_violations(period_bars, sessions, frequency).unionByName(
-        _missing_next_session(rows)
+    return _targets(rows, is_long, found, None)
+
+
+def _stateful(rows: DataFrame, grid, aligned) -> Targets:
+    options = F.array(
+        *[
+            F.struct(
+                F.lit(params).alias("params"),
+                F.lit(warmup).alias("warmup"),
+                event.cast("int").alias("event"),
+            )
+            for params, warmup, event in grid
+        ]
+    )
+    expanded = rows.select(
+        "asset_id", "session", POSITION, "available_at", "next_open_at", F.inline(options)
     )
-    return _targets(rows.filter(F.col("next_open_at").isNotNull()), is_long, broken)
-
-
-def _cut(aligned: DataFrame, halo: int, size: int) -> DataFrame:
-    known = aligned.filter(F.col("session_no").isNotNull())
-    return segments.cut_with_halo(known, "session_no", halo=halo, size=size)
-
-
-def _stateful(rows: DataFrame, grid: Column, aligned: DataFrame, size: int) -> Targets:
-    expanded = segments.cut(
-        rows.select(
-            "asset_id",
-            "session",
-            "session_no",
-            "available_at",
-            "next_open_at",
-            F.explode(grid).alias("_p"),
-        ).select("*", "_p.params", "_p.warmup", "_p.event"),
-        "session_no",
-        size=size,
-    ).drop("_p")
     state = segments.running(
         expanded,
         ["asset_id", "params"],
-        "session_no",
+        POSITION,
         {
             "_latch": ("last", F.col("event")),
             "decision_at": ("max", F.col("available_at")),
         },
+        aligned.size,
     )
-    emitted = state.filter(F.col("session_no") >= F.col("warmup"))
-    broken = cover_violations(aligned).unionByName(_missing_next_session(emitted))
     return _targets(
-        emitted.filter(F.col("next_open_at").isNotNull()),
+        state.filter(F.col(POSITION) >= F.col("warmup")),
         F.coalesce(F.col("_latch"), F.lit(0)) == 1,
-        broken,
-        extra=["params"],
-    )
-
-
-def _missing_next_session(rows: DataFrame) -> DataFrame:
-    return (
-        rows.filter(F.col("next_open_at").isNull())
-        .select(
-            "asset_id",
-            F.lit("missing_next_session").alias("rule"),
-            "session",
-            F.lit("1").alias("detail"),
-        )
+        aligned.violations,
+        aligned.size,
+        ["asset_id", "params"],
     )
 
 
 def _targets(
-    rows: DataFrame, is_long: Column, broken: DataFrame, extra: Sequence[str] = ()
+    rows: DataFrame,
+    is_long: Column,
+    found: DataFrame,
+    size: int | None,
+    keys: Sequence[str] = ("asset_id",),
 ) -> Targets:
-    candidates = rows.select(
-        "asset_id",
-        *extra,
+    """Project targets; a signal without a next session, or not before it, withholds its series."""
+    late = F.col("decision_at") >= F.col("next_open_at")
+    unscheduled = F.col("next_open_at").isNull()
+    flagged = segments.any_in_series(rows, keys, late | unscheduled, "withheld", size).select(
+        *keys,
         "session",
         "decision_at",
         F.col("next_open_at").alias("effective_at"),
         is_long.cast("int").alias("weight"),
+        "withheld",
     )
-    late = candidates.filter(F.col("decision_at") >= F.col("effective_at")).select(
+    timing = rows.filter(late | unscheduled).select(
         "asset_id",
-        F.lit("late_signal").alias("rule"),
+        F.when(unscheduled, "missing_next_session").otherwise("late_signal").alias("rule"),
         "session",
         F.date_format("decision_at", "yyyy-MM-dd HH:mm:ss").alias("detail"),
     )
-    return Targets(candidates, broken.unionByName(late))
+    return Targets(flagged, found.unionByName(timing.distinct()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from barloom.session import materialize, prepare
@@ -11,7 +12,7 @@ ASSETS = ("A", "N", "R")
 CALENDAR = "LINE"
 EPOCH = "1995-01-01"
 MICRO = 1_000_000
-_TICK = "10000000000000000000"
+PRICE_SPAN = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,32 +22,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bars_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per return flag out of the order lines.
 
-    Lines are ordered by (order, line, price) within a day. Price and order key are packed
-    into one decimal: a plain minimum then yields the first price, the aggregate keeps a fixed
-    size buffer (hash aggregation, combined before the shuffle) and only
-    assets x days rows are exchanged however many lines there are.
+    Lines are ordered by (order, price) within a day. Order key and price in cents are packed
+    into one integer, so first and last price are a plain minimum and maximum: all buffers are
+    fixed size integers, aggregation hashes and combines before the shuffle, and only
+    assets x days rows are exchanged however many lines there are. A price that does not fit
+    its bits, or an order key beyond 2**39, stops the job instead of misordering.
     """
     lines = table(spark, sf_dir, "lineitem")
-    price = (F.col("l_extendedprice") * MICRO + 0.5).cast("bigint")
-    volume = (F.col("l_quantity") * MICRO + 0.5).cast("bigint")
-    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    tick = line.cast("decimal(18,0)") * F.lit(_TICK).cast("decimal(20,0)") + price.cast(
-        "decimal(19,0)"
+    cents = (F.col("l_extendedprice") * 100 + 0.5).cast("bigint")
+    packed = F.when(cents < PRICE_SPAN, F.col("l_orderkey") * PRICE_SPAN + cents).otherwise(
+        F.raise_error(F.lit("price exceeds the packed range"))
     )
     grouped = (
         lines.select(
             F.col("l_returnflag").alias("asset_id"),
             F.col("l_shipdate").cast("date").alias("session"),
-            tick.cast("decimal(38,0)").alias("tick"),
-            price.alias("price"),
-            volume.alias("volume"),
+            packed.alias("tick"),
+            cents.alias("cents"),
+            (F.col("l_quantity") * MICRO + 0.5).cast("bigint").alias("volume"),
         )
         .groupBy("asset_id", "session")
         .agg(
             F.min("tick").alias("first"),
             F.max("tick").alias("last"),
-            F.max("price").alias("high"),
-            F.min("price").alias("low"),
+            F.max("cents").alias("high"),
+            F.min("cents").alias("low"),
             F.sum("volume").alias("volume"),
             F.count(F.lit(1)).alias("line_count"),
         )
@@ -56,23 +56,38 @@ def bars_all(spark: SparkSession, sf_dir: str) -> DataFrame:
             "asset_id",
             F.lit("lines").alias("source"),
             "session",
-            _money(_price_of("first")).alias("open"),
+            _money(F.col("first") % PRICE_SPAN).alias("open"),
             _money(F.col("high")).alias("high"),
             _money(F.col("low")).alias("low"),
-            _money(_price_of("last")).alias("close"),
-            _money(F.col("volume")).cast("decimal(24,6)").alias("volume"),
+            _money(F.col("last") % PRICE_SPAN).alias("close"),
+            (F.col("volume").cast("decimal(24,0)") / MICRO).cast("decimal(24,6)").alias("volume"),
             "line_count",
         )
     )
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of the days on which every asset trades, written once for all consumers."""
+    """Bars of the days on which every asset trades, as a stored table.
+
+    The table is the normalized input of all research queries. It is written once per
+    application and source below the shared folder; later queries read it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _STORED:
+        try:
+            return prepare(spark).read.parquet(_STORED[key])
+        except AnalysisException:  # the shared folder was cleared
+            del _STORED[key]
     bars = bars_all(spark, sf_dir).filter(F.col("asset_id").isin(*ASSETS))
     # One row per asset in each of these windows, so at most len(ASSETS) rows.
     trading = F.count(F.lit(1)).over(Window.partitionBy("session"))
     common = bars.withColumn("_trading", trading).filter(F.col("_trading") == len(ASSETS))
-    return materialize(common.drop("_trading"), "bars")
+    stored = materialize(common.drop("_trading"), "bars")
+    _STORED[key] = stored.inputFiles()[0].rsplit("/", 1)[0] if stored.inputFiles() else ""
+    return stored
 
 
 def with_times(rows: DataFrame) -> DataFrame:
@@ -119,9 +134,5 @@ def day_number(day: str = "session") -> Column:
     return F.datediff(F.col(day), F.lit(EPOCH).cast("date"))
 
 
-def _price_of(tick: str) -> Column:
-    return F.col(tick) % F.lit(_TICK).cast("decimal(20,0)")
-
-
-def _money(micros: Column) -> Column:
-    return (micros.cast("decimal(24,0)") / MICRO).cast("decimal(18,6)")
+def _money(cents: Column) -> Column:
+    return (cents.cast("decimal(18,0)") / 100).cast("decimal(18,6)")
