@@ -226,9 +226,9 @@ def calendar_membership(bars: DataFrame, sessions: DataFrame) -> DataFrame:
 def source_coverage(bars: DataFrame, sources: DataFrame, sessions: DataFrame) -> DataFrame:
     """Runs of calendar sessions a source lacks, found as gaps between the sessions it has."""
     calendar = _numbered(sessions)
-    bounds = calendar.groupBy().agg(F.max("no").alias("_hi"))
+    top = calendar.agg(F.max("no")).scalar()
     present = bars.select(*SERIES, "session").distinct().join(calendar, "session")
-    spans = sources.select(*SERIES).join(F.broadcast(bounds)).withColumn("_lo", F.lit(0))
+    spans = sources.select(*SERIES, F.lit(0).alias("_lo"), top.alias("_hi"))
     gaps = _dated(_gaps(present, spans, SERIES), calendar)
     return _findings(
         gaps,
@@ -716,8 +716,12 @@ def requested_positions(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     """Calendar positions of each requested range; ``_lo > _hi`` when it holds no session."""
     numbered = number_sessions(sessions)
     span = numbered.agg(
-        F.min("session").alias("_first"), F.max("session").alias("_last"), F.max("session_no").alias("_top")
-    )
+        F.struct(
+            F.min("session").alias("first"),
+            F.max("session").alias("last"),
+            F.max("session_no").alias("top"),
+        )
+    ).scalar()
     days = numbered.select(
         F.col("session_no"),
         F.col("session"),
@@ -732,10 +736,10 @@ def requested_positions(requests: DataFrame, sessions: DataFrame) -> DataFrame:
         .alias("_lo"),
     )
     end = days.select(F.col("_day").alias("_to"), F.col("session_no").alias("_hi"))
-    clamped = requests.join(F.broadcast(span)).withColumns(
+    clamped = requests.withColumn("_span", span).withColumns(
         {
-            "_from": F.greatest("requested_start", "_first"),
-            "_to": F.least("requested_end", "_last"),
+            "_from": F.greatest("requested_start", "_span.first"),
+            "_to": F.least("requested_end", "_span.last"),
         }
     )
     return (
@@ -743,7 +747,7 @@ def requested_positions(requests: DataFrame, sessions: DataFrame) -> DataFrame:
         .join(end, "_to", "left")
         .select(
             *requests.columns,
-            F.coalesce("_lo", F.col("_top") + 1).alias("_lo"),
+            F.coalesce("_lo", F.col("_span.top") + 1).alias("_lo"),
             F.coalesce("_hi", F.lit(-1)).alias("_hi"),
         )
     )

@@ -28,9 +28,7 @@ def query(fn):
     return fn
 
 
-def market(spark: SparkSession, sf_dir: str, *, extra_days: int = 0):
-    bars = views.bars_daily(spark, sf_dir)
-    return bars, views.calendar_of(bars, extra_days=extra_days)
+market = views.market
 
 
 @query

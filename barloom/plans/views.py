@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.session import materialize, prepare
+from barloom.operators.segments import running_in_parts
+from barloom.schemas import PRICE, VOLUME
+from barloom.session import path_exists, prepare, write_scratch
 
 ASSETS = ("A", "N", "R")
 CALENDAR = "LINE"
@@ -66,28 +67,45 @@ def bars_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
-def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of the days on which every asset trades, as a stored table.
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table, written once per application and source below the shared folder.
 
-    The table is the normalized input of all research queries. It is written once per
-    application and source below the shared folder; later queries read it.
+    Daily bars are the normalized input of every research query; like any ingest product they
+    are stored once and read many times.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _STORED:
-        try:
-            return prepare(spark).read.parquet(_STORED[key])
-        except AnalysisException:  # the shared folder was cleared
-            del _STORED[key]
-    bars = bars_all(spark, sf_dir).filter(F.col("asset_id").isin(*ASSETS))
-    # One row per asset in each of these windows, so at most len(ASSETS) rows.
-    trading = F.count(F.lit(1)).over(Window.partitionBy("session"))
-    common = bars.withColumn("_trading", trading).filter(F.col("_trading") == len(ASSETS))
-    stored = materialize(common.drop("_trading"), "bars")
-    _STORED[key] = stored.inputFiles()[0].rsplit("/", 1)[0] if stored.inputFiles() else ""
-    return stored
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED or not path_exists(spark, _STORED[key]):
+        _STORED[key] = write_scratch(build(), name)
+    return prepare(spark).read.parquet(_STORED[key])
+
+
+def bars_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All daily bars, stored."""
+    return stored(spark, sf_dir, "bars-all", lambda: bars_all(spark, sf_dir))
+
+
+def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of the days on which every asset trades, stored."""
+
+    def build():
+        bars = bars_table(spark, sf_dir).filter(F.col("asset_id").isin(*ASSETS))
+        days = bars.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+        common = days.filter(F.col("n") == len(ASSETS)).select("session")
+        return bars.join(common, "session", "left_semi")
+
+    return stored(spark, sf_dir, "bars-daily", build)
+
+
+def market(spark: SparkSession, sf_dir: str, *, extra_days: int = 0):
+    """Daily bars and their calendar, the latter with ``extra_days`` sessions after the bars."""
+    bars = bars_daily(spark, sf_dir)
+    sessions = stored(
+        spark, sf_dir, f"sessions-{extra_days}", lambda: calendar_of(bars, extra_days=extra_days)
+    )
+    return bars, sessions
 
 
 def with_times(rows: DataFrame) -> DataFrame:
@@ -136,3 +154,148 @@ def day_number(day: str = "session") -> Column:
 
 def _money(cents: Column) -> Column:
     return (cents.cast("decimal(18,0)") / 100).cast("decimal(18,6)")
+
+
+# Quality inputs: two sources per asset with planted defects, keyed by the day number so that
+# every engine plants the same ones.
+PRIMARY, SECONDARY = "alpha", "beta"
+CURRENT = "alpha-2"
+
+
+def quality_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw text bars of two sources, with broken cells, repeated and late rows."""
+    return stored(spark, sf_dir, "quality-bars", lambda: _quality_bars(spark, sf_dir))
+
+
+def _quality_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = bars_table(spark, sf_dir).withColumn("d", day_number())
+    d = F.col("d")
+    copies = F.when(d % 101 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    text = {f: F.col(f).cast("string") for f in ("open", "high", "low", "close", "volume")}
+    alpha = bars.select(
+        "asset_id",
+        F.lit(PRIMARY).alias("source_id"),
+        "session",
+        "d",
+        F.explode(copies).alias("copy"),
+        F.when(d % 211 == 0, "NaN").otherwise(text["open"]).alias("open"),
+        F.when(d % 227 == 0, (F.col("low") - 1).cast(PRICE).cast("string"))
+        .otherwise(text["high"])
+        .alias("high"),
+        F.when(d % 223 == 0, "-1").otherwise(text["low"]).alias("low"),
+        text["close"].alias("close"),
+        F.when(d % 229 == 0, "-5")
+        .when(d % 233 == 0, "n/a")
+        .otherwise(text["volume"])
+        .alias("volume"),
+    )
+    scaled = F.col("close") * (10_000 + (d % 13) * 6) / 10_000
+    beta = bars.filter(d % 41 != 0).select(
+        "asset_id",
+        F.lit(SECONDARY).alias("source_id"),
+        "session",
+        "d",
+        F.lit(0).alias("copy"),
+        text["open"].alias("open"),
+        text["high"].alias("high"),
+        text["low"].alias("low"),
+        scaled.cast(PRICE).cast("string").alias("close"),
+        text["volume"].alias("volume"),
+    )
+    arrival = F.date_add("session", F.when(d % 103 == 0, 3).otherwise(0))
+    order = F.concat_ws(
+        "|", F.date_format(arrival, "yyyy-MM-dd"), F.date_format("session", "yyyy-MM-dd"), "copy"
+    )
+    rows = alpha.unionByName(beta).withColumns({"_arrival": arrival, "_order": order})
+    return _arrival_numbers(rows).drop("d", "copy")
+
+
+def _arrival_numbers(rows: DataFrame) -> DataFrame:
+    """Dense arrival numbers per source; a span of arrival dates bounds each window."""
+    span = F.floor(F.datediff("_arrival", F.lit(EPOCH).cast("date")) / 1024).cast("long")
+    return (
+        running_in_parts(
+            rows.withColumn("_span", span),
+            ["asset_id", "source_id"],
+            "_span",
+            "_order",
+            {"row_seq": ("sum", F.lit(1).cast("long"))},
+        )
+        .withColumn("row_seq", F.col("row_seq") - 1)
+        .drop("_span", "_order", "_arrival")
+    )
+
+
+def quality_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source dimension; one asset's second source has an unknown schema."""
+    old = (F.col("asset_id") == "N") & (F.col("source_id") == SECONDARY)
+    return (
+        bars_table(spark, sf_dir)
+        .select("asset_id")
+        .distinct()
+        .select("asset_id", F.explode(F.array(F.lit(PRIMARY), F.lit(SECONDARY))).alias("source_id"))
+        .select(
+            "asset_id",
+            "source_id",
+            F.upper("source_id").alias("provider"),
+            F.when(old, "normalized-bar-v0").otherwise("normalized-bar-v1").alias("schema_version"),
+            F.lit("daily").alias("normalizer_id"),
+            F.lit("1").alias("normalizer_version"),
+        )
+    )
+
+
+def quality_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One requested range per asset; one asset asks for adjusted data."""
+    return (
+        bars_table(spark, sf_dir)
+        .select("asset_id")
+        .distinct()
+        .select(
+            "asset_id",
+            F.lit("1996-02-03").cast("date").alias("requested_start"),
+            F.lit("2000-11-30").cast("date").alias("requested_end"),
+            F.when(F.col("asset_id") == "R", "split_adjusted")
+            .otherwise("raw")
+            .alias("adjustment_mode"),
+        )
+    )
+
+
+def weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every weekday between the first and the last bar, as the expected calendar."""
+    return stored(
+        spark,
+        sf_dir,
+        "weekdays",
+        lambda: all_days(bars_table(spark, sf_dir), weekdays_only=True),
+    )
+
+
+def revisions(spark: SparkSession, sf_dir: str):
+    """Two observations of the first source: (bars of both, pairs)."""
+    bars = bars_table(spark, sf_dir).withColumn("d", day_number())
+    cells = [F.col(f).cast("string").alias(f) for f in ("open", "high", "low", "close")]
+    before = bars.select(
+        "asset_id",
+        F.lit(PRIMARY).alias("source_id"),
+        "session",
+        *cells,
+        F.col("volume").cast("string").alias("volume"),
+    )
+    changed = F.when(F.col("d") % 53 == 0, F.col("volume") + 1).otherwise(F.col("volume"))
+    after = bars.filter(F.col("d") % 307 != 0).select(
+        "asset_id",
+        F.lit(CURRENT).alias("source_id"),
+        "session",
+        *cells,
+        changed.cast(VOLUME).cast("string").alias("volume"),
+    )
+    pairs = (
+        bars.select("asset_id")
+        .distinct()
+        .select(
+            "asset_id", F.lit(PRIMARY).alias("previous_id"), F.lit(CURRENT).alias("current_id")
+        )
+    )
+    return before.unionByName(after), pairs

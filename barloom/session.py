@@ -52,13 +52,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/barloom-{name}-{uuid.uuid4().hex}"
 
 
+def write_scratch(df: DataFrame, name: str) -> str:
+    """Write ``df`` below the shared folder and return its path."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once below the shared folder and read it back.
+    """Cut lineage: write ``df`` once below the shared folder and read it back.
 
-    Used where several branches consume one reduced result (daily bars out of a raw fact
-    table): the raw table is scanned once, later stages see real file sizes, so Spark's own
-    broadcast threshold decides on joins, and a lost executor never repeats the raw scan.
+    Used where several branches consume one reduced result. The branches then see real file
+    sizes, so Spark's own broadcast threshold decides on joins, and a lost executor never
+    repeats the work before the cut.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_scratch(df, name))
