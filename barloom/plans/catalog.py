@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import features
-from barloom.operators import segments
+from barloom.operators import metrics, segments
 from barloom.operators.alignment import cover
 from barloom.operators.backtest import Costs, backtest
 from barloom.operators.metrics import (
@@ -196,3 +196,96 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def research_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entry(spark, sf_dir)
+
+
+S1_GRID = tuple(
+    (entry, exit_, trend)
+    for entry in (5, 10, 15, 20)
+    for exit_ in (50, 60, 70, 80)
+    for trend in (150, 200, 250)
+)
+S2_PAIRS = ((20, 10), (40, 20), (55, 20), (80, 40))
+
+
+def _sweep_summary(targets: DataFrame) -> DataFrame:
+    return targets.groupBy("asset_id", "params").agg(
+        F.count(F.lit(1)).alias("targets"),
+        F.sum("weight").alias("long_days"),
+        F.max(F.when(F.col("weight") == 1, F.col("session"))).alias("last_long"),
+    )
+
+
+@query
+def sweep_s1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pullback strategy over 48 parameter sets in one pass."""
+    bars, sessions = market(spark, sf_dir, extra_days=1)
+    return publish(
+        _sweep_summary(strategies.rsi_pullback_targets(bars, sessions, grid=S1_GRID).clean())
+    )
+
+
+@query
+def sweep_s2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The breakout strategy over four window pairs in one pass."""
+    bars, sessions = market(spark, sf_dir, extra_days=1)
+    return publish(
+        _sweep_summary(strategies.donchian_targets(bars, sessions, pairs=S2_PAIRS).clean())
+    )
+
+
+@query
+def exact_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _covered(spark, sf_dir)
+    return publish(metrics.exact_returns(_as_equity(a.bars), KEY, size=a.size))
+
+
+def _supplier_equity(spark, sf_dir) -> DataFrame:
+    """Close prices of every supplier as an equity series, numbered by date."""
+    bars = views.stored(
+        spark, sf_dir, "bars-supplier", lambda: views.bars_by_supplier(spark, sf_dir)
+    ).select("asset_id", "session", "close")
+    return segments.positions(bars, KEY, "session").select(
+        "asset_id",
+        F.col("session").alias("observed_on"),
+        "position",
+        F.col("close").alias("equity"),
+    )
+
+
+@query
+def metrics_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version 2 metrics of every supplier's price series."""
+    scored = metric_set(_supplier_equity(spark, sf_dir), KEY, POLICY, version=2)
+    return publish(long_form(scored, KEY), significant=("value",))
+
+
+@query
+def sma_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moving average over many uneven series."""
+    spec = segments.series_window(KEY, "position", None)
+    out = features.with_sma(_supplier_equity(spark, sf_dir), {"sma": ("equity", 20)}, spec)
+    return publish(out.select("asset_id", "observed_on", "sma"))
+
+
+@query
+def metric_input_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns rounded to two digits rarely reconcile exactly; some are missing or too low."""
+    a = _covered(spark, sf_dir)
+    d = views.day_number("observed_on")
+    equity = _as_equity(a.bars).withColumn(
+        "equity", F.when(d % 401 == 0, F.lit(0)).otherwise(F.col("equity")).cast("decimal(18,6)")
+    )
+    rounded = (
+        metrics.simple_returns(_as_equity(a.bars), KEY, size=a.size)
+        .select(
+            "asset_id",
+            "observed_on",
+            F.when(d % 307 == 0, -2)
+            .otherwise(F.round("value", 2))
+            .cast("decimal(18,6)")
+            .alias("value"),
+        )
+        .filter(d % 211 != 0)
+    )
+    found = metrics.metric_input_violations(equity, rounded, KEY, size=a.size)
+    return publish(found.groupBy("asset_id", "rule").agg(F.count(F.lit(1)).alias("n")))

@@ -265,3 +265,94 @@ WITH {BARS}, equity AS (SELECT asset_id, session, no, CAST(close AS DOUBLE) AS e
 
 oracle("research_run", f"""
 WITH {BARS}, {backtest_cte(50)}, {metrics_sql('asset_id, run_id', 'points')}""")
+
+
+def sweep(events: str) -> str:
+    """Summary per asset and parameter set of (asset_id, params, session, no, warmup, event)."""
+    return f"""
+states AS (
+  SELECT *, coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY asset_id, params ORDER BY session), 0) AS weight FROM ({events})
+)
+SELECT asset_id, params, count(*) AS targets, CAST(sum(weight) AS BIGINT) AS long_days,
+       {day('max(CASE WHEN weight = 1 THEN session END)')} AS last_long
+FROM states WHERE no >= warmup GROUP BY asset_id, params"""
+
+
+_values = ", ".join(
+    f"({e}, {x}, {n})" for e in (5, 10, 15, 20) for x in (50, 60, 70, 80) for n in (150, 200, 250)
+)
+_pullback = """
+  SELECT asset_id, session, no, n - 1 AS warmup, entry || '/' || leave || '/' || n AS params,
+         CASE WHEN no < n - 1 THEN NULL
+              WHEN round(rsi, 9) < entry AND close * n > CASE n WHEN 150 THEN s150 WHEN 200 THEN s200 ELSE s250 END THEN 1
+              WHEN round(rsi, 9) > leave THEN 0 END AS event
+  FROM sums, grid"""
+oracle("sweep_s1", f"""
+WITH RECURSIVE {BARS}, {rsi_cte(2)},
+grid AS (SELECT * FROM (VALUES {_values}) g(entry, leave, n)),
+sums AS (
+  SELECT *, sum(close) OVER (PARTITION BY asset_id ORDER BY session ROWS BETWEEN 149 PRECEDING AND CURRENT ROW) AS s150,
+         sum(close) OVER (PARTITION BY asset_id ORDER BY session ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS s200,
+         sum(close) OVER (PARTITION BY asset_id ORDER BY session ROWS BETWEEN 249 PRECEDING AND CURRENT ROW) AS s250
+  FROM strength
+), {sweep(_pullback)}""")
+
+
+def _channel(n: int, m: int) -> str:
+    past = "OVER (PARTITION BY asset_id ORDER BY session ROWS BETWEEN {} PRECEDING AND 1 PRECEDING)"
+    return f"""SELECT asset_id, session, no, {n} AS warmup, '{n}/{m}' AS params,
+    CASE WHEN no < {n} THEN NULL WHEN close > max(high) {past.format(n)} THEN 1 WHEN close < min(low) {past.format(m)} THEN 0 END AS event FROM aligned"""
+
+
+oracle(
+    "sweep_s2",
+    f"WITH {BARS}, "
+    + sweep(" UNION ALL ".join(_channel(n, m) for n, m in ((20, 10), (40, 20), (55, 20), (80, 40)))),
+)
+
+oracle("exact_returns", f"""
+WITH {BARS},
+units AS (
+  SELECT asset_id, session, CAST(close * 1000000 AS BIGINT) AS c,
+         CAST(lag(close) OVER (PARTITION BY asset_id ORDER BY session) * 1000000 AS BIGINT) AS p
+  FROM aligned
+)
+SELECT asset_id, {day('session')} AS observed_on, (c - p) // gcd(c - p, p) AS numerator, p // gcd(c - p, p) AS denominator
+FROM units WHERE p IS NOT NULL""")
+
+SUPPLIERS = """
+equity AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS asset_id, CAST(l_shipdate AS DATE) AS session,
+         CAST(last(CAST(l_extendedprice AS DECIMAL(18,6)) ORDER BY l_orderkey, l_extendedprice) AS DOUBLE) AS equity
+  FROM lineitem GROUP BY 1, 2
+)"""
+oracle("metrics_v2", f"WITH {SUPPLIERS}, {metrics_sql('asset_id', 'equity')}")
+_total_20 = num("CAST(sum(CAST(equity AS DECIMAL(18,6))) OVER w AS DOUBLE) / 20")
+oracle("sma_by_supplier", f"""
+WITH {SUPPLIERS}
+SELECT asset_id, {day('session')} AS observed_on, CASE WHEN count(*) OVER w = 20 THEN {_total_20} END AS sma
+FROM equity WINDOW w AS (PARTITION BY asset_id ORDER BY session ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+
+oracle("metric_input_contract", f"""
+WITH {BARS},
+steps AS (
+  SELECT asset_id, session, session - DATE '1995-01-01' AS d, close, lag(close) OVER w AS past, lead(session) OVER w AS following,
+         CASE WHEN (session - DATE '1995-01-01') % 401 = 0 THEN 0 ELSE close END AS e
+  FROM aligned WINDOW w AS (PARTITION BY asset_id ORDER BY session)
+),
+paired AS (
+  SELECT *, lag(e) OVER (PARTITION BY asset_id ORDER BY session) AS pe,
+         CASE WHEN past IS NULL OR d % 211 = 0 THEN NULL WHEN d % 307 = 0 THEN -2
+              ELSE CAST(round(CAST(close AS DOUBLE) / CAST(past AS DOUBLE) - 1, 2) AS DECIMAL(18,6)) END AS r
+  FROM steps
+),
+last_return AS (SELECT asset_id, max(session) AS s FROM paired WHERE r IS NOT NULL GROUP BY 1),
+rules AS (
+  SELECT asset_id, 'non_positive_start' AS rule FROM paired WHERE pe IS NULL AND e <= 0
+  UNION ALL SELECT asset_id, 'non_terminal_zero' FROM paired WHERE e <= 0 AND following IS NOT NULL
+  UNION ALL SELECT asset_id, 'return_missing' FROM paired WHERE pe IS NOT NULL AND r IS NULL
+  UNION ALL SELECT asset_id, 'return_mismatch' FROM paired WHERE pe IS NOT NULL AND r IS NOT NULL
+     AND CAST(r AS DECIMAL(18,6)) * CAST(pe AS DECIMAL(20,6)) <> CAST(e - pe AS DECIMAL(30,6))
+  UNION ALL SELECT b.asset_id, 'invalid_loss' FROM paired b JOIN last_return l USING (asset_id) WHERE r < -1 OR (r = -1 AND session <> l.s)
+)
+SELECT asset_id, rule, count(*) AS n FROM rules GROUP BY ALL""")

@@ -88,17 +88,22 @@ def donchian_targets(
         f"_low_{m}": features.prior_min("low", m, spec) for _, m in pairs
     }
     rows = segments.drop_halo(framed.withColumns(channels), POSITION, aligned.size)
-    grid = [
-        (
-            f"{n}/{m}",
-            n,
-            F.when(F.col("close") > F.col(f"_high_{n}"), 1).when(
-                (F.col("close") < F.col(f"_low_{m}")) & F.col(f"_high_{n}").isNotNull(), 0
-            ),
+    highs, lows = sorted({n for n, _ in pairs}), sorted({m for _, m in pairs})
+    options = [
+        F.struct(
+            F.lit(f"{n}/{m}").alias("params"),
+            F.lit(n).alias("warmup"),
+            F.lit(highs.index(n)).alias("_upper"),
+            F.lit(lows.index(m)).alias("_lower"),
         )
         for n, m in pairs
     ]
-    return _stateful(rows, grid, aligned)
+    upper = F.get(F.array(*[F.col(f"_high_{n}") for n in highs]), F.col("_upper"))
+    lower = F.get(F.array(*[F.col(f"_low_{m}") for m in lows]), F.col("_lower"))
+    event = F.when(F.col("close") > upper, 1).when(
+        (F.col("close") < lower) & upper.isNotNull(), 0
+    )
+    return _stateful(rows, options, event, aligned)
 
 
 def rsi_pullback_targets(
@@ -124,18 +129,25 @@ def rsi_pullback_targets(
     framed = segments.cut_with_halo(rsi, POSITION, max(trends) - 1, aligned.size)
     summed = features.with_rolling_sums(framed, {f"_sum_{n}": ("close", n) for n in trends}, spec)
     rows = segments.drop_halo(summed, POSITION, aligned.size)
-    strength = F.round("rsi", 9)
     options = [
-        (
-            f"{entry:g}/{exit_:g}/{n}",
-            n - 1,
-            F.when(F.col(f"_sum_{n}").isNull(), None)
-            .when((strength < entry) & (F.col("close") * n > F.col(f"_sum_{n}")), 1)
-            .when(strength > exit_, 0),
+        F.struct(
+            F.lit(f"{entry:g}/{exit_:g}/{n}").alias("params"),
+            F.lit(n - 1).alias("warmup"),
+            F.lit(float(entry)).alias("_entry"),
+            F.lit(float(exit_)).alias("_exit"),
+            F.lit(n).alias("_trend"),
+            F.lit(trends.index(n)).alias("_which"),
         )
         for entry, exit_, n in grid
     ]
-    return _stateful(rows, options, aligned)
+    strength = F.round("rsi", 9)
+    total = F.get(F.array(*[F.col(f"_sum_{n}") for n in trends]), F.col("_which"))
+    event = (
+        F.when(total.isNull(), None)
+        .when((strength < F.col("_entry")) & (F.col("close") * F.col("_trend") > total), 1)
+        .when(strength > F.col("_exit"), 0)
+    )
+    return _stateful(rows, options, event, aligned)
 
 
 def dual_ma_targets(
@@ -196,19 +208,21 @@ def _period_targets(
     return _targets(rows, is_long, found, None)
 
 
-def _stateful(rows: DataFrame, grid, aligned) -> Targets:
-    options = F.array(
-        *[
-            F.struct(
-                F.lit(params).alias("params"),
-                F.lit(warmup).alias("warmup"),
-                event.cast("int").alias("event"),
-            )
-            for params, warmup, event in grid
-        ]
-    )
-    expanded = rows.select(
-        "asset_id", "session", POSITION, "available_at", "next_open_at", F.inline(options)
+def _stateful(rows: DataFrame, options: Sequence[Column], event: Column, aligned) -> Targets:
+    """Latch entry and exit events per series and parameter set.
+
+    The parameter sets are a literal array exploded after the features are computed, so all
+    sets share one pass over the bars.
+    """
+    expanded = rows.select("*", F.inline(F.array(*options))).select(
+        "asset_id",
+        "params",
+        "warmup",
+        "session",
+        POSITION,
+        "available_at",
+        "next_open_at",
+        event.cast("int").alias("event"),
     )
     state = segments.running(
         expanded,

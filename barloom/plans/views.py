@@ -21,7 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars per return flag out of the order lines.
+    """Daily bars per return flag."""
+    return bars_of_lines(table(spark, sf_dir, "lineitem"), F.col("l_returnflag"))
+
+
+def bars_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars per supplier: the number of series grows with the data."""
+    return bars_of_lines(table(spark, sf_dir, "lineitem"), F.col("l_suppkey"))
+
+
+def bars_of_lines(lines: DataFrame, asset: Column) -> DataFrame:
+    """Daily bars out of order lines.
 
     Lines are ordered by (order, price) within a day. Order key and price in cents are packed
     into one integer, so first and last price are a plain minimum and maximum: all buffers are
@@ -29,14 +39,13 @@ def bars_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     assets x days rows are exchanged however many lines there are. A price that does not fit
     its bits, or an order key beyond 2**39, stops the job instead of misordering.
     """
-    lines = table(spark, sf_dir, "lineitem")
     cents = (F.col("l_extendedprice") * 100 + 0.5).cast("bigint")
     packed = F.when(cents < PRICE_SPAN, F.col("l_orderkey") * PRICE_SPAN + cents).otherwise(
         F.raise_error(F.lit("price exceeds the packed range"))
     )
     grouped = (
         lines.select(
-            F.col("l_returnflag").alias("asset_id"),
+            asset.alias("asset_id"),
             F.col("l_shipdate").cast("date").alias("session"),
             packed.alias("tick"),
             cents.alias("cents"),
@@ -54,7 +63,7 @@ def bars_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return with_times(
         grouped.select(
-            "asset_id",
+            F.col("asset_id").cast("string").alias("asset_id"),
             F.lit("lines").alias("source"),
             "session",
             _money(F.col("first") % PRICE_SPAN).alias("open"),
@@ -82,6 +91,11 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return prepare(spark).read.parquet(_STORED[key])
 
 
+def stored_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder of a table that :func:`stored` has written."""
+    return _STORED[(spark.sparkContext.applicationId, sf_dir, name)]
+
+
 def bars_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All daily bars, stored."""
     return stored(spark, sf_dir, "bars-all", lambda: bars_all(spark, sf_dir))
