@@ -25,12 +25,26 @@ def next_period_start(start: Column, frequency: str) -> Column:
     return F.date_add(start, 7) if _unit(frequency) == "week" else F.add_months(start, 1)
 
 
+NUMBERED = (
+    "calendar_id",
+    "session",
+    "session_open_at",
+    "session_close_at",
+    "session_no",
+    "next_session",
+    "next_open_at",
+    "calendar_size",
+)
+
+
 def number_sessions(sessions: DataFrame) -> DataFrame:
     """Number each calendar's sessions from zero and attach the session that follows.
 
     A calendar holds one row per day at most, so this window stays small however many bars
-    the calendar serves.
+    the calendar serves. A stored calendar that already carries the numbers is used as it is.
     """
+    if set(NUMBERED) <= set(sessions.columns):
+        return sessions.select(*NUMBERED)
     order = Window.partitionBy("calendar_id").orderBy("session")
     return sessions.select(
         "calendar_id",

@@ -24,6 +24,7 @@ from barloom.functions.identity import canonical_decimal, canonical_json, stable
 from barloom.functions.numeric import symmetric_bps, within_symmetric_bps
 from barloom.operators import segments
 from barloom.schemas import PRICE, PRICE_FIELDS
+from barloom.session import materialize
 
 SERIES = ["asset_id", "source_id"]
 ARRIVAL_ROWS = 4096
@@ -619,8 +620,10 @@ def quality_report(
     revisions: DataFrame | None = None,
 ) -> QualityReport:
     """Findings, check results and eligibility of all requested ranges."""
-    found = all_findings(
-        bars, sources, sessions, requests, policy, revision_bars, revisions
+    # Three consumers: store the findings once instead of running eleven checks three times.
+    found = materialize(
+        all_findings(bars, sources, sessions, requests, policy, revision_bars, revisions),
+        "findings",
     )
     return QualityReport(
         found,

@@ -173,7 +173,8 @@ def period_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
         ~((F.col("asset_id") == "N") & (F.col("period_start") == "1999-06-07"))
     )
     weeks = weeks.filter((F.col("asset_id") != "A") | (F.col("period_start") <= LAST_DAY))
-    fewer = sessions.filter(F.col("session") != "1998-02-11")
+    plain = sessions.select("calendar_id", "session", "session_open_at", "session_close_at")
+    fewer = plain.filter(F.col("session") != "1998-02-11")
     return publish(
         period_violations(weeks, fewer, WEEK).withColumn(
             "detail", F.when(F.col("rule") != "calendar_mismatch", F.col("detail"))

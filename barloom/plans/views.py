@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.calendar import number_sessions
 from barloom.operators.segments import running_in_parts
 from barloom.schemas import PRICE, VOLUME
 from barloom.session import path_exists, prepare, write_scratch
@@ -114,12 +115,13 @@ def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market(spark: SparkSession, sf_dir: str, *, extra_days: int = 0):
-    """Daily bars and their calendar, the latter with ``extra_days`` sessions after the bars."""
+    """Daily bars and their numbered calendar, with ``extra_days`` sessions after the bars."""
     bars = bars_daily(spark, sf_dir)
-    sessions = stored(
-        spark, sf_dir, f"sessions-{extra_days}", lambda: calendar_of(bars, extra_days=extra_days)
-    )
-    return bars, sessions
+
+    def build():
+        return number_sessions(calendar_of(bars, extra_days=extra_days))
+
+    return bars, stored(spark, sf_dir, f"sessions-{extra_days}", build)
 
 
 def with_times(rows: DataFrame) -> DataFrame:
@@ -282,7 +284,7 @@ def weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         sf_dir,
         "weekdays",
-        lambda: all_days(bars_table(spark, sf_dir), weekdays_only=True),
+        lambda: number_sessions(all_days(bars_table(spark, sf_dir), weekdays_only=True)),
     )
 
 
