@@ -55,6 +55,39 @@ def bar_payload() -> Column:
     )
 
 
+def period_payload() -> Column:
+    """Canonical JSON of one period bar."""
+    return canonical_json(
+        F.struct(
+            F.col("asset_id").alias("asset"),
+            instant_text(F.col("available_at")).alias("available_at"),
+            canonical_decimal(F.col("close")).alias("close"),
+            F.col("constituent_count"),
+            instant_text(F.col("cutoff_at")).alias("cutoff_at"),
+            F.col("expected_hash"),
+            F.col("frequency"),
+            canonical_decimal(F.col("high")).alias("high"),
+            canonical_decimal(F.col("low")).alias("low"),
+            canonical_decimal(F.col("open")).alias("open"),
+            F.date_format("period_start", "yyyy-MM-dd").alias("period_start"),
+            canonical_decimal(F.col("volume")).alias("volume"),
+        )
+    )
+
+
+def signal_payload() -> Column:
+    """Canonical JSON of one momentum signal."""
+    return canonical_json(
+        F.struct(
+            instant_text(F.col("decision_at")).alias("decision_at"),
+            F.date_format("period_end", "yyyy-MM-dd").alias("observed_period_end"),
+            F.date_format("period_start", "yyyy-MM-dd").alias("observed_period_start"),
+            F.col("reason"),
+            F.col("selected_asset"),
+        )
+    )
+
+
 def series_fingerprint(
     bars: DataFrame, keys: Sequence[str], sequence: str, payload: Column | None = None
 ) -> DataFrame:

@@ -641,6 +641,17 @@ def report_differences(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
     )
 
 
+def observed_ranges(bars: DataFrame) -> DataFrame:
+    """What each source delivered: first and last session, rows, distinct sessions."""
+    days = bars.groupBy(*SERIES, "session").agg(F.count(F.lit(1)).alias("n"))
+    return days.groupBy(*SERIES).agg(
+        F.min("session").alias("observed_start"),
+        F.max("session").alias("observed_end"),
+        F.sum("n").alias("bar_count"),
+        F.count(F.lit(1)).alias("session_count"),
+    )
+
+
 def dependent_sources(sources: DataFrame) -> DataFrame:
     """Providers that occur more than once per asset, ignoring case."""
     return (

@@ -19,7 +19,7 @@ def expected_periods(sessions: DataFrame, frequency: str) -> DataFrame:
     """One row per calendar period with its sessions (at most 31, so arrays are safe)."""
     start = calendar.period_start(F.col("session"), frequency)
     item = F.struct("session", "session_close_at")
-    periods = sessions.groupBy(start.alias("period_start")).agg(
+    periods = sessions.groupBy("calendar_id", start.alias("period_start")).agg(
         F.count(F.lit(1)).alias("expected_count"),
         F.min("session").alias("expected_first_session"),
         F.max("session").alias("expected_last_session"),
@@ -27,6 +27,7 @@ def expected_periods(sessions: DataFrame, frequency: str) -> DataFrame:
         F.array_sort(F.collect_list(item)).alias("_items"),
     )
     return periods.select(
+        "calendar_id",
         "period_start",
         calendar.period_end(F.col("period_start"), frequency).alias("period_end"),
         "expected_count",
@@ -107,7 +108,7 @@ def resample_violations(
         "session",
         F.date_format("available_at", "yyyy-MM-dd HH:mm:ss").alias("detail"),
     )
-    order = Window.orderBy("period_start")  # one row per calendar period
+    order = Window.partitionBy("calendar_id").orderBy("period_start")  # one row per period
     upcoming = expected_periods(sessions, frequency).select(
         "period_start",
         F.lead("period_start").over(order).alias("next_start"),
@@ -129,6 +130,23 @@ def resample_violations(
     return cover_violations(align(bars, sessions)).unionByName(late).unionByName(elapsed)
 
 
+def boundary_violations(
+    sessions: DataFrame, calendars: DataFrame, frequency: str
+) -> DataFrame:
+    """Calendars whose requested range does not begin and end with whole periods.
+
+    ``calendars`` has calendar_id, requested_start, requested_end.
+    """
+    span = sessions.groupBy("calendar_id").agg(
+        calendar.period_start(F.min("session"), frequency).alias("first_start"),
+        calendar.period_end(F.max("session"), frequency).alias("last_end"),
+    )
+    return span.join(calendars, "calendar_id").filter(
+        (F.col("requested_start") != F.col("first_start"))
+        | (F.col("requested_end") != F.col("last_end"))
+    ).select("calendar_id", "requested_start", "requested_end", "first_start", "last_end")
+
+
 def complete_only(periods: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split off every period that is not complete."""
     whole = F.col("completeness") == COMPLETE

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import features
-from barloom.operators import metrics, segments
+from barloom.operators import exact, metrics, segments
 from barloom.operators.alignment import cover
 from barloom.operators.backtest import Costs, backtest
 from barloom.operators.metrics import (
@@ -289,3 +289,29 @@ def metric_input_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = metrics.metric_input_violations(equity, rounded, KEY, size=a.size)
     return publish(found.groupBy("asset_id", "rule").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def exact_rsi_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimal RSI, printed like the native one."""
+    a = _covered(spark, sf_dir)
+    rsi = exact.exact_wilder_rsi(a.bars, KEY, "session_no", "close", 2)
+    dated = rsi.join(a.bars.select("asset_id", "session_no", "session"), ["asset_id", "session_no"])
+    return publish(dated.select("asset_id", "session", F.col("rsi").cast("double").alias("rsi")))
+
+
+@query
+def exact_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimal backtest of the costly setting."""
+    bars, sessions = market(spark, sf_dir)
+    targets = strategies.sma_targets(bars, sessions, window=200).clean()
+    points = exact.exact_backtest(cover(bars, sessions).bars, targets, COSTS[1])
+    return publish(
+        points.select(
+            "asset_id",
+            "session",
+            *[F.col(c).cast("double").alias(c) for c in ("cash", "quantity", "equity")],
+            "target_weight",
+        ),
+        significant=("cash", "quantity", "equity"),
+    )

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.calendar import MONTH, WEEK
+from barloom.functions.identity import period_payload, signal_payload, stable_id
 from barloom.operators import momentum
-from barloom.operators.alignment import align, cover_violations
+from barloom.operators.alignment import align, cover, cover_violations
 from barloom.operators.backtest import Costs, backtest
-from barloom.operators.alignment import cover
 from barloom.operators.resample import (
+    boundary_violations,
     complete_only,
     period_bars,
     period_violations,
@@ -197,3 +198,38 @@ def weekly_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
         size=covered.size,
     )
     return publish(run.totals, significant=("final_equity", "total_commission", "total_slippage"))
+
+
+@query
+def period_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content ids of monthly bars."""
+    periods, _ = _periods(spark, sf_dir, MONTH)
+    return publish(
+        periods.select(
+            "asset_id", "period_start", stable_id("period-bar", period_payload()).alias("period_bar_id")
+        )
+    )
+
+
+@query
+def signal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content ids of momentum signals, after their own contract check."""
+    periods, _ = _periods(spark, sf_dir, MONTH)
+    signals = momentum.momentum_selection(periods)
+    broken = momentum.signal_violations(signals)
+    sound = signals.join(broken.select("period_start"), "period_start", "left_anti")
+    return publish(
+        sound.select(
+            "period_start", stable_id("dual-momentum-signal", signal_payload()).alias("signal_id")
+        )
+    )
+
+
+@query
+def range_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A requested range that cuts its first and last week."""
+    _, sessions = views.market(spark, sf_dir)
+    ranges = sessions.groupBy("calendar_id").agg(
+        F.min("session").alias("requested_start"), F.max("session").alias("requested_end")
+    )
+    return publish(boundary_violations(sessions, ranges, MONTH))

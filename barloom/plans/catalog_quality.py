@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.operators import cross_source, quality
 from barloom.plans import views
 from barloom.plans.publish import publish
+from barloom.session import materialize
 
 POLICY = quality.QualityPolicy(minimum_sources=2)
 QUERIES = {}
@@ -129,3 +130,26 @@ def _close_checks(spark, sf_dir):
         "close", (F.col("close") * (10_000 + (d % 13) * 6) / 10_000).cast("decimal(18,6)")
     )
     return cross_source.compare_close(bars.filter(d % 43 != 0), second)
+
+
+@query
+def dq_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return publish(quality.observed_ranges(Inputs(spark, sf_dir).bars()))
+
+
+@query
+def dq_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored report with one kind of finding taken out and one severity softened."""
+    i = Inputs(spark, sf_dir)
+    honest = quality.session_integrity(i.bars()).unionByName(quality.volume_integrity(i.bars()))
+    stored = materialize(
+        honest.filter(F.col("finding_code") != "non_monotonic_sessions").withColumn(
+            "severity",
+            F.when(F.col("finding_code") == "negative_volume", "info").otherwise(
+                F.col("severity")
+            ),
+        ),
+        "report",
+    )
+    found = quality.report_differences(stored, honest)
+    return publish(found.groupBy("side", "finding_code").agg(F.count(F.lit(1)).alias("n")))

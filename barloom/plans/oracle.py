@@ -356,3 +356,10 @@ rules AS (
   UNION ALL SELECT b.asset_id, 'invalid_loss' FROM paired b JOIN last_return l USING (asset_id) WHERE r < -1 OR (r = -1 AND session <> l.s)
 )
 SELECT asset_id, rule, count(*) AS n FROM rules GROUP BY ALL""")
+
+oracle("exact_rsi_2", ORACLES["wilder_rsi_2"])
+oracle("exact_run", f"""
+WITH {BARS}, {backtest_cte()}
+SELECT asset_id, {day('session')} AS session, {sig('cash')} AS cash, {sig('quantity')} AS quantity, {sig('equity')} AS equity,
+       CAST(w AS BIGINT) AS target_weight
+FROM points WHERE run_id = 'costly'""")

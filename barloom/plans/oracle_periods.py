@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from barloom.plans.oracle import BARS, LINES, day, num, oracle, sig
+from barloom.plans.oracle import BARS, ORACLES, day, num, oracle, sig
+from barloom.plans.oracle_quality import plain
 
 
 def unit(frequency: str) -> str:
@@ -223,3 +224,26 @@ money AS (
 SELECT asset_id, 'weekly' AS run_id, {sig('arg_max(equity, session)')} AS final_equity, count(*) AS point_count,
        count(*) FILTER (traded) AS trade_count, {sig('sum(commission)')} AS total_commission, {sig('sum(slip)')} AS total_slippage
 FROM money GROUP BY asset_id""")
+
+oracle("period_ids", f"""
+WITH {BARS}, {periods('1mo')},
+described AS (
+  SELECT *, sha256(list_reduce(list_transform(days, lambda x: {day('x')}), lambda x, y: x || ',' || y)) AS eh, {day('last_session')} || 'T21:05:00.000000+00:00' AS stamp FROM periods
+)
+SELECT asset_id, {day('period_start')} AS period_start, 'period-bar_' || substr(sha256('period-bar' || chr(10) || '{{"asset":"' || asset_id || '","available_at":"' || stamp
+  || '","close":"' || {plain('close')} || '","constituent_count":' || n || ',"cutoff_at":"' || stamp || '","expected_hash":"' || eh || '","frequency":"1mo","high":"' || {plain('high')}
+  || '","low":"' || {plain('low')} || '","open":"' || {plain('open')} || '","period_start":"' || {day('period_start')} || '","volume":"'
+  || {plain('CAST(volume AS DECIMAL(24,6))')} || '"}}'), 1, 24) AS period_bar_id
+FROM described""")
+
+_signals = ORACLES["signals_s5"]
+oracle("signal_ids", f"""
+SELECT period_start, 'dual-momentum-signal_' || substr(sha256('dual-momentum-signal' || chr(10) || '{{"decision_at":"' || replace(decision_at, ' ', 'T')
+  || '.000000+00:00","observed_period_end":"' || period_end || '","observed_period_start":"' || period_start || '","reason":"' || reason
+  || '","selected_asset":' || coalesce('"' || selected_asset || '"', 'null') || '}}'), 1, 24) AS signal_id
+FROM ({_signals})""")
+oracle("range_boundaries", f"""
+WITH {BARS}
+SELECT 'LINE' AS calendar_id, {day('min(session)')} AS requested_start, {day('max(session)')} AS requested_end,
+       {day("date_trunc('month', min(session))")} AS first_start, {day('last_day(max(session))')} AS last_end
+FROM sessions HAVING min(session) <> date_trunc('month', min(session)) OR max(session) <> last_day(max(session))""")

@@ -278,3 +278,13 @@ SELECT asset_id, count(*) AS total_sessions, count(*) FILTER (status <> 'missing
        count(*) FILTER (status = 'fail') AS fail_count, count(*) FILTER (status = 'missing') AS missing_count,
        CASE WHEN count(*) FILTER (status IN ('fail', 'missing')) > 0 THEN 'fail' WHEN count(*) FILTER (status = 'warning') > 0 THEN 'warning' ELSE 'pass' END AS overall_status
 FROM checks GROUP BY asset_id""")
+
+oracle("dq_observed", f"""
+WITH {Q}
+SELECT asset_id, source_id, {day('min(session)')} AS observed_start, {day('max(session)')} AS observed_end,
+       count(*) AS bar_count, count(DISTINCT session) AS session_count
+FROM q GROUP BY asset_id, source_id""")
+oracle("dq_replay", f"""
+WITH {Q}, found AS ({SESSION} UNION ALL {VOLUME})
+SELECT 'stored_only' AS side, finding_code, count(*) AS n FROM found WHERE finding_code = 'negative_volume' GROUP BY 2
+UNION ALL SELECT 'recomputed_only', finding_code, count(*) FROM found WHERE finding_code IN ('negative_volume', 'non_monotonic_sessions') GROUP BY 2""")

@@ -327,3 +327,39 @@ def test_holiday_calendar_positions(spark):
     ).bars.orderBy("session").collect()
     assert [r.session_no for r in rows] == [0, 1]
     assert rows[1].next_session == days[2]
+
+
+def test_exact_mode_is_digit_exact_and_bounded(spark, monkeypatch):
+    from decimal import ROUND_HALF_EVEN, Context, localcontext
+
+    from barloom.operators import exact
+
+    closes = [Decimal(v) for v in ("100", "102", "101", "105", "105", "104.5")]
+    days = weekdays("2026-01-05", len(closes))
+    bars = cover(
+        bars_frame(spark, [bar(d, c, open_=c + 1) for d, c in zip(days, closes)]),
+        calendar_frame(spark, days),
+    ).bars
+    got = exact.exact_wilder_rsi(bars, ["asset_id"], "session_no", "close", 2).orderBy("session_no")
+    with localcontext(Context(prec=28, rounding=ROUND_HALF_EVEN)):
+        g, l, expected = Decimal(1), Decimal("0.5"), [None, None, str(Decimal(200) / 3)]
+        for gain, loss in ((4, 0), (0, 0), (0, Decimal("0.5"))):
+            g, l = (g + gain) / 2, (l + loss) / 2
+            expected.append(str(100 * g / (g + l)))
+    assert [r.rsi for r in got.collect()][:2] == [None, None]
+    assert [Decimal(r.rsi) for r in got.collect()[2:]] == [Decimal(x) for x in expected[2:]]
+    targets = spark.createDataFrame(
+        [("X", days[0], instant(days[0], 22), instant(days[1], 14, 30), 1),
+         ("X", days[3], instant(days[3], 22), instant(days[4], 14, 30), 0)],
+        "asset_id string, session date, decision_at timestamp, effective_at timestamp, weight int",
+    )
+    points = exact.exact_backtest(bars, targets, Costs("x", 1000, 10, 5)).orderBy("session").collect()
+    with localcontext(Context(prec=28, rounding=ROUND_HALF_EVEN)):
+        c, s = Decimal(10) / 10000, Decimal(5) / 10000
+        held = Decimal(1000) / (1 + c) / (Decimal(103) * (1 + s))
+        proceeds = held * (Decimal(106) * (1 - s))
+        cash = proceeds - proceeds * c
+    assert Decimal(points[1].quantity) == held and Decimal(points[4].cash) == cash
+    monkeypatch.setattr(exact, "MAX_ROWS", 3)
+    with pytest.raises(ValueError):
+        exact.exact_wilder_rsi(bars, ["asset_id"], "session_no", "close", 2)
