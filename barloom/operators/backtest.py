@@ -103,12 +103,17 @@ def backtest(
             "slippage_cost"
         ),
     )
+    return Backtest(points, trades, run_totals(points, trades))
+
+
+def run_totals(points: DataFrame, trades: DataFrame) -> DataFrame:
+    """Final equity and costs per series and run."""
     spent = trades.groupBy(*RUN).agg(
         F.count(F.lit(1)).alias("trade_count"),
         F.sum("commission").alias("total_commission"),
         F.sum("slippage_cost").alias("total_slippage"),
     )
-    totals = (
+    return (
         points.groupBy(*RUN)
         .agg(
             F.max_by("equity", "session").alias("final_equity"),
@@ -117,7 +122,6 @@ def backtest(
         .join(spent, RUN, "left")
         .na.fill(0, ["trade_count", "total_commission", "total_slippage"])
     )
-    return Backtest(points, trades, totals)
 
 
 def _ledger(bars, targets, costs, position: str, size: int | None) -> DataFrame:

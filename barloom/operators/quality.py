@@ -504,10 +504,12 @@ def all_findings(
     ]
     if revisions is not None:
         parts.append(provider_revision(revision_bars, revisions))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
+    while len(parts) > 1:  # pairwise, so that no plan is analysed more than log(n) times
+        parts = [
+            parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i]
+            for i in range(0, len(parts), 2)
+        ]
+    return parts[0]
 
 
 def check_results(

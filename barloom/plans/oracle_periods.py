@@ -126,10 +126,20 @@ calendar AS (
 following AS (SELECT session AS last_session, lead(session) OVER (ORDER BY session) AS nxt FROM calendar)"""
 
 
+def gaps(frequency: str, name: str) -> str:
+    """Assets whose periods are not consecutive; the strategies withhold them."""
+    step = "7" if frequency == "1w" else "INTERVAL 1 MONTH"
+    return f"""
+gaps AS (
+  SELECT DISTINCT asset_id FROM (SELECT asset_id, period_start, lag(period_start) OVER (PARTITION BY asset_id ORDER BY period_start) AS p FROM {name})
+  WHERE period_start <> p + {step}
+)"""
+
+
 def period_targets(frequency: str, days: int, warmup: int, condition: str) -> str:
     return f"""
 WITH {BARS}, {extended(days)}, {periods(frequency, calendar='calendar')},
-whole AS (SELECT * FROM periods WHERE n = expected_count),
+whole AS (SELECT * FROM periods WHERE n = expected_count), {gaps(frequency, 'whole')},
 scored AS (
   SELECT *, row_number() OVER w - 1 AS i,
          sum(close) OVER (PARTITION BY asset_id ORDER BY period_start ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS s13,
@@ -139,7 +149,7 @@ scored AS (
 )
 SELECT asset_id, {day('last_session')} AS session, {day('last_session')} || ' 21:05:00' AS decision_at,
        {day('nxt')} || ' 14:30:00' AS effective_at, CAST({condition} AS BIGINT) AS weight
-FROM scored JOIN following USING (last_session) WHERE i >= {warmup - 1}"""
+FROM scored JOIN following USING (last_session) WHERE i >= {warmup - 1} AND asset_id NOT IN (SELECT asset_id FROM gaps)"""
 
 
 oracle("targets_s3", period_targets("1w", 14, 40, "s13 * 40 > s40 * 13"))
@@ -192,12 +202,12 @@ UNION ALL SELECT asset_id, 'calendar_mismatch', {day('period_start')}, NULL FROM
   WHERE period_start = DATE '1998-02-09' AND EXISTS (SELECT 1 FROM sessions WHERE session = DATE '1998-02-11')""")
 
 oracle("weekly_backtest", f"""
-WITH {BARS}, {periods('1w')},
+WITH {BARS}, {periods('1w')}, early AS (SELECT * FROM periods WHERE period_start < (SELECT max(period_start) FROM periods)), {gaps('1w', 'early')},
 scored AS (
   SELECT asset_id, last_session, row_number() OVER (PARTITION BY asset_id ORDER BY period_start) - 1 AS i,
          sum(close) OVER (PARTITION BY asset_id ORDER BY period_start ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS s13,
          sum(close) OVER (PARTITION BY asset_id ORDER BY period_start ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS s40
-  FROM periods WHERE period_start < (SELECT max(period_start) FROM periods)
+  FROM early WHERE asset_id NOT IN (SELECT asset_id FROM gaps)
 ),
 targets AS (
   SELECT s.asset_id, n.next_session, CASE WHEN s13 * 40 > s40 * 13 THEN 1 ELSE 0 END AS weight

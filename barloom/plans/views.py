@@ -244,6 +244,10 @@ def _arrival_numbers(rows: DataFrame) -> DataFrame:
 
 def quality_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source dimension; one asset's second source has an unknown schema."""
+    return stored(spark, sf_dir, "quality-sources", lambda: _quality_sources(spark, sf_dir))
+
+
+def _quality_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = (F.col("asset_id") == "N") & (F.col("source_id") == SECONDARY)
     return (
         bars_table(spark, sf_dir)
@@ -263,6 +267,10 @@ def quality_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One requested range per asset; one asset asks for adjusted data."""
+    return stored(spark, sf_dir, "quality-requests", lambda: _quality_requests(spark, sf_dir))
+
+
+def _quality_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         bars_table(spark, sf_dir)
         .select("asset_id")
@@ -290,6 +298,13 @@ def weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def revisions(spark: SparkSession, sf_dir: str):
     """Two observations of the first source: (bars of both, pairs)."""
+    return (
+        stored(spark, sf_dir, "revision-bars", lambda: _revisions(spark, sf_dir)[0]),
+        stored(spark, sf_dir, "revision-pairs", lambda: _revisions(spark, sf_dir)[1]),
+    )
+
+
+def _revisions(spark: SparkSession, sf_dir: str):
     bars = bars_table(spark, sf_dir).withColumn("d", day_number())
     cells = [F.col(f).cast("string").alias(f) for f in ("open", "high", "low", "close")]
     before = bars.select(

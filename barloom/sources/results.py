@@ -6,17 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.identity import canonical_json, instant_text, series_fingerprint
-from barloom.operators.backtest import RUN, Backtest
+from barloom.operators.backtest import RUN, Backtest, run_totals
 
 
 def write_run(result: Backtest, path: str, *, engine: str, dataset: str) -> None:
-    """Append points, trades, totals and one manifest row per series and run."""
-    for name in ("points", "trades", "totals"):
-        getattr(result, name).write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
-    stored = _read(result.points.sparkSession, path, "points")
-    _fingerprint(stored).withColumns(
+    """Store points and trades, their totals, and one manifest row per series and run.
+
+    ``path`` holds one experiment; it must not exist yet.
+    """
+    spark = result.points.sparkSession
+    for name in ("points", "trades"):
+        getattr(result, name).write.partitionBy("run_id").parquet(f"{path}/{name}")
+    # Totals and manifest come from what is stored, not from a further run of the backtest.
+    points, trades = _read(spark, path, "points"), _read(spark, path, "trades")
+    run_totals(points, trades).write.parquet(f"{path}/totals")
+    _fingerprint(points).withColumns(
         {"engine": F.lit(engine), "dataset": F.lit(dataset)}
-    ).write.mode("append").parquet(f"{path}/manifest")
+    ).write.parquet(f"{path}/manifest")
 
 
 def verify_run(spark: SparkSession, path: str) -> DataFrame:

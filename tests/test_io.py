@@ -165,7 +165,7 @@ def test_run_roundtrip_and_tampering(spark):
     targets = strategies.sma_targets(bars, sessions, window=2).require()
     run = backtest(cover(bars, sessions).bars, targets, (Costs("one"), Costs("two", 500, 1, 1)))
     path = fresh()
-    results.write_run(run, path, engine="e", dataset="d")
+    results.write_run(run, path := path + "/run", engine="e", dataset="d")
     assert {(r.run_id, r.verdict) for r in results.verify_run(spark, path).collect()} == {("one", "verified"), ("two", "verified")}
     points = spark.read.parquet(f"{path}/points")
     kept = fresh()
