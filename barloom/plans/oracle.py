@@ -19,7 +19,7 @@ bars_all AS (
 
 BARS = f"""{LINES},
 bars AS (
-  SELECT * FROM bars_all QUALIFY count(*) OVER (PARTITION BY session) = 3
+  SELECT * FROM bars_all QUALIFY count(*) OVER (PARTITION BY session) = (SELECT count(DISTINCT asset_id) FROM bars_all)
 ),
 sessions AS (SELECT DISTINCT session FROM bars),
 numbered AS (

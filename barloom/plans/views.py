@@ -10,7 +10,6 @@ from barloom.operators.segments import running_in_parts
 from barloom.schemas import PRICE, VOLUME
 from barloom.session import path_exists, prepare, write_scratch
 
-ASSETS = ("A", "N", "R")
 CALENDAR = "LINE"
 EPOCH = "1995-01-01"
 MICRO = 1_000_000
@@ -106,9 +105,10 @@ def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of the days on which every asset trades, stored."""
 
     def build():
-        bars = bars_table(spark, sf_dir).filter(F.col("asset_id").isin(*ASSETS))
+        bars = bars_table(spark, sf_dir)
+        assets = bars.agg(F.count_distinct("asset_id")).scalar()
         days = bars.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
-        common = days.filter(F.col("n") == len(ASSETS)).select("session")
+        common = days.filter(F.col("n") == assets).select("session")
         return bars.join(common, "session", "left_semi")
 
     return stored(spark, sf_dir, "bars-daily", build)

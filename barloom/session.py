@@ -17,6 +17,9 @@ DEFAULTS = {
 }
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def build_session(app_name: str = "barloom", master: str | None = None, **conf: str) -> SparkSession:
     """Create a session with the settings every operator here relies on."""
     builder = SparkSession.builder.appName(app_name)
@@ -44,9 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL_FOLDERS[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
