@@ -30,5 +30,5 @@ def test_shared_folder_order():
 def test_materialize_keeps_rows_and_schema(spark):
     df = spark.range(5).selectExpr("id", "cast(id as decimal(18,6)) as x")
     stored = session.materialize(df, "t")
-    assert stored.schema == df.schema and stored.count() == 5
+    assert stored.dtypes == df.dtypes and stored.count() == 5
     assert session.path_exists(spark, stored.inputFiles()[0].rsplit("/", 1)[0])
