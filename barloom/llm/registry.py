@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import simhash
-from barloom.llm.tables import table
+from barloom.llm import mixing, mixing_sql, simhash, urls, urls_sql
+from barloom.llm.tables import table, word_count
 
 QUERIES = {}
 ORACLES = {}
@@ -26,3 +26,37 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources takes of every document, range-sorted by first training position."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", word_count(F.col("text")).alias("words")
+    )
+    found = mixing.assign(docs, F.col("words"))
+    first = F.element_at("uses", 1)["position"]
+    return found.select(
+        "doc_id", "size", "source_size", "target", "taken", F.when(F.size("uses") > 0, first).alias("position")
+    ).orderBy(F.col("position").asc_nulls_last())
+
+
+ORACLES["op2_mixing"] = mixing_sql.OP2
+
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+
+
+@query
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    found = urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op8_url_filters"] = urls_sql.OP8
