@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing, mixing_sql, simhash, urls, urls_sql
+from barloom.llm import mixing, mixing_sql, packing, simhash, urls, urls_sql
 from barloom.llm.tables import table, word_count
 
 QUERIES = {}
@@ -60,3 +61,14 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_url_filters"] = urls_sql.OP8
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document and their places in sequences."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    cut = packing.pieces(table(spark, sf_dir, "documents"), path)
+    digests = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.place(digests).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
