@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -196,7 +197,16 @@ def disguised_identifiers(text: str, plain: list[Span]) -> list[Span]:
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 
 
-@F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
+_SPANS = T.ArrayType(
+    T.StructType()
+    .add("kind", T.StringType())
+    .add("start", T.LongType())
+    .add("end", T.LongType())
+    .add("base", T.BooleanType())
+)
+
+
+@F.arrow_udf(_SPANS)
 def spans(texts: pa.Array) -> pa.Array:
     """Spans of a whole text in order of start, then kind; ``base`` marks those found without undoing disguises."""
     rows = []
@@ -213,7 +223,7 @@ def spans(texts: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(_SPAN))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _masked(texts: pa.Array, found: pa.Array) -> pa.Array:
     out = []
     for text, places in zip(texts.to_pylist(), found.to_pylist(), strict=True):
