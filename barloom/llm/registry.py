@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing, mixing_sql, packing, pii, quality_model, simhash, urls, urls_sql
+from barloom.llm import mixing, mixing_sql, packing, pii, quality_model, rules, rules_sql, simhash, urls, urls_sql
 from barloom.llm.tables import table, word_count
 
 QUERIES = {}
@@ -99,3 +99,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    found = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+ORACLES["op4_quality_rules"] = rules_sql.OP4
