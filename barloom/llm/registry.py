@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing, mixing_sql, packing, pii, quality_model, rules, rules_sql, simhash, urls, urls_sql
+from barloom.llm import mixing, mixing_sql, packing, pii, quality_model, rules, rules_sql, simhash, topk, topk_sql, urls, urls_sql
 from barloom.llm.tables import table, word_count
 
 QUERIES = {}
@@ -111,3 +111,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_quality_rules"] = rules_sql.OP4
+
+
+@query
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every 50th vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+ORACLES["op3_topk"] = topk_sql.OP3
