@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing, mixing_sql, packing, pii, quality_model, rules, rules_sql, simhash, topk, topk_sql, urls, urls_sql
+from barloom.llm import chat, mixing, mixing_sql, packing, pii, quality_model, rules, rules_sql, simhash, topk, topk_sql, urls, urls_sql
 from barloom.llm.tables import table, word_count
 
 QUERIES = {}
@@ -121,3 +121,18 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_topk"] = topk_sql.OP3
+
+
+@query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical turns of every conversation, with roles recovered from the texts alone."""
+    told = table(spark, sf_dir, "conversations")
+    model = chat.fit(told)
+    found = chat.turns(chat.roles(told.drop("role"), model))
+    return found.select(
+        F.col("conv").alias("conv_id"),
+        F.col("place").alias("turn"),
+        F.col("part").cast("long").alias("part"),
+        "role",
+        chat.rendered(F.col("role"), F.col("text")).alias("rendered"),
+    )
