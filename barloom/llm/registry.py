@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, mixing, mixing_sql, packing, pii, quality_model, rules, rules_sql, simhash, topk, topk_sql, urls, urls_sql
+from barloom.llm import chat, mixing, mixing_sql, packing, pii, quality_model, repeats, rules, rules_sql, simhash, topk, topk_sql, urls, urls_sql
 from barloom.llm.tables import table, word_count
 
 QUERIES = {}
@@ -136,3 +136,17 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "role",
         chat.rendered(F.col("role"), F.col("text")).alias("rendered"),
     )
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings that earlier documents hold."""
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        size.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
