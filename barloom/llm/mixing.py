@@ -37,7 +37,7 @@ def targets(
     ) / F.sum("weight").over(after)
     levels = named.withColumn("level", level)
     open_level = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
-    return levels.withColumn("open", F.min(open_level).over(everything)).select(
+    return levels.withColumn("open", F.max(open_level).over(everything)).select(
         "source",
         "source_size",
         "weight",

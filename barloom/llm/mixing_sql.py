@@ -11,7 +11,7 @@ n AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LA
 l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST
           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM n),
-t AS (SELECT *, least(cap, coalesce(min(level) FILTER (level * weight <= cap) OVER () * weight, cap)) AS target FROM l),
+t AS (SELECT *, least(cap, coalesce(max(level) FILTER (level * weight <= cap) OVER () * weight, cap)) AS target FROM l),
 p AS (SELECT d.*, source_size, target, tilt, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY
           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 65536, md5(coalesce(doc_id::VARCHAR, '')), doc_id, size
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
