@@ -116,7 +116,7 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
 def _contexts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every shared position with all bytes that a LENGTH-byte string around it can hold."""
     for batch in frames:
-        columns: list[list] = [[] for _ in range(7)]
+        columns: list[list] = [[] for _ in range(6)]
         for number, (text, shared) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
             data = text.as_py().encode()
             wanted = np.frombuffer(b"".join(shared.as_py()), np.uint64)
@@ -127,15 +127,14 @@ def _contexts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns[0] += [number] * len(at)
             columns[1] += name.view(np.int64).tolist()
             columns[2] += [data[a:b] for a, b in zip(starts.tolist(), (at + LENGTH).tolist(), strict=True)]
-            columns[3] += (at - starts).tolist()
-            columns[4] += (first - starts).tolist()
-            columns[5] += (last - starts).tolist()
-            columns[6] += starts.tolist()
+            columns[3] += (first - starts).tolist()
+            columns[4] += (last - starts).tolist()
+            columns[5] += starts.tolist()
         rows = pa.array(columns[0], pa.int64())
-        ints = [pa.array(c, pa.int64()) for c in (columns[1], *columns[3:])]
+        ints = [pa.array(c, k) for c, k in zip((columns[1], *columns[3:]), (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
         yield pa.record_batch(
             [batch.column(0).take(rows), batch.column(1).take(rows), ints[0], pa.array(columns[2], pa.binary()), *ints[1:]],
-            names=["ord", "key", "name", "context", "off", "lo", "hi", "base"],
+            names=["ord", "key", "name", "context", "lo", "hi", "base"],
         )
 
 
@@ -189,27 +188,33 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     packed = rows.select("key", "text").mapInArrow(_packed(buckets), "bucket bigint, names binary, keys binary")
     shared = packed.groupBy("bucket").applyInPandas(_shared, "key bigint, names binary")
     wanted = shared.groupBy("key").agg(F.collect_list("names").alias("shared"))
+    wanted = stored(wanted, "wanted")
     asked = heads.join(wanted, "key").select("sha", F.col("head").alias("ord"), "shared")
     chosen = rows.select("ord", "sha", "key", "text").join(asked, ["ord", "sha"]).select("ord", "key", "text", "shared")
-    kinds = "ord bigint, key bigint, name bigint, context binary, off bigint, lo bigint, hi bigint, base bigint"
-    places = stored(chosen.mapInArrow(_contexts, kinds).withColumn("ck", F.xxhash64("context")), "places")
+    kinds = "ord bigint, key bigint, name bigint, context binary, lo int, hi int, base bigint"
+    places = chosen.mapInArrow(_contexts, kinds).withColumn("class", F.xxhash64("context", "lo", "hi"))
+    places = stored(places, "places")
 
-    label = ["name", "ck", "off", "lo", "hi"]
-    classes = places.groupBy(*label).agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.min("context").alias("context"))
-    classes = stored(classes, "classes")
+    # The name and the hash of the context are 128 bits of it.
+    label = ["name", "class"]
+    classes = stored(places.groupBy(*label).agg(F.min("ord").alias("least"), F.max("ord").alias("most")), "classes")
     several = classes.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
-    strings = classes.join(several, "name").select(
-        *label, "least", F.explode(F.sequence("lo", "hi")).alias("at"), "context"
-    ).select(*label, "least", "at", F.substring("context", F.col("at").cast("int") + 1, F.lit(LENGTH)).alias("string"))
-    strings = stored(strings.withColumn("sk", F.xxhash64("string")).drop("string"), "strings")
-    # The name and the hash of the string are 128 bits of it.
-    before = strings.groupBy("name", "sk").agg(F.min("least").alias("first"))
+    several = stored(classes.join(several, "name").select(*label, F.col("least").alias("ord")), "several")
+    # One row of each class, that of the least id, brings the bytes.
+    strings = places.select(*label, "ord", "context", "lo", "hi").join(several, [*label, "ord"]).select(
+        *label, F.col("ord").alias("least"), F.explode(F.sequence("lo", "hi")).alias("at"), "context"
+    )
+    strings = strings.select(*label, "least", "at", F.xxhash64(F.substring("context", F.col("at") + 1, F.lit(LENGTH))).alias("sk"))
+    before = strings.groupBy("name", "sk").agg(F.min("least").alias("first"), F.max("least").alias("last")).filter("first < last")
     resolved = (
-        strings.join(before, ["name", "sk"])
+        strings.join(before.drop("last"), ["name", "sk"])
         .groupBy(*label)
-        .agg(F.collect_list(F.struct("at", "first")).alias("firsts"))
+        .agg(F.collect_set(F.struct("at", "first")).alias("firsts"))
+    )
+    resolved = stored(resolved, "resolved")
+    judged = places.select(*label, "ord", "key", "lo", "hi", "base").join(
+        classes.filter("least < most").drop("most"), label, "left"
     )
-    judged = places.drop("context").join(classes.drop("context").filter("least < most").drop("most"), label, "left")
     judged = judged.join(resolved, label, "left").filter("least is not null or firsts is not null")
     each = F.transform(
         F.filter("firsts", lambda f: f["first"] < F.col("ord")),
@@ -220,7 +225,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.array(F.struct((F.col("base") + F.col("lo")).alias("a"), (F.col("base") + F.col("hi") + LENGTH).alias("b"))),
     )
     ranges = judged.select("ord", "key", F.explode(F.coalesce(whole, each)).alias("r"))
-    ranges = ranges.groupBy("ord", "key").agg(F.collect_list("r").alias("ranges"))
+    ranges = stored(ranges.groupBy("ord", "key").agg(F.collect_list("r").alias("ranges")), "ranges")
     copies = known.join(heads, ["sha", "key"]).filter("ord > head").select("ord", "key").distinct().withColumn("copy", F.lit(True))
     marks = copies.join(ranges, ["ord", "key"], "full")
     found = rows.join(marks, ["ord", "key"], "left").withColumn(

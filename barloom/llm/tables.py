@@ -33,7 +33,10 @@ class Stored:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, name)
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
+        # Spark deletes shuffle files once the driver has collected what refers to them; a driver that
+        # holds little collects too seldom, and the files of all steps so far would pile up.
+        self.spark._jvm.System.gc()
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
