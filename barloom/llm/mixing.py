@@ -125,7 +125,7 @@ def take(sized: DataFrame, *, weights, tilts, share, most) -> DataFrame:
     def use(epoch):
         at = start + epoch * F.col("source_size")
         words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), budget - at))
-        middle = (at + words / 2) / F.col("target")
+        middle = F.try_divide(at + words / 2, F.col("target"))
         return F.struct(
             epoch.cast("int").alias("epoch"), words.alias("words"), position(middle, F.col("tilt")).alias("position")
         )

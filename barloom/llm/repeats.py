@@ -116,7 +116,7 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
 def _contexts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every shared position with all bytes that a LENGTH-byte string around it can hold."""
     for batch in frames:
-        columns: list[list] = [[] for _ in range(6)]
+        columns: list[list] = [[] for _ in range(7)]
         for number, (text, shared) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
             data = text.as_py().encode()
             wanted = np.frombuffer(b"".join(shared.as_py()), np.uint64)
@@ -130,11 +130,12 @@ def _contexts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns[3] += (first - starts).tolist()
             columns[4] += (last - starts).tolist()
             columns[5] += starts.tolist()
+            columns[6] += (at - starts).tolist()
         rows = pa.array(columns[0], pa.int64())
-        ints = [pa.array(c, k) for c, k in zip((columns[1], *columns[3:]), (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+        ints = [pa.array(c, k) for c, k in zip((columns[1], *columns[3:]), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)]
         yield pa.record_batch(
             [batch.column(0).take(rows), batch.column(1).take(rows), ints[0], pa.array(columns[2], pa.binary()), *ints[1:]],
-            names=["ord", "key", "name", "context", "lo", "hi", "base"],
+            names=["ord", "key", "name", "context", "lo", "hi", "base", "off"],
         )
 
 
@@ -162,6 +163,29 @@ _RANGES = T.ArrayType(T.StructType().add("a", T.LongType()).add("b", T.LongType(
 _removed = F.arrow_udf(T.StructType().add("n_bytes", T.LongType()).add("spans", _RANGES).add("kept", T.BinaryType()))(_removed)
 
 
+def _half_shared(contexts: DataFrame, label: list[str]) -> DataFrame:
+    """Classes that share a doubling step of half the reach with a class of another id: ``left`` or ``right`` of the name.
+
+    A LENGTH-byte string holds at least half of the other bytes on one side of the name, so
+    classes that share neither half share no string.
+    """
+    half = (LENGTH - GRAM) // 2
+    left = F.when(F.col("off") >= half, F.xxhash64(F.substring("context", F.col("off") - half + 1, F.lit(half))))
+    right = F.when(
+        F.octet_length("context") >= F.col("off") + GRAM + half,
+        F.xxhash64(F.substring("context", F.col("off") + GRAM + 1, F.lit(half))),
+    )
+    sides = contexts.withColumns({"_left": left, "_right": right})
+
+    def shared(side: str) -> DataFrame:
+        found = sides.groupBy("name", f"_{side}").agg(F.min("least").alias("a"), F.max("least").alias("b"))
+        return found.filter("a < b").select("name", f"_{side}", F.lit(True).alias(side))
+
+    marked = sides.join(shared("left"), ["name", "_left"], "left").join(shared("right"), ["name", "_right"], "left")
+    marked = marked.na.fill(False, ["left", "right"]).filter("left or right")
+    return marked.select(*label, "least", "context", "lo", "hi", "off", "left", "right")
+
+
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with ``n_bytes``, ``spans`` (byte ranges removed, end exclusive) and ``kept`` (the bytes left).
 
@@ -191,8 +215,8 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = stored(wanted, "wanted")
     asked = heads.join(wanted, "key").select("sha", F.col("head").alias("ord"), "shared")
     chosen = rows.select("ord", "sha", "key", "text").join(asked, ["ord", "sha"]).select("ord", "key", "text", "shared")
-    kinds = "ord bigint, key bigint, name bigint, context binary, lo int, hi int, base bigint"
-    places = chosen.mapInArrow(_contexts, kinds).withColumn("class", F.xxhash64("context", "lo", "hi"))
+    kinds = "ord bigint, key bigint, name bigint, context binary, lo int, hi int, base bigint, off int"
+    places = chosen.mapInArrow(_contexts, kinds).withColumn("class", F.xxhash64("context", "lo", "hi", "off"))
     places = stored(places, "places")
 
     # The name and the hash of the context are 128 bits of it.
@@ -201,9 +225,13 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     several = classes.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
     several = stored(classes.join(several, "name").select(*label, F.col("least").alias("ord")), "several")
     # One row of each class, that of the least id, brings the bytes.
-    strings = places.select(*label, "ord", "context", "lo", "hi").join(several, [*label, "ord"]).select(
-        *label, F.col("ord").alias("least"), F.explode(F.sequence("lo", "hi")).alias("at"), "context"
-    )
+    brought = places.select(*label, "ord", "context", "lo", "hi", "off").join(several, [*label, "ord"])
+    brought = stored(brought.withColumnRenamed("ord", "least"), "contexts")
+    eligible = _half_shared(brought, label)
+    strings = eligible.select(*label, "least", F.explode(F.sequence("lo", "hi")).alias("at"), "context", "off", "left", "right")
+    half = (LENGTH - GRAM) // 2
+    before_gram = F.col("off") - F.col("at")
+    strings = strings.filter((F.col("left") & (before_gram >= half)) | (F.col("right") & (before_gram <= half)))
     strings = strings.select(*label, "least", "at", F.xxhash64(F.substring("context", F.col("at") + 1, F.lit(LENGTH))).alias("sk"))
     before = strings.groupBy("name", "sk").agg(F.min("least").alias("first"), F.max("least").alias("last")).filter("first < last")
     resolved = (
