@@ -12,21 +12,25 @@ from pyspark.sql import types as T
 
 # Words that mark a key as a credential.
 CREDENTIAL_TOKENS = (
-    "auth authentication authorization bearer cookie cookies credential credentials password "
-    "passwd secret signature token"
-).split()
+    "auth", "authentication", "authorization", "bearer", "cookie", "cookies", "credential",
+    "credentials", "password", "passwd", "secret", "signature", "token",
+)
+# Keys written without separators.
 COMPACT_KEYS = (
-    "accesskey accesskeyid accesstoken appkey appsecret apikey authtoken clientsecret "
-    "consumerkey encryptionkey functionskey privatekey refreshtoken secretaccesskey secretkey "
-    "securitytoken sessiontoken signingkey subscriptionkey"
-).split()
+    "accesskey", "accesskeyid", "accesstoken", "appkey", "appsecret", "apikey", "authtoken",
+    "clientsecret", "consumerkey", "encryptionkey", "functionskey", "privatekey", "refreshtoken",
+    "secretaccesskey", "secretkey", "securitytoken", "sessiontoken", "signingkey",
+    "subscriptionkey",
+)
+# Endings of keys written without separators.
 COMPACT_SUFFIXES = (
-    "authorization credential passwd password secret signature token"
-).split()
+    "authorization", "credential", "passwd", "password", "secret", "signature", "token",
+)
+# Words that make a key next to them a credential.
 KEY_QUALIFIERS = (
-    "access api apim app aws azure consumer encryption functions oauth oauth2 private secret "
-    "service signing subscription"
-).split()
+    "access", "api", "apim", "app", "aws", "azure", "consumer", "encryption", "functions",
+    "oauth", "oauth2", "private", "secret", "service", "signing", "subscription",
+)
 
 
 def decode_keys(keys: Column) -> Column:
@@ -83,11 +87,11 @@ def classify_keys(keys: DataFrame) -> DataFrame:
 
 
 def json_keys(df: DataFrame, id_column: str, json_column: str, *, depth: int) -> DataFrame:
-    """All object keys of a JSON text column down to ``depth`` levels, one row each.
+    """All object keys of a JSON text column, one row each, with their level.
 
-    Each document is walked level by level inside its own row, so the table is read once.
-    Rows with ``key`` NULL mark content below the declared depth; callers treat them as
-    unscreened.
+    Each document is walked level by level inside its own row, so the table is read once. Keys
+    below ``depth`` levels are found as string tokens before a colon, however deep they are,
+    and carry the level ``depth + 1``.
     """
     walked = df.select(id_column, _members(F.col(json_column)).alias("_level_1"))
     for level in range(2, depth + 2):
@@ -96,17 +100,43 @@ def json_keys(df: DataFrame, id_column: str, json_column: str, *, depth: int) ->
             f"_level_{level}", F.flatten(F.transform(inner, lambda m: _members(m["value"])))
         )
     found = [
-        F.transform(
-            F.filter(f"_level_{level}", lambda m: m["key"].isNotNull()),
-            _at_level(level),
-        )
-        for level in range(1, depth + 1)
+        F.transform(F.filter(f"_level_{level}", lambda m: m["key"].isNotNull()), _at_level(level))
+        for level in range(1, depth + 2)
     ]
-    deeper = F.when(
-        F.size(f"_level_{depth + 1}") > 0,
-        F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(depth + 1).alias("level"))),
-    ).otherwise(F.array().cast("array<struct<key:string,level:int>>"))
-    return walked.select(id_column, F.inline(F.concat(*found, deeper)))
+    below = F.transform(
+        F.flatten(F.transform(f"_level_{depth + 1}", lambda m: key_tokens_in(m["value"]))),
+        lambda key: F.struct(key.alias("key"), F.lit(depth + 1).alias("level")),
+    )
+    return walked.select(id_column, F.inline(F.array_distinct(F.concat(*found, below))))
+
+
+def key_tokens_in(text: Column) -> Column:
+    """Keys anywhere in a JSON text: strings that a colon follows. Empty for NULL."""
+    strings = F.regexp_extract_all(
+        F.coalesce(text, F.lit("")), F.lit(r'"(?:[^"\\]|\\.)*+"\s*+:?'), F.lit(0)
+    )
+    keys = F.filter(strings, lambda s: s.endswith(":"))
+    quoted = F.transform(keys, lambda s: F.regexp_replace(s, r"\s*:$", ""))
+    plain = F.transform(
+        quoted,
+        # An escape that does not parse leaves the key as it is written.
+        lambda s: F.coalesce(
+            F.get(F.from_json(F.concat(F.lit("["), s, F.lit("]")), "array<string>"), F.lit(0)),
+            F.substring(s, F.lit(2), F.length(s) - 2),
+        ),
+    )
+    return plain
+
+
+def is_readable(text: Column) -> Column:
+    """One JSON object, array or scalar with nothing before or after it, or NULL."""
+    scalar = r'^\s*("(?:[^"\\]|\\.)*+"|-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false|null)?\s*$'
+    closed = text.rlike(r"^\s*\{[\s\S]*\}\s*$") | text.rlike(r"^\s*\[[\s\S]*\]\s*$")
+    # Brackets inside strings do not count; more than one top-level value leaves a remainder.
+    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', "")
+    parsed = F.from_json(text, "map<string,string>").isNotNull() | F.from_json(text, "array<string>").isNotNull()
+    single = ~bare.rlike(r"[}\]]\s*[{\[\w]")
+    return F.coalesce(text.rlike(scalar) | (closed & parsed & single), F.lit(True))
 
 
 def _at_level(level: int):
@@ -128,9 +158,14 @@ def _members(text: Column) -> Column:
 
 
 def screen_json(df: DataFrame, id_column: str, json_column: str, *, depth: int = 6) -> DataFrame:
-    """Rows to quarantine: those with a credential key, or nested deeper than ``depth``."""
+    """Rows to quarantine: those with a credential key at any depth, and those that are no readable JSON.
+
+    Unreadable text has one row with the key ``<unreadable>`` at level 0: what cannot be
+    screened does not pass. ``depth`` only bounds how far levels are told apart.
+    """
     keys = json_keys(df, id_column, json_column, depth=depth)
-    judged = keys.join(classify_keys(keys.filter(F.col("key").isNotNull())), "key", "left")
-    return judged.filter(F.col("key").isNull() | F.col("is_credential")).select(
-        id_column, F.coalesce("key", F.lit("<nested too deep>")).alias("key"), "level"
+    judged = keys.join(classify_keys(keys), "key").filter("is_credential")
+    unreadable = df.filter(~is_readable(F.col(json_column))).select(
+        id_column, F.lit("<unreadable>").alias("key"), F.lit(0).alias("level")
     )
+    return judged.select(id_column, "key", "level").unionByName(unreadable)

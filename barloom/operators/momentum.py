@@ -32,25 +32,40 @@ def momentum_selection(
         "period_end",
         F.col("close").alias("now"),
         F.lag("close", lookback).over(spec).alias("then"),
+        F.lag("period_start", lookback).over(spec).alias("_from"),
         trailing_watermark("available_at", lookback + 1, spec).alias("available_at"),
-    ).filter(F.col("then").isNotNull())
+    )
+    # The row that many rows before must also be that many months before: a gap has no return.
+    rows = rows.filter(F.col("then").isNotNull() & (F.add_months("_from", lookback) == F.col("period_start")))
     ratio = F.col("now").cast("double") / F.col("then").cast("double")
+    # Closes are compared by cross-multiplication. The largest rounded ratio is at most a few units
+    # of the last place above the true one, so only assets that close can be the best.
+    near = F.col("ratio") >= F.col("top") * (1 - 1e-12)
+    tops = rows.groupBy("period_start").agg(F.max(ratio).alias("top"))
+    contenders = rows.withColumn("ratio", ratio).join(tops, "period_start").filter(near)
+    leaders = contenders.groupBy("period_start").agg(
+        F.collect_set(F.struct("now", "then")).alias("_ratios")
+    )
+    ahead = F.aggregate(
+        "_ratios",
+        F.get("_ratios", F.lit(0)),
+        lambda x, y: F.when(y["now"] * x["then"] > x["now"] * y["then"], y).otherwise(x),
+    )
+    leaders = leaders.select("period_start", ahead.alias("best"))
+    ties = (
+        contenders.join(leaders, "period_start")
+        .filter(F.col("now") * F.col("best.then") == F.col("best.now") * F.col("then"))
+        .groupBy("period_start")
+        .agg(F.count(F.lit(1)).alias("leaders"), F.min("asset_id").alias("leader"), F.first("best").alias("best"))
+    )
     best = rows.groupBy("period_start", "period_end").agg(
         F.max("available_at").alias("decision_at"),
-        F.max_by(F.struct("asset_id", "now", "then"), ratio).alias("best"),
         F.count(F.lit(1)).alias("asset_count"),
         F.min(ratio - 1).alias("weakest_return"),
     )
-    ties = (
-        rows.join(best.select("period_start", "best"), "period_start")
-        .groupBy("period_start")
-        .agg(
-            F.count_if(
-                F.col("now") * F.col("best.then") == F.col("best.now") * F.col("then")
-            ).alias("leaders")
-        )
-    )
-    strongest = F.col("best.now").cast("double") / F.col("best.then").cast("double") - 1
+    # The exact difference first, so that the sign is never lost to rounding.
+    gain = F.col("best.now") - F.col("best.then")
+    strongest = gain.cast("double") / F.col("best.then").cast("double")
     above = (
         F.col("best.now") > F.col("best.then") if hurdle == 0 else strongest > F.lit(hurdle)
     )
@@ -62,7 +77,7 @@ def momentum_selection(
         "asset_count",
         strongest.alias("strongest_return"),
         "weakest_return",
-        F.when(~tied & above, F.col("best.asset_id")).alias("selected_asset"),
+        F.when(~tied & above, F.col("leader")).alias("selected_asset"),
         F.when(tied, TIE).when(above, RISK_ON).otherwise(CASH).alias("reason"),
     )
 

@@ -102,7 +102,7 @@ def schema_contract(
         F.lit("unsupported_normalized_schema"),
         F.coalesce("_first", "requested_start"),
         F.coalesce("_last", "requested_end"),
-        F.lit("normalized input schema is not accepted by quality policy"),
+        F.lit("the source's schema version is not among the accepted ones"),
         F.array("source_id"),
         F.struct("normalizer_id", "normalizer_version", "schema_version"),
     )
@@ -121,7 +121,7 @@ def session_integrity(bars: DataFrame) -> DataFrame:
         F.lit("duplicate_session"),
         F.col("session"),
         F.col("session"),
-        F.lit("duplicate market session"),
+        F.lit("more than one bar for this session"),
         F.array("source_id"),
         F.struct("count"),
     )
@@ -141,7 +141,7 @@ def session_integrity(bars: DataFrame) -> DataFrame:
         F.lit("non_monotonic_sessions"),
         F.col("session"),
         F.col("previous"),
-        F.lit("adjacent source sessions are not monotonically increasing"),
+        F.lit("a bar arrived after one of a later session"),
         F.array("source_id"),
         F.struct(
             _iso("session").alias("current_session"), _iso("previous").alias("previous_session")
@@ -168,8 +168,8 @@ def ohlc_integrity(bars: DataFrame) -> DataFrame:
         F.when(lost, "non_finite_field").otherwise("non_positive_price"),
         F.col("session"),
         F.col("session"),
-        F.when(lost, F.concat("field", F.lit(" is not a finite decimal"))).otherwise(
-            F.concat("field", F.lit(" must be positive"))
+        F.when(lost, F.concat("field", F.lit(" is no finite number"))).otherwise(
+            F.concat("field", F.lit(" is not above zero"))
         ),
         F.array("source_id"),
         F.struct(F.coalesce("text", F.lit("None")).alias("value")),
@@ -186,7 +186,7 @@ def ohlc_integrity(bars: DataFrame) -> DataFrame:
         F.lit("invalid_ohlc"),
         F.col("session"),
         F.col("session"),
-        F.lit("OHLC ordering is internally inconsistent"),
+        F.lit("open, high, low and close contradict each other"),
         F.array("source_id"),
         F.struct("close", "high", "low", "open"),
     )
@@ -203,7 +203,7 @@ def volume_integrity(bars: DataFrame) -> DataFrame:
         F.when(lost, "non_finite_field").otherwise("negative_volume"),
         F.col("session"),
         F.col("session"),
-        F.when(lost, "volume is not a finite decimal").otherwise("volume must be non-negative"),
+        F.when(lost, "the volume is no finite number").otherwise("the volume is below zero"),
         F.array("source_id"),
         F.struct(F.coalesce("volume", F.lit("None")).alias("value")),
         field=F.lit("volume"),
@@ -218,7 +218,7 @@ def calendar_membership(bars: DataFrame, sessions: DataFrame) -> DataFrame:
         F.lit("unexpected_session"),
         F.col("session"),
         F.col("session"),
-        F.lit("bar session is not in the supplied exchange calendar"),
+        F.lit("the calendar has no such session"),
         F.array("source_id"),
         F.struct(F.lit(False).alias("calendar_member")),
     )
@@ -238,7 +238,7 @@ def source_coverage(bars: DataFrame, sources: DataFrame, sessions: DataFrame) ->
         F.lit("source_missing_session"),
         F.col("start"),
         F.col("end"),
-        F.lit("source is missing one or more expected sessions"),
+        F.lit("no bar of this source for these calendar sessions"),
         F.array("source_id"),
         F.struct(F.col("n").alias("missing_count")),
     )
@@ -272,7 +272,7 @@ def requested_range_coverage(
         F.lit("no_expected_sessions_in_requested_range"),
         F.col("requested_start"),
         F.col("requested_end"),
-        F.lit("requested range contains no expected exchange sessions"),
+        F.lit("the calendar has no session in this range"),
         F.col("_ids"),
         F.struct(minimum.alias("minimum_sources")),
     )
@@ -309,7 +309,7 @@ def requested_range_coverage(
         F.col("code"),
         F.col("start"),
         F.col("end"),
-        F.lit("requested range lacks the required source coverage"),
+        F.lit("fewer sources than required for these sessions"),
         F.col("_ids"),
         F.struct(
             minimum.alias("minimum_sources"),
@@ -346,7 +346,7 @@ def cross_source_overlap(bars: DataFrame, sources: DataFrame) -> DataFrame:
         F.lit("cross_source_session_missing"),
         F.col("session"),
         F.col("session"),
-        F.lit("session exists in one source but not the other"),
+        F.lit("only one of the two sources has these sessions"),
         F.array("missing_from", "_other"),
         F.struct("missing_from"),
     )
@@ -401,7 +401,7 @@ def cross_source_ohlc(bars: DataFrame, requests: DataFrame, policy: QualityPolic
         F.when(mild, "cross_source_field_warning").otherwise("cross_source_field_conflict"),
         F.col("session"),
         F.col("session"),
-        F.lit("cross-source field difference exceeds policy tolerance"),
+        F.lit("the sources differ by more than the policy allows"),
         F.array("left_id", "right_id"),
         F.struct(
             F.format_string("%.6f", F.col("difference_bps")).alias("difference_bps"),
@@ -449,7 +449,7 @@ def provider_revision(revision_bars: DataFrame, revisions: DataFrame) -> DataFra
         F.lit("provider_history_revision"),
         F.col("session"),
         F.col("session"),
-        F.lit("provider history differs between two captures"),
+        F.lit("a later observation of the same request differs"),
         F.array("previous_id", "current_id"),
         F.struct(
             "changed_fields",
@@ -467,7 +467,7 @@ def adjustment_semantics(requests: DataFrame) -> DataFrame:
         F.lit("unsupported_adjustment_semantics"),
         F.col("requested_start"),
         F.col("requested_end"),
-        F.lit("adjusted series require accepted point-in-time action semantics"),
+        F.lit("adjusted prices are not supported as they can change afterwards"),
         F.array().cast("array<string>"),
         F.struct("adjustment_mode"),
     )
@@ -770,7 +770,7 @@ def requested_positions(requests: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def parsed(column: str) -> Column:
-    """Number of a raw text cell; NULL for anything that is not a finite decimal."""
+    """Number of a raw text cell; NULL for anything that is no finite number."""
     return F.expr(f"try_cast({column} AS {PRICE})")
 
 

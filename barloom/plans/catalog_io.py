@@ -253,7 +253,7 @@ def canonical_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _request_json(events: DataFrame) -> DataFrame:
-    """Request documents around the event properties; some carry credential-like keys."""
+    """Request documents around the event properties; some carry credential-like keys, some cannot be read."""
     kind = F.col("event_type")
     extra = (
         F.when(kind == "click", F.lit('"apiKey":"x"'))
@@ -263,10 +263,14 @@ def _request_json(events: DataFrame) -> DataFrame:
         .otherwise(F.lit('"ｐａｓｓｗｄ":"x"'))
     )
     body = F.regexp_replace("props", r"\}$", "")
+    # Two kinds of text that cannot be read: cut off, and with something before the brace.
+    cut, led = ((kind == "signup") & (F.col("event_id") % n == 0) for n in (97, 101))
     return events.select(
         "event_id",
         "event_type",
-        F.concat(body, F.lit(","), extra, F.lit("}")).alias("request"),
+        F.concat(
+            F.when(led, "x ").otherwise(""), body, F.lit(","), extra, F.when(cut, "").otherwise("}")
+        ).alias("request"),
     )
 
 

@@ -122,9 +122,10 @@ SELECT asset_id, {day('session')} AS session, {plain('close')} AS close, {plain(
 oracle("credential_scan", """
 SELECT e.event_id, v.key, CAST(v.level AS BIGINT) AS level
 FROM events e JOIN (VALUES ('click', 'apiKey', 1), ('error', 'X-Auth-Token2', 3), ('purchase', 'client%5Fsecret', 2), ('view', 'ｐａｓｓｗｄ', 1)) v(kind, key, level)
-  ON e.event_type = v.kind""")
+  ON e.event_type = v.kind
+UNION ALL SELECT event_id, '<unreadable>', 0 FROM events WHERE event_type = 'signup' AND (event_id % 97 = 0 OR event_id % 101 = 0)""")
 oracle("credential_quarantine", """
-SELECT event_type, count(*) AS documents, count(*) FILTER (event_type = 'signup') AS kept FROM events GROUP BY event_type""")
+SELECT event_type, count(*) AS documents, count(*) FILTER (event_type = 'signup' AND event_id % 97 <> 0 AND event_id % 101 <> 0) AS kept FROM events GROUP BY event_type""")
 
 oracle("normalize_lower", f"""
 WITH {BASE},

@@ -56,7 +56,7 @@ SCHEMA = finding(
     "schema_contract", "'error'", "'unsupported_normalized_schema'", "coalesce(a, requested_start)",
     "coalesce(b, requested_end)", "CAST(NULL AS VARCHAR)", "source_id",
     "'{\"normalizer_id\":\"daily\",\"normalizer_version\":\"1\",\"schema_version\":\"' || schema_version || '\"}'",
-    "'normalized input schema is not accepted by quality policy'",
+    "'the source''s schema version is not among the accepted ones'",
     """(SELECT s.*, r.requested_start, r.requested_end,
         (SELECT min(session) FROM q WHERE q.asset_id = s.asset_id AND q.source_id = s.source_id) AS a,
         (SELECT max(session) FROM q WHERE q.asset_id = s.asset_id AND q.source_id = s.source_id) AS b
@@ -65,7 +65,7 @@ SCHEMA = finding(
 SESSION = (
     finding(
         "session_integrity", "'error'", "'duplicate_session'", "session", "session", "CAST(NULL AS VARCHAR)",
-        "source_id", "'{\"count\":' || n || '}'", "'duplicate market session'",
+        "source_id", "'{\"count\":' || n || '}'", "'more than one bar for this session'",
         "(SELECT asset_id, source_id, session, count(*) AS n FROM q GROUP BY ALL HAVING count(*) > 1)",
     )
     + " UNION ALL "
@@ -73,7 +73,7 @@ SESSION = (
         "session_integrity", "'error'", "'non_monotonic_sessions'", "session", "previous",
         "CAST(NULL AS VARCHAR)", "source_id",
         f"'{{\"current_session\":\"' || {day('session')} || '\",\"previous_session\":\"' || {day('previous')} || '\"}}'",
-        "'adjacent source sessions are not monotonically increasing'",
+        "'a bar arrived after one of a later session'",
         "(SELECT *, lag(session) OVER (PARTITION BY asset_id, source_id ORDER BY row_seq) AS previous FROM q) WHERE previous > session",
     )
 )
@@ -86,14 +86,14 @@ OHLC = (
     finding(
         "ohlc_integrity", "'blocker'", "CASE WHEN number IS NULL THEN 'non_finite_field' ELSE 'non_positive_price' END",
         "session", "session", "field", "source_id", "'{\"value\":\"' || text || '\"}'",
-        "field || CASE WHEN number IS NULL THEN ' is not a finite decimal' ELSE ' must be positive' END",
+        "field || CASE WHEN number IS NULL THEN ' is no finite number' ELSE ' is not above zero' END",
         f"({CELLS}) WHERE number IS NULL OR number <= 0",
     )
     + " UNION ALL "
     + finding(
         "ohlc_integrity", "'blocker'", "'invalid_ohlc'", "session", "session", "CAST(NULL AS VARCHAR)", "source_id",
         "'{\"close\":\"' || close || '\",\"high\":\"' || high || '\",\"low\":\"' || low || '\",\"open\":\"' || open || '\"}'",
-        "'OHLC ordering is internally inconsistent'",
+        "'open, high, low and close contradict each other'",
         f"""(SELECT *, {TRY.format('open')} AS o, {TRY.format('high')} AS h, {TRY.format('low')} AS l, {TRY.format('close')} AS c FROM q)
         WHERE o IS NOT NULL AND h IS NOT NULL AND l IS NOT NULL AND c IS NOT NULL
           AND NOT (h >= l AND l <= o AND o <= h AND l <= c AND c <= h)""",
@@ -102,18 +102,18 @@ OHLC = (
 VOLUME = finding(
     "volume_integrity", "'blocker'", "CASE WHEN v IS NULL THEN 'non_finite_field' ELSE 'negative_volume' END",
     "session", "session", "'volume'", "source_id", "'{\"value\":\"' || volume || '\"}'",
-    "CASE WHEN v IS NULL THEN 'volume is not a finite decimal' ELSE 'volume must be non-negative' END",
+    "CASE WHEN v IS NULL THEN 'the volume is no finite number' ELSE 'the volume is below zero' END",
     "(SELECT *, TRY_CAST(volume AS DECIMAL(24,6)) AS v FROM q) WHERE v IS NULL OR v < 0",
 )
 CALENDAR = finding(
     "calendar_membership", "'error'", "'unexpected_session'", "session", "session", "CAST(NULL AS VARCHAR)",
-    "source_id", "'{\"calendar_member\":false}'", "'bar session is not in the supplied exchange calendar'",
+    "source_id", "'{\"calendar_member\":false}'", "'the calendar has no such session'",
     "q WHERE session NOT IN (SELECT session FROM weekdays)",
 )
 SOURCE_COVERAGE = finding(
     "source_coverage", "'warning'", "'source_missing_session'", "min(session)", "max(session)",
     "CAST(NULL AS VARCHAR)", "source_id", "'{\"missing_count\":' || count(*) || '}'",
-    "'source is missing one or more expected sessions'",
+    "'no bar of this source for these calendar sessions'",
     """(SELECT s.asset_id, s.source_id, n.session, n.no - row_number() OVER (PARTITION BY s.asset_id, s.source_id ORDER BY n.no) AS island
         FROM sources s CROSS JOIN numbered n
         WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.asset_id = s.asset_id AND q.source_id = s.source_id AND q.session = n.session))
@@ -123,7 +123,7 @@ RANGE_COVERAGE = finding(
     "requested_range_coverage", "'error'", "code", "min(session)", "max(session)", "CAST(NULL AS VARCHAR)",
     "'alpha,beta'",
     "'{\"minimum_sources\":2,\"missing_count\":' || count(*) || ',\"observed_min_sources\":' || min(k) || '}'",
-    "'requested range lacks the required source coverage'",
+    "'fewer sources than required for these sessions'",
     """(SELECT *, no - row_number() OVER (PARTITION BY asset_id, code ORDER BY no) AS island FROM (
          SELECT r.asset_id, n.session, n.no, count(DISTINCT q.source_id) AS k,
                 CASE count(DISTINCT q.source_id) WHEN 0 THEN 'insufficient_session_coverage' WHEN 1 THEN 'insufficient_source_verification' ELSE 'ok' END AS code
@@ -135,7 +135,7 @@ RANGE_COVERAGE = finding(
 OVERLAP = finding(
     "cross_source_overlap", "'warning'", "'cross_source_session_missing'", "session", "session",
     "CAST(NULL AS VARCHAR)", "'alpha,beta'", "'{\"missing_from\":\"' || missing || '\"}'",
-    "'session exists in one source but not the other'",
+    "'only one of the two sources has these sessions'",
     """(SELECT asset_id, session, CASE WHEN min(source_id) = 'alpha' THEN 'beta' ELSE 'alpha' END AS missing
         FROM q GROUP BY asset_id, session HAVING count(DISTINCT source_id) = 1)""",
 )
@@ -165,20 +165,20 @@ CROSS = finding(
     "CASE WHEN gap * 20000 <= 50 * total THEN 'cross_source_field_warning' ELSE 'cross_source_field_conflict' END",
     "session", "session", "field", "'alpha,beta'",
     f"'{{\"difference_bps\":\"' || printf('%.6f', bps) || '\",\"left\":\"' || {plain('l')} || '\",\"right\":\"' || {plain('r')} || '\"}}'",
-    "'cross-source field difference exceeds policy tolerance'",
+    "'the sources differ by more than the policy allows'",
     "compared WHERE gap * 20000 > 10 * total",
 )
 REVISION = finding(
     "provider_revision", "'warning'", "'provider_history_revision'", "session", "session", "CAST(NULL AS VARCHAR)",
     "'alpha,alpha-2'",
     "'{\"changed_fields\":[\"' || CASE WHEN d % 307 = 0 THEN 'session_presence' ELSE 'volume' END || '\"],\"current_capture\":\"alpha-2\",\"previous_capture\":\"alpha\"}'",
-    "'provider history differs between two captures'",
+    "'a later observation of the same request differs'",
     "base WHERE d % 53 = 0 OR d % 307 = 0",
 )
 ADJUSTMENT = finding(
     "adjustment_semantics", "'error'", "'unsupported_adjustment_semantics'", "requested_start", "requested_end",
     "CAST(NULL AS VARCHAR)", "''", "'{\"adjustment_mode\":\"' || adjustment_mode || '\"}'",
-    "'adjusted series require accepted point-in-time action semantics'",
+    "'adjusted prices are not supported as they can change afterwards'",
     "requests WHERE adjustment_mode <> 'raw'",
 )
 PARTS = {

@@ -24,7 +24,9 @@ def capture_text(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, T.DateType):
             value = F.date_format(value, "yyyy-MM-dd")
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            value = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+            # Fractions only where there are any, without trailing zeros: other texts keep their hash.
+            fraction = F.regexp_replace(F.date_format(value, ".SSSSSS"), r"\.?0+$", "")
+            value = F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"), fraction)
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
             value = F.when(value.isNull() | finite, value.cast("string")).otherwise(

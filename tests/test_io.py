@@ -92,14 +92,21 @@ def test_credential_keys(spark):
     assert got == {k: True for k in CREDENTIAL_KEYS} | {k: False for k in PLAIN_KEYS}
 
 
-def test_nested_and_too_deep_json(spark):
-    deep = '{"a":' * 9 + "1" + "}" * 9
+def test_json_is_screened_at_any_depth_and_fails_closed(spark):
+    def deep(levels, key):
+        return '{"a":' * levels + '{"' + key + '":1}' + "}" * levels
+
     docs = spark.createDataFrame(
-        [(1, '{"symbol":"Q","headers":[{"apiKey":"x"}]}'), (2, '{"symbol":"Q"}'), (3, deep), (4, "[1, 2]")],
+        [
+            (1, '{"symbol":"Q","headers":[{"apiKey":"x"}]}'), (2, '{"symbol":"Q"}'), (3, deep(9, "b")),
+            (4, "[1, 2]"), (5, deep(10, "apiKey")), (6, '{"apiKey":"x"'), (7, 'x {"a":1}'), (8, '{"a":1} {"apiKey":1}'),
+            (9, None), (10, ' "text" '), (11, '{"a":"}{ \\" apiKey: "}'), (12, deep(12, "\\u0061piKey")), (13, "-1.5e3"), (14, '[{"a":[]},{"b":{}}]'),
+        ],
         "id int, doc string",
     )
     rows = {(r.id, r.key) for r in credentials.screen_json(docs, "id", "doc").collect()}
-    assert rows == {(1, "apiKey"), (3, "<nested too deep>")}
+    unreadable = "<unreadable>"
+    assert rows - {(8, "apiKey")} == {(1, "apiKey"), (5, "apiKey"), (12, "apiKey"), (6, unreadable), (7, unreadable), (8, unreadable)}
 
 
 def capture(spark, rows):
@@ -243,3 +250,9 @@ def test_weekly_stream_and_quarantine(spark):
     assert spark.read.parquet(f"{out}/clean").count() == 13
     broken = spark.read.parquet(f"{out}/broken").collect()
     assert len(broken) == 1 and "high_at_least_low" in broken[0].violations
+
+
+def test_capture_text_keeps_fractions_of_seconds(spark):
+    times = ("00:00:00", "00:00:00.123456", "00:00:00.9", "00:00:00.900001")
+    rows = spark.createDataFrame([(f"2024-01-02 {t}",) for t in times], "t string").selectExpr("cast(t as timestamp) t")
+    assert [r.t for r in captures.capture_text(rows).collect()] == [f"2024-01-02T{t}" for t in times]

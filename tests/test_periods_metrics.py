@@ -129,6 +129,14 @@ def test_momentum_cases(spark):
         assert [(r.selected_asset, r.reason) for r in row] == [(asset, reason)]
         assert row[0].decision_at == instant(dt.date(2025, 1, 31), 21, 5).replace(tzinfo=None)
         assert momentum.signal_violations(signals).count() == 0
+    # Closes that differ in the last digit: too near for a double, not for the comparison.
+    high, low = Decimal("999999999999.000002"), Decimal("999999999999.000001")
+    for x, y, winner in ((high, low, "X"), (low, high, "Y")):
+        near = momentum.momentum_selection(months(spark, {"X": [low] * 12 + [x], "Y": [low] * 12 + [y]}))
+        assert [(r.selected_asset, r.reason) for r in near.collect()] == [(winner, "risk_on")]
+        assert momentum.signal_violations(near).count() == 0
+    gapped = months(spark, {"X": [*flat, 120, 130]}).filter(F.month("period_start") != 6)
+    assert momentum.momentum_selection(gapped).count() == 0
     forged = signals.withColumn("reason", F.lit("risk_on"))
     assert momentum.signal_violations(forged).first().rule == "winner_missing"
 
