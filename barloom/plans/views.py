@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from barloom.session import path_exists, prepare, write_scratch
 CALENDAR = "LINE"
 EPOCH = "1995-01-01"
 MICRO = 1_000_000
-PRICE_SPAN = 1 << 24
+PRICE_SPAN = Decimal(10**18)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,30 +35,29 @@ def bars_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bars_of_lines(lines: DataFrame, asset: Column) -> DataFrame:
     """Daily bars out of order lines.
 
-    Lines are ordered by (order, price) within a day. Order key and price in cents are packed
-    into one integer, so first and last price are a plain minimum and maximum: all buffers are
-    fixed size integers, aggregation hashes and combines before the shuffle, and only
-    assets x days rows are exchanged however many lines there are. A price that does not fit
-    its bits, or an order key beyond 2**39, stops the job instead of misordering.
+    Lines are ordered by (order, price) within a day. Order key and unscaled price are packed into
+    one decimal(38,0), so first and last price are a plain minimum and maximum: all buffers are
+    of fixed size, aggregation hashes and combines before the shuffle, and only
+    assets x days rows are exchanged however many lines there are. Every order key and every
+    decimal(18,6) price fits, unrounded.
     """
-    cents = (F.col("l_extendedprice") * 100 + 0.5).cast("bigint")
-    packed = F.when(cents < PRICE_SPAN, F.col("l_orderkey") * PRICE_SPAN + cents).otherwise(
-        F.raise_error(F.lit("price exceeds the packed range"))
-    )
+    price = F.col("l_extendedprice").cast(PRICE)
+    unscaled = (price * MICRO).cast("decimal(18,0)")
+    packed = F.col("l_orderkey").cast("decimal(20,0)") * F.lit(PRICE_SPAN) + unscaled
     grouped = (
         lines.select(
             asset.alias("asset_id"),
             F.col("l_shipdate").cast("date").alias("session"),
-            packed.alias("tick"),
-            cents.alias("cents"),
+            packed.cast("decimal(38,0)").alias("tick"),
+            price.alias("price"),
             (F.col("l_quantity") * MICRO + 0.5).cast("bigint").alias("volume"),
         )
         .groupBy("asset_id", "session")
         .agg(
             F.min("tick").alias("first"),
             F.max("tick").alias("last"),
-            F.max("cents").alias("high"),
-            F.min("cents").alias("low"),
+            F.max("price").alias("high"),
+            F.min("price").alias("low"),
             F.sum("volume").alias("volume"),
             F.count(F.lit(1)).alias("line_count"),
         )
@@ -66,10 +67,10 @@ def bars_of_lines(lines: DataFrame, asset: Column) -> DataFrame:
             F.col("asset_id").cast("string").alias("asset_id"),
             F.lit("lines").alias("source"),
             "session",
-            _money(F.col("first") % PRICE_SPAN).alias("open"),
-            _money(F.col("high")).alias("high"),
-            _money(F.col("low")).alias("low"),
-            _money(F.col("last") % PRICE_SPAN).alias("close"),
+            _price(F.col("first") % F.lit(PRICE_SPAN)).alias("open"),
+            "high",
+            "low",
+            _price(F.col("last") % F.lit(PRICE_SPAN)).alias("close"),
             (F.col("volume").cast("decimal(24,0)") / MICRO).cast("decimal(24,6)").alias("volume"),
             "line_count",
         )
@@ -168,8 +169,8 @@ def day_number(day: str = "session") -> Column:
     return F.datediff(F.col(day), F.lit(EPOCH).cast("date"))
 
 
-def _money(cents: Column) -> Column:
-    return (cents.cast("decimal(18,0)") / 100).cast("decimal(18,6)")
+def _price(unscaled: Column) -> Column:
+    return (unscaled.cast("decimal(18,0)") / MICRO).cast(PRICE)
 
 
 # Quality inputs: two sources per asset with planted defects, keyed by the day number so that

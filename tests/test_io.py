@@ -18,7 +18,7 @@ from barloom.operators import contracts
 from barloom.operators.alignment import cover
 from barloom.operators.backtest import Costs, backtest
 from barloom.operators.resample import expected_periods
-from barloom.plans import strategies
+from barloom.plans import strategies, views
 from barloom.sources import captures, fixtures, providers, results
 from barloom.streaming import bars as streams
 
@@ -256,3 +256,16 @@ def test_capture_text_keeps_fractions_of_seconds(spark):
     times = ("00:00:00", "00:00:00.123456", "00:00:00.9", "00:00:00.900001")
     rows = spark.createDataFrame([(f"2024-01-02 {t}",) for t in times], "t string").selectExpr("cast(t as timestamp) t")
     assert [r.t for r in captures.capture_text(rows).collect()] == [f"2024-01-02T{t}" for t in times]
+
+
+def test_bars_of_large_and_fine_prices(spark):
+    """Prices and order keys of any size keep their order and all six decimals."""
+    keys = (1, 2**55, 2**62)
+    prices = (Decimal("167772.160001"), Decimal("999999999999.999999"), Decimal("0.000001"))
+    rows = [("A", k, dt.date(2024, 1, 2), p, Decimal("1")) for k, p in zip(keys, prices)]
+    lines = spark.createDataFrame(
+        rows,
+        "l_returnflag string, l_orderkey bigint, l_shipdate date, l_extendedprice decimal(18,6), l_quantity decimal(12,2)",
+    )
+    bar_ = views.bars_of_lines(lines, F.col("l_returnflag")).first()
+    assert (bar_.open, bar_.high, bar_.low, bar_.close) == (prices[0], prices[1], prices[2], prices[2])

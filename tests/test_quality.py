@@ -142,7 +142,7 @@ def test_finding_id_is_the_hash_of_canonical_json(spark):
         "field": "open",
         "source_evidence_ids": ["a"],
         "observed_values": {"value": "NaN"},
-        "message": "open is not a finite decimal",
+        "message": "open is no finite number",
     }
     text = json.dumps(payload, sort_keys=True, separators=(",", ":"))
     assert found.finding_id == "dqf_" + hashlib.sha256(f"dqf\n{text}".encode()).hexdigest()[:24]
