@@ -1,25 +1,24 @@
-"""Digit-exact decimal variants for short series.
+"""Digit-exact RSI and backtest: 28-digit decimal arithmetic with banker's rounding.
 
-The native operators work in doubles. These reproduce decimal arithmetic with 28 significant
-digits and banker's rounding, which no Catalyst type has. They fold one series per Python
-group, so a series is limited to ``MAX_ROWS`` rows; a longer one stops the job before any of
-it reaches Python. Use the native operators for everything else.
+Decimal division with that rounding has no Catalyst counterpart, so rows are folded in Python. Series
+are hash-partitioned by key and sorted inside their partition; one pass carries the state of
+the current series from batch to batch, so memory is one batch and a series may be of any length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import ROUND_HALF_EVEN, Context, Decimal, localcontext
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from barloom.functions.features import require_positive
 from barloom.operators.backtest import Costs
 
-# Fixed value: longest series an exact computation accepts.
-MAX_ROWS = 10_000
-
 
 def exact_wilder_rsi(
     df: DataFrame, keys: Sequence[str], position: str, column: str, period: int
@@ -27,36 +26,27 @@ def exact_wilder_rsi(
     """Wilder RSI as decimal text, one row per input row."""
     require_positive("period", period)
 
-    def fold(batch: pd.DataFrame) -> pd.DataFrame:
-        from decimal import ROUND_HALF_EVEN, Context, Decimal, localcontext
-
-        batch = batch.sort_values(position)
-        closes, out = list(batch[column]), []
-        with localcontext(Context(prec=28, rounding=ROUND_HALF_EVEN)):
-            zero, up, down = Decimal(0), Decimal(0), Decimal(0)
-            for i, close in enumerate(closes):
-                move = close - closes[i - 1] if i else zero
-                gain, loss = max(move, zero), max(-move, zero)
-                if i <= period:
-                    up, down = up + gain, down + loss
-                    if i == period:
-                        up, down = up / period, down / period
-                else:
-                    up = (up * (period - 1) + gain) / period
-                    down = (down * (period - 1) + loss) / period
-                if i < period:
-                    out.append(None)
-                elif down == 0:
-                    out.append("50" if up == 0 else "100")
-                else:
-                    out.append(str(zero if up == 0 else 100 * up / (up + down)))
-        return batch[[*keys, position]].assign(rsi=out)
-
-    rows = _bounded(df, keys).select(*keys, position, column)
-    schema = ", ".join(
-        f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (*keys, position)
-    )
-    return rows.groupBy(*keys).applyInPandas(fold, f"{schema}, rsi string")
+    def step(state, row):
+        """State: rows so far, last value, average gain and loss."""
+        i, last, up, down = state or (0, row[column], Decimal(0), Decimal(0))
+        move = row[column] - last
+        gain, loss = max(move, Decimal(0)), max(-move, Decimal(0))
+        if i <= period:
+            up, down = up + gain, down + loss
+            if i == period:
+                up, down = up / period, down / period
+        else:
+            up, down = (up * (period - 1) + gain) / period, (down * (period - 1) + loss) / period
+        if i < period:
+            rsi = None
+        elif down == 0:
+            rsi = "50" if up == 0 else "100"
+        else:
+            rsi = str(Decimal(0) if up == 0 else 100 * up / (up + down))
+        return (i + 1, row[column], up, down), {"rsi": rsi}
+
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (*keys, position))
+    return _fold(df.select(*keys, position, column), keys, position, step, (*keys, position), f"{schema}, rsi string")
 
 
 def exact_backtest(
@@ -66,48 +56,54 @@ def exact_backtest(
     initial = str(costs.initial_cash)
     fee, slip = str(costs.commission_bps), str(costs.slippage_bps)
 
-    def fold(batch: pd.DataFrame) -> pd.DataFrame:
-        from decimal import ROUND_HALF_EVEN, Context, Decimal, localcontext
-
-        batch = batch.sort_values(position)
-        cash_out, held_out, equity_out, weights = [], [], [], []
-        with localcontext(Context(prec=28, rounding=ROUND_HALF_EVEN)):
-            one, cash, held, state = Decimal(1), Decimal(initial), Decimal(0), 0
-            c, s = Decimal(fee) / 10_000, Decimal(slip) / 10_000
-            for start, close, wanted in zip(batch["open"], batch["close"], batch["_weight"]):
-                if pd.notna(wanted) and int(wanted) != state:
-                    state = int(wanted)
-                    if state:
-                        held, cash = cash / (one + c) / (start * (one + s)), Decimal(0)
-                    else:
-                        proceeds = held * (start * (one - s))
-                        held, cash = Decimal(0), proceeds - proceeds * c
-                cash_out.append(str(cash))
-                held_out.append(str(held))
-                equity_out.append(str(cash + held * close))
-                weights.append(state)
-        return batch[["asset_id", "session"]].assign(
-            cash=cash_out, quantity=held_out, equity=equity_out, target_weight=weights
-        )
+    def step(state, row):
+        """State: cash, quantity held, target weight."""
+        one, c, s = Decimal(1), Decimal(fee) / 10_000, Decimal(slip) / 10_000
+        cash, held, weight = state or (Decimal(initial), Decimal(0), 0)
+        wanted = row["_weight"]
+        if wanted is not None and wanted != weight:
+            weight = wanted
+            if weight:
+                held, cash = cash / (one + c) / (row["open"] * (one + s)), Decimal(0)
+            else:
+                proceeds = held * (row["open"] * (one - s))
+                held, cash = Decimal(0), proceeds - proceeds * c
+        equity = cash + held * row["close"]
+        out = {"cash": str(cash), "quantity": str(held), "equity": str(equity), "target_weight": weight}
+        return (cash, held, weight), out
 
     wanted = targets.select(
         "asset_id", F.col("effective_at").alias("session_open_at"), F.col("weight").alias("_weight")
     )
-    rows = _bounded(bars, ["asset_id"]).join(wanted, ["asset_id", "session_open_at"], "left")
-    return (
-        rows.select("asset_id", "session", position, "open", "close", "_weight")
-        .groupBy("asset_id")
-        .applyInPandas(
-            fold,
-            "asset_id string, session date, cash string, quantity string, equity string, "
-            "target_weight int",
-        )
+    rows = bars.join(wanted, ["asset_id", "session_open_at"], "left").select(
+        "asset_id", "session", position, "open", "close", "_weight"
+    )
+    return _fold(
+        rows,
+        ["asset_id"],
+        position,
+        step,
+        ("asset_id", "session"),
+        "asset_id string, session date, cash string, quantity string, equity string, target_weight int",
     )
 
 
-def _bounded(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Stop the job if any series is longer than the limit (counted before the shuffle)."""
-    longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if longest is not None and longest > MAX_ROWS:
-        raise ValueError(f"exact mode accepts at most {MAX_ROWS} rows per series, got {longest}")
-    return df
+def _fold(df: DataFrame, keys: Sequence[str], position: str, step, kept: Sequence[str], schema: str) -> DataFrame:
+    """Run ``step(state, row)`` over each series in order; its values follow the ``kept`` columns."""
+
+    def run(batches):
+        key, state = None, None
+        for batch in batches:
+            rows = []
+            with localcontext(Context(prec=28, rounding=ROUND_HALF_EVEN)):
+                for row in batch.to_pylist():
+                    own = tuple(row[k] for k in keys)
+                    if own != key:
+                        key, state = own, None
+                    state, values = step(state, row)
+                    rows.append({c: row[c] for c in kept} | values)
+            yield pa.RecordBatch.from_pylist(rows, schema=target)
+
+    target = to_arrow_schema(_parse_datatype_string(schema))
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, position)
+    return ordered.mapInArrow(run, schema)

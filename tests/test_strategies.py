@@ -329,7 +329,7 @@ def test_holiday_calendar_positions(spark):
     assert rows[1].next_session == days[2]
 
 
-def test_exact_mode_is_digit_exact_and_bounded(spark, monkeypatch):
+def test_exact_mode_is_digit_exact(spark):
     from decimal import ROUND_HALF_EVEN, Context, localcontext
 
     from barloom.operators import exact
@@ -360,6 +360,24 @@ def test_exact_mode_is_digit_exact_and_bounded(spark, monkeypatch):
         proceeds = held * (Decimal(106) * (1 - s))
         cash = proceeds - proceeds * c
     assert Decimal(points[1].quantity) == held and Decimal(points[4].cash) == cash
-    monkeypatch.setattr(exact, "MAX_ROWS", 3)
-    with pytest.raises(ValueError):
-        exact.exact_wilder_rsi(bars, ["asset_id"], "session_no", "close", 2)
+
+
+def test_exact_mode_takes_series_of_any_length(spark):
+    """The state goes from batch to batch, and not from one series to the next."""
+    from decimal import ROUND_HALF_EVEN, Context, localcontext
+
+    from barloom.operators import exact
+
+    rows = [(a, i, Decimal((i * 7919 + a * 13) % 1009 + 1)) for a in (1, 2) for i in range(20_500)]
+    df = spark.createDataFrame(rows, "k int, no int, close decimal(18,6)").repartition(5)
+    got = {(r.k, r.no): r.rsi for r in exact.exact_wilder_rsi(df, ["k"], "no", "close", 14).collect()}
+    assert len(got) == len(rows)
+    for a in (1, 2):
+        closes = [c for k, _, c in rows if k == a]
+        with localcontext(Context(prec=28, rounding=ROUND_HALF_EVEN)):
+            moves = [y - x for x, y in zip(closes, closes[1:])]
+            up = sum(max(m, 0) for m in moves[:14]) / Decimal(14)
+            down = sum(max(-m, 0) for m in moves[:14]) / Decimal(14)
+            for m in moves[14:]:
+                up, down = (up * 13 + max(m, 0)) / 14, (down * 13 + max(-m, 0)) / 14
+            assert Decimal(got[(a, 20_499)]) == 100 * up / (up + down)
