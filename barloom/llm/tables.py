@@ -49,7 +49,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def word_count(text: Column) -> Column:
-    """Words of a text, 0 for NULL: gap-to-word changes, counted without building the words."""
+    """Words of a text, 0 for NULL."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 

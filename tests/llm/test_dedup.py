@@ -7,7 +7,6 @@ import random
 
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from barloom.llm import repeats, similar, simhash
 from barloom.llm.graph import connected_components
