@@ -84,27 +84,26 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _tables(rows: DataFrame, radius: int) -> DataFrame:
-    """Each row once for every mask over the bits that its mask so far leaves free."""
+def _tables(rows: DataFrame, radius: int, level: int) -> DataFrame:
+    """Each row once for every mask of this level, over the bits that its mask so far leaves free."""
     return rows.select(
-        "fp", "comp", F.explode(_refined(radius)).alias("mask")
+        "fp", "comp", F.explode(_refined(radius, level)).alias("mask")
     ).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def _refined(radius: int):
-    """Full masks of the next level, as a lookup by the current mask."""
-    tree = _mask_tree(radius)
-    pairs = [x for mask, finer in tree.items() for x in (F.lit(_signed(mask)), F.array(*[F.lit(_signed(m)) for m in finer]))]
-    return F.create_map(*pairs)[F.col("mask")]
+def _refined(radius: int, level: int):
+    """Full masks of a level, as a lookup by the mask of the level before; an unknown mask is an error."""
+    masks = [0]
+    for _ in range(level - 1):
+        masks = sorted({finer for mask in masks for finer in _finer(mask, radius)})
+    pairs = [x for mask in masks for x in (F.lit(_signed(mask)), F.array(*[F.lit(_signed(m)) for m in _finer(mask, radius)]))]
+    unknown = F.raise_error(F.concat(F.lit(f"level {level}: no finer masks of "), F.col("mask").cast("string")))
+    return F.coalesce(F.create_map(*pairs)[F.col("mask")], unknown)
 
 
-def _mask_tree(radius: int) -> dict[int, list[int]]:
-    """Masks of the first two levels and the finer masks of each."""
-    full, tree = (1 << 64) - 1, {}
-    tree[0] = covering_masks(full, radius)
-    for mask in tree[0]:
-        tree[mask] = sorted({mask | finer for finer in covering_masks(full & ~mask, radius)})
-    return tree
+def _finer(mask: int, radius: int) -> list[int]:
+    """Covering masks over the bits a mask leaves free, each with the mask's own bits."""
+    return sorted({mask | finer for finer in covering_masks(((1 << 64) - 1) & ~mask, radius)})
 
 
 def links(prints: DataFrame, *, radius: int = 3) -> DataFrame:
@@ -118,7 +117,7 @@ def links(prints: DataFrame, *, radius: int = 3) -> DataFrame:
     are merged, and buckets that hold one component only are finished: groups of near copies
     collapse instead of being paired.
     """
-    rows = _tables(prints.select("fp", F.col("fp").alias("comp"), F.lit(0).cast("long").alias("mask")), radius)
+    rows = _tables(prints.select("fp", F.col("fp").alias("comp"), F.lit(0).cast("long").alias("mask")), radius, 1)
     found, level = None, 1
     while True:
         live = _live(rows)
@@ -131,7 +130,8 @@ def links(prints: DataFrame, *, radius: int = 3) -> DataFrame:
         if large.df.isEmpty():
             return found
         known = _labelled(large.df, found)
-        finer = _tables(known, radius)
+        level += 1
+        finer = _tables(known, radius, level)
         least = finer.groupBy("mask", "key").agg(F.min("fp").alias("least"))
         star = (
             finer.join(least, ["mask", "key"])
@@ -140,7 +140,7 @@ def links(prints: DataFrame, *, radius: int = 3) -> DataFrame:
             .distinct()
         )
         found = stored(found.unionByName(star), "links")
-        rows, level = _tables(_labelled(large.df, found), radius), level + 1
+        rows = _tables(_labelled(large.df, found), radius, level)
 
 
 def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:

@@ -93,6 +93,19 @@ def test_simhash_of_crowded_buckets(spark):
     assert components(edges, prints) == components(close, prints)
 
 
+def test_simhash_of_one_crowded_second_level_bucket(spark):
+    """Sparse fingerprints that differ only in the bits one mask of the second level leaves free."""
+    full, rng = (1 << 64) - 1, random.Random(11)
+    second = [m | n for m in simhash.covering_masks(full, 3) for n in simhash.covering_masks(full & ~m, 3)]
+    places = max(([i for i in range(64) if not m >> i & 1] for m in second if m >> 63), key=len)
+    prints = {sum(1 << p for k, p in enumerate(places) if v >> k & 1) for v in rng.sample(range(1 << len(places)), 150)}
+    edges = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(p,) for p in prints], "fp bigint")).collect()]
+    assert all((a ^ b).bit_count() <= 3 for a, b in edges)
+    close = [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3]
+    assert len(set(components(close, prints).values())) > 10
+    assert components(edges, prints) == components(close, prints)
+
+
 def test_simhash_of_nothing_and_of_repeated_ids(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
     found = simhash.near_duplicates(documents(spark, ["a b c d"] * 3 + ["zz yy xx ww"], [4, 4, None, None])).collect()
