@@ -104,17 +104,19 @@ _ODD = re.compile("[" + "".join(map(re.escape, _PLAIN)) + "]")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _DOTTED = rf"(?:\s{{0,3}}{_OPEN}\s{{0,3}}(?:dot|\.)\s{{0,3}}{_CLOSE}\s{{0,3}}|\s{{1,3}}dot\s{{1,3}})"
 _DIGIT_NAME = r"\b(?:" + "|".join(_NAMES) + r")\b"
+_PLUS = rf"\bplus[ -](?=[0-9]|{_DIGIT_NAME})"
 # Last labels of a domain told with plain words; other words after "dot" are prose.
 _LAST = "com|org|net|edu|gov|info|biz|io|ai|co|uk|us|eu|de|fr|es|it|nl|pl|ru|ch|at|be|ca|au|in|jp|cn|br|mx"
 _DISGUISE = re.compile(
     rf"(?P<at>\s{{0,3}}{_OPEN}\s{{0,3}}(?:at|@)\s{{0,3}}{_CLOSE}\s{{0,3}}"
     rf"|(?<=[a-z0-9])\s{{1,3}}at\s{{1,3}}(?=[a-z0-9-]{{1,63}}(?:{_DOTTED}[a-z0-9-]{{1,63}}){{0,4}}{_DOTTED}(?:{_LAST})\b))"
     rf"|(?P<dot>(?<=[a-z0-9]){_DOTTED}(?=[a-z0-9]))"
-    rf"|(?P<plus>\bplus[ -](?=[0-9]|{_DIGIT_NAME}))"
+    rf"|(?P<plus>{_PLUS})"
     rf"|(?P<digits>{_DIGIT_NAME}(?:[ -]{{1,2}}{_DIGIT_NAME}){{2,}})",
     re.IGNORECASE,
 )
 _BRACKETED = re.compile(rf"{_OPEN}\s{{0,3}}(?:at|@|dot|\.)\s{{0,3}}{_CLOSE}", re.IGNORECASE)
+_PLUSSED = re.compile(_PLUS, re.IGNORECASE)
 _NAMED = re.compile(_DIGIT_NAME, re.IGNORECASE)
 
 
@@ -123,6 +125,8 @@ def _disguised(text: str) -> bool:
     low = text.lower().replace("-", " ")
     if "dot" in low or any(f" {name} " in low for name in _NAMES):
         return True
+    if "plus " in low and _PLUSSED.search(text):
+        return True
     return any(c in text for c in "[({<") and bool(_BRACKETED.search(text))
 
 

@@ -54,6 +54,25 @@ def test_disguises_map_back_to_the_source(text, kind, source):
     assert (kind, source) in found
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("call plus 44 20 7946 0958 now", "phone", "plus 44 20 7946 0958"),
+        ("call Plus-44 20 7946 0958 now", "phone", "Plus-44 20 7946 0958"),
+        ("x [at] mail.com", "email", "x [at] mail.com"),
+        ("x at mail (.) com", "email", "x at mail (.) com"),
+        ("x at mail dot com", "email", "x at mail dot com"),
+        ("x@mail {dot} com", "email", "x@mail {dot} com"),
+        ("+44 20 7946 zero nine five eight", "phone", "+44 20 7946 zero nine five eight"),
+    ],
+)
+def test_each_disguise_alone_in_a_text(text, kind, source):
+    """What is found does not depend on unrelated words."""
+    for whole in (text, text + ", an anecdote"):
+        found = [(k, whole[a:b]) for k, a, b in pii.disguised_identifiers(whole, pii.identifiers(whole))]
+        assert (kind, source) in found, whole
+
+
 @pytest.mark.parametrize("text", ["we met at noon. dot com", "one two three go", "look at the dot matrix", "a (at) b", "née à 12h"])
 def test_clean_texts_stay_clean(text):
     assert pii.identifiers(text) == [] and pii.disguised_identifiers(text, []) == []
