@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.llm.labels import LABELS
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -102,14 +104,18 @@ def _lookalikes() -> dict[str, str]:
 _PLAIN = _lookalikes()
 _ODD = re.compile("[" + "".join(map(re.escape, _PLAIN)) + "]")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_DOTTED = rf"(?:\s{{0,3}}{_OPEN}\s{{0,3}}(?:dot|\.)\s{{0,3}}{_CLOSE}\s{{0,3}}|\s{{1,3}}dot\s{{1,3}})"
+_BRACKET_DOT = rf"\s{{0,3}}{_OPEN}\s{{0,3}}(?:dot|\.)\s{{0,3}}{_CLOSE}\s{{0,3}}"
+_DOTTED = rf"(?:{_BRACKET_DOT}|\s{{1,3}}dot\s{{1,3}})"
 _DIGIT_NAME = r"\b(?:" + "|".join(_NAMES) + r")\b"
 _PLUS = rf"\bplus[ -](?=[0-9]|{_DIGIT_NAME})"
-# Last labels of a domain told with plain words; other words after "dot" are prose.
-_LAST = "com|org|net|edu|gov|info|biz|io|ai|co|uk|us|eu|de|fr|es|it|nl|pl|ru|ch|at|be|ca|au|in|jp|cn|br|mx"
+# Last labels of a domain told with plain words; other words after a plain "dot" are prose. After a dot in brackets any word counts.
+_LAST = "|".join(sorted(LABELS))
+# Labels that are also English words; after a determiner ("at the dot to the left") they are prose.
+_PROSE = r"(?:the|an?|this|that|each|every)\s{1,3}dot\s{1,3}(?:am|as|by|do|is|me|my|no|now|one|so|to)\b"
+_HOST = rf"(?!{_PROSE})[a-z0-9-]{{1,63}}(?:{_DOTTED}[a-z0-9-]{{1,63}}){{0,4}}(?:{_DOTTED}(?:{_LAST})|{_BRACKET_DOT}[a-z]{{2,63}})\b"
 _DISGUISE = re.compile(
     rf"(?P<at>\s{{0,3}}{_OPEN}\s{{0,3}}(?:at|@)\s{{0,3}}{_CLOSE}\s{{0,3}}"
-    rf"|(?<=[a-z0-9])\s{{1,3}}at\s{{1,3}}(?=[a-z0-9-]{{1,63}}(?:{_DOTTED}[a-z0-9-]{{1,63}}){{0,4}}{_DOTTED}(?:{_LAST})\b))"
+    rf"|(?<=[a-z0-9])\s{{1,3}}at\s{{1,3}}(?={_HOST}))"
     rf"|(?P<dot>(?<=[a-z0-9]){_DOTTED}(?=[a-z0-9]))"
     rf"|(?P<plus>{_PLUS})"
     rf"|(?P<digits>{_DIGIT_NAME}(?:[ -]{{1,2}}{_DIGIT_NAME}){{2,}})",
@@ -178,7 +184,13 @@ def _spelled(match: re.Match) -> list[tuple[int, int, str]]:
 
 
 def disguised_identifiers(text: str, plain: list[Span]) -> list[Span]:
-    """Further spans that show only once disguises are undone; none lies inside a plain one of its kind."""
+    """Further spans that show only once disguises are undone; none lies inside a plain one of its kind.
+
+    Refused as prose: the plain word "at" unless the words after it are labels joined by "dot" that end in a
+    known last label (LABELS), or in any word of two or more letters after a dot in brackets; a determiner
+    and "dot" before a label that is an English word ("at the dot to"). Labels with digits or hyphens
+    ("xn--...") are no last label here. An "at" in brackets counts before any label.
+    """
     odd = [] if text.isascii() else [(m.start(), m.end(), _PLAIN[m[0]]) for m in _ODD.finditer(text)]
     first = Normalised(text, odd) if odd else None
     seen = first.text if first else text

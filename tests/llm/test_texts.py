@@ -73,6 +73,24 @@ def test_each_disguise_alone_in_a_text(text, kind, source):
         assert (kind, source) in found, whole
 
 
+@pytest.mark.parametrize("label", ["se", "dev", "dk", "app", "mil", "no", "museum", "COM"])
+def test_a_plain_at_before_any_public_label(label):
+    text = f"write jane at mail dot example dot {label} now"
+    found = [(k, text[a:b]) for k, a, b in pii.disguised_identifiers(text, [])]
+    assert found == [("email", f"jane at mail dot example dot {label}")]
+
+
+def test_a_plain_at_before_labels_and_prose():
+    for text, source in (
+        ("jane at corp (dot) internal", "jane at corp (dot) internal"),
+        ("jane at the dot com", "jane at the dot com"),
+        ("look at the dot to the left", None),
+        ("look at one dot product", None),
+    ):
+        found = [text[a:b] for k, a, b in pii.disguised_identifiers(text, []) if k == "email"]
+        assert found == ([source] if source else []), text
+
+
 @pytest.mark.parametrize("text", ["we met at noon. dot com", "one two three go", "look at the dot matrix", "a (at) b", "née à 12h"])
 def test_clean_texts_stay_clean(text):
     assert pii.identifiers(text) == [] and pii.disguised_identifiers(text, []) == []
