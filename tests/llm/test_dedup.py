@@ -139,6 +139,30 @@ def test_similar_texts_keep_one_each(spark):
     assert kept & {n, n + 1, n + 2, n + 3} == {n, n + 3}
 
 
+def pairs_around(low, high, count, seed):
+    """Pairs of texts whose Jaccard similarity lies between the bounds."""
+    rng, words, out = random.Random(seed), vocabulary(4000, 12), []
+    while len(out) < count:
+        text = [rng.choice(words) for _ in range(rng.choice((40, 120, 300)))]
+        other = list(text)
+        for _ in range(max(1, round(len(text) * rng.uniform(0.01, 0.06)))):
+            other[rng.randrange(len(text))] = rng.choice(words)
+        text, other = " ".join(text), " ".join(other)
+        if low <= jaccard(text, other) < high:
+            out.append((text, other))
+    return out
+
+
+def test_similar_texts_are_cut_at_the_exact_similarity(spark):
+    """Pairs at 0.80 to 0.86 lose one text each, pairs at 0.70 to 0.80 none."""
+    alike, apart = pairs_around(0.8, 0.86, 100, 13), pairs_around(0.7, 0.8, 60, 14)
+    docs = documents(spark, [t for pair in alike + apart for t in pair])
+    kept = {r.doc_id for r in similar.without_near_duplicates(docs).collect()}
+    found = sum(2 * i + 1 not in kept for i in range(len(alike)))
+    assert found >= 0.98 * len(alike), found
+    assert all({2 * i, 2 * i + 1} <= kept for i in range(len(alike), len(alike) + len(apart)))
+
+
 def test_similar_texts_of_nothing_and_repeated_rows(spark):
     assert similar.without_near_duplicates(documents(spark, [])).count() == 0
     same = documents(spark, ["one two three four five six"] * 4, [3, 3, None, 8])
