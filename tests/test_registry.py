@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import pathlib
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -38,3 +41,12 @@ def test_sample_of_queries_agrees_with_sql(spark):
 def test_entry_runs(spark):
     rows = registry.entry(spark).collect()
     assert {r.metric for r in rows} == {"total_return", "cagr", "volatility", "sharpe", "max_drawdown"}
+
+
+def test_core_queries_remain_without_the_optional_parts(tmp_path):
+    root = pathlib.Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "barloom", tmp_path / "barloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert run.stdout.split() == [str(len(core.QUERIES)), "False"]
