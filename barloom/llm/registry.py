@@ -6,7 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, mixing, mixing_sql, packing, pii, quality_model, repeats, rules, rules_sql, simhash, topk, topk_sql, urls, urls_sql
+from barloom.llm import (
+    audit,
+    audit_sql,
+    chat,
+    licenses,
+    mixing,
+    mixing_sql,
+    packing,
+    phrases,
+    phrases_sql,
+    pii,
+    quality_model,
+    repeats,
+    rules,
+    rules_sql,
+    simhash,
+    topk,
+    topk_sql,
+    urls,
+    urls_sql,
+)
 from barloom.llm.tables import table, word_count
 
 QUERIES = {}
@@ -150,3 +170,41 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest collocations of every language."""
+    found = phrases.collocations(phrases.phrase_counts(table(spark, sf_dir, "documents"), least=100))
+    return phrases.ranked(found, 2000).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+ORACLES["op11_phrases"] = phrases_sql.OP11
+
+
+@query
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    words = F.transform("found.places", lambda p: p["word"])
+    base, every = licenses.labels_of(F.col("found"))
+    return found.select(
+        "doc_id",
+        "found.n_words",
+        F.size("found.places").cast("long").alias("n_base"),
+        F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"),
+        base.alias("base_labels"),
+        every.alias("labels"),
+        "found.score",
+    )
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes in every order of the five filters."""
+    failed = audit.failures(table(spark, sf_dir, "documents"))
+    return audit.audit(audit.mask_counts(failed, table(spark, sf_dir, "labels")))
+
+
+ORACLES["op13_filter_audit"] = audit_sql.OP13
