@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import cross_source, quality
+from barloom.operators import cross_source, ordering, quality
 from barloom.plans import views
 from barloom.plans.publish import publish
 from barloom.session import materialize
@@ -71,9 +71,16 @@ finding_query("dq_adjustment", lambda i: quality.adjustment_semantics(i.requests
 
 @query
 def dq_finding_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = Inputs(spark, sf_dir)
-    found = quality.with_finding_id(quality.session_integrity(i.bars()))
-    return publish(found.select("asset_id", "finding_code", "affected_start", "finding_id"))
+    """Content ids of the findings of all eleven checks."""
+    found = quality.with_finding_id(Inputs(spark, sf_dir).findings())
+    return publish(found.select("asset_id", "check_id", "finding_code", "affected_start", "field", "finding_id"))
+
+
+@query
+def dq_findings_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings in one total order."""
+    found = ordering.ordered_findings(Inputs(spark, sf_dir).findings())
+    return publish(found.select("ordinal", "place", "asset_id", "check_id", "finding_code", "affected_start", "affected_end", "finding_id"))
 
 
 @query
@@ -139,9 +146,9 @@ def dq_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dq_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored report with one kind of finding taken out and one severity softened."""
+    """A stored report of all eleven checks with one kind of finding taken out and one severity softened."""
     i = Inputs(spark, sf_dir)
-    honest = quality.session_integrity(i.bars()).unionByName(quality.volume_integrity(i.bars()))
+    honest = materialize(i.findings(), "findings")
     stored = materialize(
         honest.filter(F.col("finding_code") != "non_monotonic_sessions").withColumn(
             "severity",

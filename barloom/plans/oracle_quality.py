@@ -203,14 +203,23 @@ for _name, _part in PARTS.items():
 
 ALL = " UNION ALL ".join(PARTS.values())
 
+_IDS = """CASE WHEN source_ids = '' THEN '[]' ELSE '["' || replace(source_ids, ',', '","') || '"]' END"""
 ID = f"""'dqf_' || substr(sha256('dqf' || chr(10) || '{{"affected_end":"' || {day('affected_end')} || '","affected_start":"' || {day('affected_start')}
   || '","check_id":"' || check_id || '","check_version":"2","field":' || coalesce('"' || field || '"', 'null') || ',"finding_code":"' || finding_code
-  || '","message":"' || message || '","observed_values":' || observed || ',"severity":"' || severity || '","source_evidence_ids":["'
-  || replace(source_ids, ',', '","') || '"]}}'), 1, 24)"""
+  || '","message":"' || message || '","observed_values":' || observed || ',"severity":"' || severity || '","source_evidence_ids":'
+  || {_IDS} || '}}'), 1, 24)"""
 
+IDENTIFIED = f"""found AS ({ALL}), identified AS (SELECT *, {ID} AS finding_id FROM found)"""
 oracle("dq_finding_ids", f"""
-WITH {Q}, found AS ({SESSION})
-SELECT asset_id, finding_code, {day('affected_start')} AS affected_start, {ID} AS finding_id FROM found""")
+WITH {Q}, {STABLE}, {IDENTIFIED}
+SELECT asset_id, check_id, finding_code, {day('affected_start')} AS affected_start, field, finding_id FROM identified""")
+_KEYS = "affected_start, affected_end, finding_code, coalesce(field, ''), string_split(source_ids, ','), finding_id"
+oracle("dq_findings_ordered", f"""
+WITH {Q}, {STABLE}, {IDENTIFIED}
+SELECT row_number() OVER (ORDER BY asset_id, check_id, {_KEYS}) - 1 AS ordinal,
+       row_number() OVER (PARTITION BY asset_id, check_id ORDER BY {_KEYS}) - 1 AS place,
+       asset_id, check_id, finding_code, {day('affected_start')} AS affected_start, {day('affected_end')} AS affected_end, finding_id
+FROM identified""")
 
 oracle("dq_cross_summary", f"""
 WITH {Q}, {STABLE}
@@ -285,6 +294,6 @@ SELECT asset_id, source_id, {day('min(session)')} AS observed_start, {day('max(s
        count(*) AS bar_count, count(DISTINCT session) AS session_count
 FROM q GROUP BY asset_id, source_id""")
 oracle("dq_replay", f"""
-WITH {Q}, found AS ({SESSION} UNION ALL {VOLUME})
+WITH {Q}, {STABLE}, found AS ({ALL})
 SELECT 'stored_only' AS side, finding_code, count(*) AS n FROM found WHERE finding_code = 'negative_volume' GROUP BY 2
 UNION ALL SELECT 'recomputed_only', finding_code, count(*) FROM found WHERE finding_code IN ('negative_volume', 'non_monotonic_sessions') GROUP BY 2""")
