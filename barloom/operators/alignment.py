@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.calendar import number_sessions
+from barloom.operators.calendars import SESSION_KEY, with_calendar_id
 from barloom.operators.segments import layout_for
 
 
@@ -21,9 +22,13 @@ class Aligned:
 
 
 def align(bars: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Attach calendar position and next open to each bar; unknown sessions keep NULLs."""
+    """Attach calendar position and next open to each bar; unknown sessions keep NULLs.
+
+    Bars with a ``calendar_id`` meet the sessions of their own calendar only, so one bar stays one row however many
+    calendars there are; see :func:`barloom.operators.calendars.with_calendar_id` for bars without.
+    """
     numbered = number_sessions(sessions).select(
-        "session",
+        *SESSION_KEY,
         "session_no",
         "next_session",
         "next_open_at",
@@ -31,7 +36,7 @@ def align(bars: DataFrame, sessions: DataFrame) -> DataFrame:
         F.col("session_open_at").alias("_calendar_open_at"),
         F.col("session_close_at").alias("_calendar_close_at"),
     )
-    joined = bars.join(numbered, "session", "left")
+    joined = with_calendar_id(bars, sessions).join(numbered, [*SESSION_KEY], "left")
     return joined.select(
         *bars.columns,
         "session_no",

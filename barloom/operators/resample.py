@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import calendar
 from barloom.operators.alignment import align, cover_violations
+from barloom.operators.calendars import with_calendar_id
 
 COMPLETE = "complete"
 PARTIAL_CUTOFF = "partial_cutoff"
@@ -48,10 +49,12 @@ def period_bars(
 
     A complete period is stamped with the availability of its own bars, any other with the
     caller's cutoff. An omitted session whose close the cutoff has reached means missing data.
-    Periods without bars yield no row; see :func:`resample_violations`.
+    Periods without bars yield no row; see :func:`resample_violations`. A period that the series' calendar does not
+    know at all has no expected session and is never complete.
     """
     start = calendar.period_start(F.col("session"), frequency)
-    observed = bars.groupBy("asset_id", "source", start.alias("period_start")).agg(
+    keyed = with_calendar_id(bars, sessions)
+    observed = keyed.groupBy("asset_id", "source", "calendar_id", start.alias("period_start")).agg(
         F.min_by("open", "session").alias("open"),
         F.max("high").alias("high"),
         F.min("low").alias("low"),
@@ -64,7 +67,13 @@ def period_bars(
         F.max("available_at").alias("available_at"),
         F.count(F.lit(1)).alias("constituent_count"),
     )
-    joined = observed.join(expected_periods(sessions, frequency), "period_start")
+    expected = expected_periods(sessions, frequency).drop("period_end")
+    joined = observed.join(expected, ["calendar_id", "period_start"], "left").withColumns(
+        {
+            "expected_count": F.coalesce("expected_count", F.lit(0)),
+            "period_end": calendar.period_end(F.col("period_start"), frequency),
+        }
+    )
     whole = F.col("constituent_count") == F.col("expected_count")
     cutoff = F.lit(cutoff_at).cast("timestamp")
     omitted_close = F.try_element_at(
@@ -73,6 +82,7 @@ def period_bars(
     return joined.select(
         "asset_id",
         "source",
+        "calendar_id",
         F.lit(frequency).alias("frequency"),
         "period_start",
         "period_end",
@@ -110,15 +120,16 @@ def resample_violations(
     )
     order = Window.partitionBy("calendar_id").orderBy("period_start")  # one row per period
     upcoming = expected_periods(sessions, frequency).select(
+        "calendar_id",
         "period_start",
         F.lead("period_start").over(order).alias("next_start"),
         F.lead("first_close_at").over(order).alias("next_first_close"),
     )
-    last = bars.groupBy("asset_id").agg(
+    last = with_calendar_id(bars, sessions).groupBy("asset_id", "calendar_id").agg(
         calendar.period_start(F.max("session"), frequency).alias("period_start")
     )
     elapsed = (
-        last.join(upcoming, "period_start")
+        last.join(upcoming, ["calendar_id", "period_start"])
         .filter(F.col("next_first_close") <= cutoff)
         .select(
             "asset_id",
@@ -189,10 +200,11 @@ def period_violations(periods: DataFrame, sessions: DataFrame, frequency: str) -
         )
     )
     independent = expected_periods(sessions, frequency).select(
-        "period_start", F.col("expected_hash").alias("calendar_hash")
+        "calendar_id", "period_start", F.col("expected_hash").alias("calendar_hash")
     )
     foreign = (
-        periods.join(independent, "period_start", "left")
+        with_calendar_id(periods, sessions)
+        .join(independent, ["calendar_id", "period_start"], "left")
         .filter(~F.col("expected_hash").eqNullSafe(F.col("calendar_hash")))
         .select(
             "asset_id",

@@ -1,9 +1,9 @@
 """Windows over series of any length.
 
-Series that passed the calendar cover check hold one row per session, so the calendar size is
-a proven bound for every per-series window partition. :func:`layout_for` checks it once: up to
-``WINDOW_BOUND`` sessions a series is one window partition. Beyond that the same operators cut
-each series into segments of ``size`` consecutive positions:
+Series that passed the calendar cover check hold one row per session, and a calendar at most one
+session per date: 366 rows a year bound every per-series window partition. Where even that is
+too much for a task, the session setting ``barloom.segment.rows`` makes the same operators cut
+each series into segments of that many consecutive positions (``size``):
 
 * bounded frames (means, channels, lags) get the rows they need from the segment before as
   halo copies, so no task holds more than ``size + halo`` rows of a series;
@@ -21,8 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SEGMENT = "_segment"
-SEGMENT_ROWS = 4096
-WINDOW_BOUND = 50_000
+LAYOUT = "barloom.segment.rows"
 
 _COMBINE = {
     "max": F.max,
@@ -33,8 +32,9 @@ _COMBINE = {
 
 
 def layout_for(sessions: DataFrame) -> int | None:
-    """Segment size for series on this calendar, or None if whole series fit a window."""
-    return None if sessions.count() <= WINDOW_BOUND else SEGMENT_ROWS
+    """Segment size the session asks for, or None for whole series in a window. Reads a setting, runs no job."""
+    rows = sessions.sparkSession.conf.get(LAYOUT, None)
+    return int(rows) if rows else None
 
 
 def cut(df: DataFrame, position: str, size: int | None) -> DataFrame:

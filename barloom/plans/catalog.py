@@ -119,13 +119,13 @@ def targets_sma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def targets_s1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars, sessions = market(spark, sf_dir, extra_days=1)
+    bars, sessions = market(spark, sf_dir, after="1d")
     return publish(strategies.rsi_pullback_targets(bars, sessions).clean())
 
 
 @query
 def targets_s2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars, sessions = market(spark, sf_dir, extra_days=1)
+    bars, sessions = market(spark, sf_dir, after="1d")
     return publish(strategies.donchian_targets(bars, sessions).clean())
 
 
@@ -218,7 +218,7 @@ def _sweep_summary(targets: DataFrame) -> DataFrame:
 @query
 def sweep_s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pullback strategy over 48 parameter sets in one pass."""
-    bars, sessions = market(spark, sf_dir, extra_days=1)
+    bars, sessions = market(spark, sf_dir, after="1d")
     return publish(
         _sweep_summary(strategies.rsi_pullback_targets(bars, sessions, grid=S1_GRID).clean())
     )
@@ -227,7 +227,7 @@ def sweep_s1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sweep_s2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The breakout strategy over four window pairs in one pass."""
-    bars, sessions = market(spark, sf_dir, extra_days=1)
+    bars, sessions = market(spark, sf_dir, after="1d")
     return publish(
         _sweep_summary(strategies.donchian_targets(bars, sessions, pairs=S2_PAIRS).clean())
     )

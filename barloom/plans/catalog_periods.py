@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.calendar import MONTH, WEEK
 from barloom.functions.identity import period_payload, signal_payload, stable_id
-from barloom.operators import momentum
+from barloom.operators import calendars, momentum
 from barloom.operators.alignment import align, cover, cover_violations
 from barloom.operators.backtest import Costs, backtest
 from barloom.operators.resample import (
@@ -39,8 +39,8 @@ def query(fn):
     return fn
 
 
-def _periods(spark, sf_dir, frequency, *, extra_days=0):
-    bars, sessions = views.market(spark, sf_dir, extra_days=extra_days)
+def _periods(spark, sf_dir, frequency, *, after=None):
+    bars, sessions = views.market(spark, sf_dir, after=after)
     return period_bars(bars, sessions, frequency, FAR), sessions
 
 
@@ -97,8 +97,7 @@ def resample_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cover_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All bars against the days on which every asset trades, and against all days."""
     bars = views.bars_table(spark, sf_dir)
-    _, sessions = views.market(spark, sf_dir)
-    common = cover_violations(align(bars, sessions), exact=True)
+    common = cover_violations(align(bars, views.common_days(bars)), exact=True)
     every = cover_violations(align(bars, views.all_days(bars)), exact=True)
     return publish(
         common.withColumn("calendar", F.lit("common")).unionByName(
@@ -107,21 +106,57 @@ def cover_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CHANGE = "1998-01-01"
+
+
+def _followed(spark, sf_dir):
+    """One asset on weekdays, one on all days, and the others change from the first to the second."""
+    bars = views.bars_table(spark, sf_dir)
+    both = views.all_days(bars, weekdays_only=True).withColumn("calendar_id", F.lit("WEEKDAYS")).unionByName(
+        views.all_days(bars).withColumn("calendar_id", F.lit("ALL"))
+    )
+    a, never, change = F.col("asset_id"), F.lit(None).cast("date"), F.lit(CHANGE).cast("date")
+
+    def entry(name, start, end):
+        return F.struct(F.lit(name).alias("calendar_id"), start.alias("valid_from"), end.alias("valid_to"))
+
+    entries = (
+        F.when(a == "N", F.array(entry("WEEKDAYS", never, never)))
+        .when(a == "R", F.array(entry("ALL", never, never)))
+        .otherwise(F.array(entry("WEEKDAYS", never, change), entry("ALL", change, never)))
+    )
+    mapping = bars.select("asset_id").distinct().select("asset_id", F.inline(entries))
+    return bars, calendars.compile_calendars(mapping, both)
+
+
 @query
-def targets_s3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    periods, sessions = _periods(spark, sf_dir, WEEK, extra_days=14)
-    return publish(strategies.dual_ma_targets(_elapsed(periods), sessions).clean())
+def two_calendars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars against two calendars and a change between them, both sides stored in buckets of (calendar, session)."""
+    bars, followed = _followed(spark, sf_dir)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = calendars.bucketed(calendars.assigned(bars, followed), calendars.SESSION_KEY, buckets, "keyed-bars")
+    sessions = calendars.bucketed(followed.sessions, calendars.SESSION_KEY, buckets, "keyed-sessions")
+    found = align(kept, sessions)
+    return publish(found.select("asset_id", "calendar_id", "session", "session_no", "next_session"))
 
 
 @query
-def targets_s4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    periods, sessions = _periods(spark, sf_dir, MONTH, extra_days=62)
-    return publish(strategies.period_sma_targets(_elapsed(periods), sessions).clean())
+def two_calendars_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the bars of each asset cover the calendar they follow."""
+    bars, followed = _followed(spark, sf_dir)
+    return publish(cover_violations(align(calendars.assigned(bars, followed), followed.sessions), exact=True))
 
 
-def _elapsed(periods: DataFrame) -> DataFrame:
-    """Leave out the last period, which the extended calendar leaves incomplete."""
-    return complete_only(periods)[0]
+@query
+def targets_s3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    periods, sessions = _periods(spark, sf_dir, WEEK, after=WEEK)
+    return publish(strategies.dual_ma_targets(periods, sessions).clean())
+
+
+@query
+def targets_s4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    periods, sessions = _periods(spark, sf_dir, MONTH, after=MONTH)
+    return publish(strategies.period_sma_targets(periods, sessions).clean())
 
 
 @query
@@ -186,12 +221,8 @@ def period_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def weekly_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly targets executed on daily bars."""
-    bars, sessions = views.market(spark, sf_dir)
-    weeks = period_bars(bars, sessions, WEEK, FAR)
-    last = weeks.agg(F.max("period_start")).scalar()
-    targets = strategies.dual_ma_targets(
-        weeks.filter(F.col("period_start") < last), sessions
-    ).clean()
+    bars, sessions = views.market(spark, sf_dir, after=WEEK)
+    targets = strategies.dual_ma_targets(period_bars(bars, sessions, WEEK, FAR), sessions).clean()
     covered = cover(bars, sessions)
     run = backtest(
         covered.bars, materialize(targets, "weekly-targets"), (Costs("weekly", 10_000, 10, 5),),

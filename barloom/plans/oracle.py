@@ -18,18 +18,15 @@ bars_all AS (
 )"""
 
 BARS = f"""{LINES},
-bars AS (
-  SELECT * FROM bars_all QUALIFY count(*) OVER (PARTITION BY session) = (SELECT count(DISTINCT asset_id) FROM bars_all)
-),
-sessions AS (SELECT DISTINCT session FROM bars),
+bars AS (SELECT * FROM bars_all),
+sessions AS (SELECT DISTINCT asset_id, session FROM bars),
 numbered AS (
-  SELECT session, row_number() OVER (ORDER BY session) - 1 AS no,
-         lead(session) OVER (ORDER BY session) AS next_session
-  FROM sessions
+  SELECT asset_id, session, row_number() OVER w - 1 AS no, lead(session) OVER w AS next_session
+  FROM sessions WINDOW w AS (PARTITION BY asset_id ORDER BY session)
 ),
-aligned AS (SELECT b.*, n.no, n.next_session FROM bars b JOIN numbered n USING (session))"""
+aligned AS (SELECT b.*, n.no, n.next_session FROM bars b JOIN numbered n USING (asset_id, session))"""
 
-# The calendar runs one day longer than the bars.
+# The calendar of an asset runs one day longer than its bars.
 NEXT_DAY = "coalesce(next_session, session + 1)"
 
 

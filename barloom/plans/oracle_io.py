@@ -32,15 +32,15 @@ SELECT asset_id, {day('session')} AS session, array_to_string(violations, ',') A
 oracle("con_schedule", f"""
 WITH {BARS},
 shifted AS (
-  SELECT session, CASE WHEN (session - DATE '1995-01-01') % 71 = 0 THEN 10 WHEN (session - DATE '1995-01-01') % 73 = 0 THEN 20 ELSE 0 END AS h FROM sessions
+  SELECT asset_id, session, CASE WHEN (session - DATE '1995-01-01') % 71 = 0 THEN 10 WHEN (session - DATE '1995-01-01') % 73 = 0 THEN 20 ELSE 0 END AS h FROM sessions
 ),
-steps AS (SELECT *, lag(session) OVER (ORDER BY session) AS p, lag(h) OVER (ORDER BY session) AS ph FROM shifted),
+steps AS (SELECT *, lag(session) OVER w AS p, lag(h) OVER w AS ph FROM shifted WINDOW w AS (PARTITION BY asset_id ORDER BY session)),
 judged AS (
-  SELECT session, list_filter([CASE WHEN NOT session BETWEEN DATE '1995-02-01' AND DATE '2001-12-31' THEN 'inside_requested_range' END,
+  SELECT asset_id, session, list_filter([CASE WHEN NOT session BETWEEN DATE '1995-02-01' AND DATE '2001-12-31' THEN 'inside_requested_range' END,
     CASE WHEN h > 0 THEN 'label_is_local_date' END, CASE WHEN ph = 20 AND session = p + 1 THEN 'no_overlap' END], lambda x: x IS NOT NULL) AS violations
   FROM steps
 )
-SELECT 'LINE' AS calendar_id, {day('session')} AS session, array_to_string(violations, ',') AS violations FROM judged WHERE len(violations) > 0""")
+SELECT 'LINE-' || asset_id AS calendar_id, {day('session')} AS session, array_to_string(violations, ',') AS violations FROM judged WHERE len(violations) > 0""")
 
 oracle("con_causality", f"""
 WITH {BARS}
@@ -107,9 +107,9 @@ oracle("fixture_roundtrip", f"""WITH {BARS}, {PRINTS}
 SELECT 'lines-daily-v1' AS fixture_id, asset_id, row_count, content_hash, 0::BIGINT AS violations FROM prints""")
 oracle("session_set_hashes", f"""
 WITH {BARS}
-SELECT 'LINE' AS calendar_id, count(*) AS session_count,
-       sha256('{{"calendar_id":"LINE","sessions":[' || string_agg('"' || {day('session')} || '"', ',' ORDER BY session) || ']}}') AS sessions_hash
-FROM sessions""")
+SELECT 'LINE-' || asset_id AS calendar_id, count(*) AS session_count,
+       sha256('{{"calendar_id":"LINE-' || asset_id || '","sessions":[' || string_agg('"' || {day('session')} || '"', ',' ORDER BY session) || ']}}') AS sessions_hash
+FROM sessions GROUP BY asset_id""")
 oracle("bar_ids", f"""
 WITH {BASE}
 SELECT asset_id, {day('session')} AS session, 'bar_' || substr(sha256('bar' || chr(10) || '{{"asset":"' || asset_id || '","close":"' || {plain('close')}

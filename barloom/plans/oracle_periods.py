@@ -18,16 +18,16 @@ def periods(frequency: str, name: str = "periods", bars: str = "bars", calendar:
     u = unit(frequency)
     return f"""
 {name}_expected AS (
-  SELECT CAST(date_trunc('{u}', session) AS DATE) AS period_start, count(*) AS expected_count, max(session) AS expected_last,
+  SELECT asset_id, CAST(date_trunc('{u}', session) AS DATE) AS period_start, count(*) AS expected_count, max(session) AS expected_last,
          list(session ORDER BY session) AS days
-  FROM {calendar} GROUP BY 1
+  FROM {calendar} GROUP BY 1, 2
 ),
 {name} AS (
   SELECT o.*, e.expected_count, e.days, {period_end(frequency, 'o.period_start')} AS period_end
   FROM (SELECT asset_id, CAST(date_trunc('{u}', session) AS DATE) AS period_start,
           arg_min(open, session) AS open, max(high) AS high, min(low) AS low, arg_max(close, session) AS close,
           sum(volume) AS volume, max(session) AS last_session, count(*) AS n
-        FROM {bars} GROUP BY 1, 2) o JOIN {name}_expected e USING (period_start)
+        FROM {bars} GROUP BY 1, 2) o JOIN {name}_expected e USING (asset_id, period_start)
 )"""
 
 
@@ -85,11 +85,11 @@ late AS (SELECT asset_id, 'bar_after_cutoff' AS rule, session, {day('session')}
   FROM broken WHERE session + TIME '21:05:00' > TIMESTAMP '2001-06-16 00:00:00'),
 missing AS (SELECT asset_id, 'missing_session' AS rule, max(session) AS session, CAST(max(no) + 1 - count(*) AS VARCHAR) AS detail
   FROM broken GROUP BY asset_id HAVING max(no) + 1 > count(*)),
-weeks AS (SELECT CAST(date_trunc('week', session) AS DATE) AS p, min(session) AS first FROM sessions GROUP BY 1),
-upcoming AS (SELECT p, lead(p) OVER (ORDER BY p) AS np, lead(first) OVER (ORDER BY p) AS nf FROM weeks),
+weeks AS (SELECT asset_id, CAST(date_trunc('week', session) AS DATE) AS p, min(session) AS first FROM sessions GROUP BY 1, 2),
+upcoming AS (SELECT asset_id, p, lead(p) OVER w AS np, lead(first) OVER w AS nf FROM weeks WINDOW w AS (PARTITION BY asset_id ORDER BY p)),
 elapsed AS (
   SELECT asset_id, 'elapsed_period_without_bars' AS rule, np AS session, {day('np')} AS detail
-  FROM (SELECT asset_id, CAST(date_trunc('week', max(session)) AS DATE) AS p FROM broken GROUP BY asset_id) JOIN upcoming USING (p)
+  FROM (SELECT asset_id, CAST(date_trunc('week', max(session)) AS DATE) AS p FROM broken GROUP BY asset_id) JOIN upcoming USING (asset_id, p)
   WHERE nf + TIME '21:00:00' <= TIMESTAMP '2001-06-16 00:00:00'
 )
 SELECT asset_id, rule, {day('session')} AS session, detail
@@ -98,8 +98,9 @@ FROM (SELECT * FROM late UNION ALL SELECT * FROM missing UNION ALL SELECT * FROM
 oracle("cover_checks", f"""
 WITH {BARS},
 every_day AS (SELECT CAST(u AS DATE) AS session FROM (SELECT unnest(generate_series(min(session), max(session), INTERVAL 1 DAY)) AS u FROM bars_all)),
+common AS (SELECT session FROM bars_all GROUP BY session HAVING count(DISTINCT asset_id) = (SELECT count(DISTINCT asset_id) FROM bars_all)),
 calendars AS (
-  SELECT 'common' AS calendar, session, row_number() OVER (ORDER BY session) - 1 AS no FROM sessions
+  SELECT 'common' AS calendar, session, row_number() OVER (ORDER BY session) - 1 AS no FROM common
   UNION ALL SELECT 'all days', session, row_number() OVER (ORDER BY session) - 1 FROM every_day
 ),
 sizes AS (SELECT calendar, count(*) AS size FROM calendars GROUP BY calendar),
@@ -117,13 +118,44 @@ rules AS (
 SELECT asset_id, rule, {day('session')} AS session, CAST(n AS VARCHAR) AS detail, calendar FROM rules WHERE n > 0""")
 
 
-def extended(days: int) -> str:
+FOLLOWED = """
+days AS (SELECT CAST(u AS DATE) AS session FROM (SELECT unnest(generate_series(min(session), max(session), INTERVAL 1 DAY)) AS u FROM bars_all)),
+scheduled AS (
+  SELECT asset_id, session FROM days, (SELECT DISTINCT asset_id FROM bars_all)
+  WHERE asset_id = 'R' OR isodow(session) < 6 OR (asset_id <> 'N' AND session >= DATE '1998-01-01')
+),
+placed AS (
+  SELECT asset_id, session, row_number() OVER w - 1 AS no, lead(session) OVER w AS next_session, count(*) OVER (PARTITION BY asset_id) AS size
+  FROM scheduled WINDOW w AS (PARTITION BY asset_id ORDER BY session)
+)"""
+oracle("two_calendars", f"""
+WITH {BARS}, {FOLLOWED}
+SELECT b.asset_id, CASE b.asset_id WHEN 'N' THEN 'WEEKDAYS' WHEN 'R' THEN 'ALL'
+         ELSE 'WEEKDAYS[0001-01-01,1998-01-01)+ALL[1998-01-01,9999-12-31)' END AS calendar_id,
+       {day('b.session')} AS session, p.no AS session_no, {day('p.next_session')} AS next_session
+FROM bars b LEFT JOIN placed p ON p.asset_id = b.asset_id AND p.session = b.session""")
+oracle("two_calendars_cover", f"""
+WITH {BARS}, {FOLLOWED},
+facts AS (
+  SELECT b.asset_id, max(b.session) AS session, count(*) FILTER (p.no IS NULL) AS unexpected, count(p.no) AS covered, max(p.no) AS last_no, max(p.size) AS size
+  FROM bars b LEFT JOIN placed p ON p.asset_id = b.asset_id AND p.session = b.session GROUP BY b.asset_id
+),
+rules AS (
+  SELECT asset_id, session, 'unexpected_session' AS rule, unexpected AS n FROM facts
+  UNION ALL SELECT asset_id, session, 'missing_session', last_no + 1 - covered FROM facts
+  UNION ALL SELECT asset_id, session, 'calendar_not_covered', size - covered FROM facts
+)
+SELECT asset_id, rule, {day('session')} AS session, CAST(n AS VARCHAR) AS detail FROM rules WHERE n > 0""")
+
+
+def extended(frequency: str) -> str:
+    """Every calendar with one session after the last period of its bars."""
+    begins = "date_trunc('week', max(session)) + INTERVAL 7 DAY" if frequency == "1w" else "last_day(max(session)) + 1"
     return f"""
 calendar AS (
-  SELECT session FROM sessions UNION ALL
-  SELECT CAST(u AS DATE) FROM (SELECT unnest(generate_series(max(session) + 1, max(session) + {days}, INTERVAL 1 DAY)) AS u FROM sessions)
+  SELECT asset_id, session FROM sessions UNION ALL SELECT asset_id, CAST({begins} AS DATE) FROM sessions GROUP BY asset_id
 ),
-following AS (SELECT session AS last_session, lead(session) OVER (ORDER BY session) AS nxt FROM calendar)"""
+following AS (SELECT asset_id, session AS last_session, lead(session) OVER (PARTITION BY asset_id ORDER BY session) AS nxt FROM calendar)"""
 
 
 def gaps(frequency: str, name: str) -> str:
@@ -136,9 +168,9 @@ gaps AS (
 )"""
 
 
-def period_targets(frequency: str, days: int, warmup: int, condition: str) -> str:
+def period_targets(frequency: str, warmup: int, condition: str) -> str:
     return f"""
-WITH {BARS}, {extended(days)}, {periods(frequency, calendar='calendar')},
+WITH {BARS}, {extended(frequency)}, {periods(frequency, calendar='calendar')},
 whole AS (SELECT * FROM periods WHERE n = expected_count), {gaps(frequency, 'whole')},
 scored AS (
   SELECT *, row_number() OVER w - 1 AS i,
@@ -149,11 +181,11 @@ scored AS (
 )
 SELECT asset_id, {day('last_session')} AS session, {day('last_session')} || ' 21:05:00' AS decision_at,
        {day('nxt')} || ' 14:30:00' AS effective_at, CAST({condition} AS BIGINT) AS weight
-FROM scored JOIN following USING (last_session) WHERE i >= {warmup - 1} AND asset_id NOT IN (SELECT asset_id FROM gaps)"""
+FROM scored JOIN following USING (asset_id, last_session) WHERE i >= {warmup - 1} AND asset_id NOT IN (SELECT asset_id FROM gaps)"""
 
 
-oracle("targets_s3", period_targets("1w", 14, 40, "s13 * 40 > s40 * 13"))
-oracle("targets_s4", period_targets("1mo", 62, 10, "close * 10 > s10"))
+oracle("targets_s3", period_targets("1w", 40, "s13 * 40 > s40 * 13"))
+oracle("targets_s4", period_targets("1mo", 10, "close * 10 > s10"))
 
 MOMENTUM = f"""
 rows AS (
@@ -182,8 +214,10 @@ oracle("momentum_alignment", f"""
 WITH {BARS}, {periods('1mo')},
 holes AS (SELECT * FROM periods WHERE NOT (asset_id = 'N' AND period_start BETWEEN DATE '1998-03-01' AND DATE '1998-04-01')),
 steps AS (SELECT asset_id, period_start, lag(period_start) OVER (PARTITION BY asset_id ORDER BY period_start) AS previous FROM holes)
-SELECT '*' AS asset_id, {day('period_start')} AS period_start, 'asset_missing' AS rule FROM holes GROUP BY period_start
-HAVING count(DISTINCT asset_id) < (SELECT count(DISTINCT asset_id) FROM bars_all)
+SELECT '*' AS asset_id, {day('period_start')} AS period_start,
+       CASE WHEN count(DISTINCT asset_id) < (SELECT count(DISTINCT asset_id) FROM bars_all) THEN 'asset_missing' ELSE 'sessions_differ' END AS rule
+FROM holes GROUP BY period_start
+HAVING count(DISTINCT asset_id) < (SELECT count(DISTINCT asset_id) FROM bars_all) OR count(DISTINCT days) > 1
 UNION ALL SELECT asset_id, {day('period_start')}, 'month_gap' FROM steps WHERE period_start <> previous + INTERVAL 1 MONTH
 UNION ALL SELECT DISTINCT asset_id, NULL, CASE WHEN asset_id = 'R' THEN 'not_total_return' ELSE 'semantics_differ' END FROM bars_all""")
 
@@ -199,19 +233,19 @@ steps AS (SELECT asset_id, period_start, lag(period_start) OVER (PARTITION BY as
 SELECT asset_id, 'incomplete_period' AS rule, {day('period_start')} AS session, completeness AS detail FROM weeks WHERE completeness <> 'complete'
 UNION ALL SELECT asset_id, 'period_gap', {day('period_start')}, {day('previous')} FROM steps WHERE period_start <> previous + 7
 UNION ALL SELECT asset_id, 'calendar_mismatch', {day('period_start')}, NULL FROM weeks
-  WHERE period_start = DATE '1998-02-09' AND EXISTS (SELECT 1 FROM sessions WHERE session = DATE '1998-02-11')""")
+  WHERE period_start = DATE '1998-02-09' AND EXISTS (SELECT 1 FROM sessions s WHERE s.asset_id = weeks.asset_id AND session = DATE '1998-02-11')""")
 
 oracle("weekly_backtest", f"""
-WITH {BARS}, {periods('1w')}, early AS (SELECT * FROM periods WHERE period_start < (SELECT max(period_start) FROM periods)), {gaps('1w', 'early')},
+WITH {BARS}, {extended('1w')}, {periods('1w', calendar='calendar')}, {gaps('1w', 'periods')},
 scored AS (
   SELECT asset_id, last_session, row_number() OVER (PARTITION BY asset_id ORDER BY period_start) - 1 AS i,
          sum(close) OVER (PARTITION BY asset_id ORDER BY period_start ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS s13,
          sum(close) OVER (PARTITION BY asset_id ORDER BY period_start ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS s40
-  FROM early WHERE asset_id NOT IN (SELECT asset_id FROM gaps)
+  FROM periods WHERE asset_id NOT IN (SELECT asset_id FROM gaps)
 ),
 targets AS (
-  SELECT s.asset_id, n.next_session, CASE WHEN s13 * 40 > s40 * 13 THEN 1 ELSE 0 END AS weight
-  FROM scored s JOIN numbered n ON n.session = s.last_session WHERE i >= 39
+  SELECT s.asset_id, n.nxt AS next_session, CASE WHEN s13 * 40 > s40 * 13 THEN 1 ELSE 0 END AS weight
+  FROM scored s JOIN following n USING (asset_id, last_session) WHERE i >= 39
 ),
 held AS (
   SELECT b.asset_id, b.session, CAST(b.open AS DOUBLE) AS o, CAST(b.close AS DOUBLE) AS k,
@@ -254,6 +288,6 @@ SELECT period_start, 'dual-momentum-signal_' || substr(sha256('dual-momentum-sig
 FROM ({_signals})""")
 oracle("range_boundaries", f"""
 WITH {BARS}
-SELECT 'LINE' AS calendar_id, {day('min(session)')} AS requested_start, {day('max(session)')} AS requested_end,
+SELECT 'LINE-' || asset_id AS calendar_id, {day('min(session)')} AS requested_start, {day('max(session)')} AS requested_end,
        {day("date_trunc('month', min(session))")} AS first_start, {day('last_day(max(session))')} AS last_end
-FROM sessions HAVING min(session) <> date_trunc('month', min(session)) OR max(session) <> last_day(max(session))""")
+FROM sessions GROUP BY asset_id HAVING min(session) <> date_trunc('month', min(session)) OR max(session) <> last_day(max(session))""")

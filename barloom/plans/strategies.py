@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from barloom.functions import calendar, features
 from barloom.operators import segments
 from barloom.operators.alignment import cover
+from barloom.operators.calendars import with_calendar_id
 from barloom.operators.resample import period_violations
 from barloom.operators.rsi import with_wilder_rsi
 
@@ -187,7 +188,8 @@ def _period_targets(
     is_long: Column,
 ) -> Targets:
     found = period_violations(period_bars, sessions, frequency)
-    kept = period_bars.join(found.select("asset_id").distinct(), "asset_id", "left_anti")
+    keyed = with_calendar_id(period_bars, sessions)
+    kept = keyed.join(found.select("asset_id").distinct(), "asset_id", "left_anti")
     # Consecutive periods of a series: at most 53 rows a year, so one window partition each.
     spec = Window.partitionBy("asset_id").orderBy("period_start")
     scored = features.with_rolling_sums(kept, sums, spec).withColumns(
@@ -197,12 +199,12 @@ def _period_targets(
         }
     )
     following = calendar.number_sessions(sessions).select(
-        F.col("session").alias("last_session"), "next_open_at"
+        "calendar_id", F.col("session").alias("last_session"), "next_open_at"
     )
     rows = (
         scored.filter(F.col("_index") >= warmup - 1)
         .withColumnRenamed("period_end", "_period_end")
-        .join(following, "last_session", "left")
+        .join(following, ["calendar_id", "last_session"], "left")
         .withColumn("session", F.col("last_session"))
     )
     return _targets(rows, is_long, found, None)

@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.calendar import number_sessions
+from barloom.functions.calendar import number_sessions, period_end
 from barloom.operators.segments import running_in_parts
 from barloom.schemas import PRICE, VOLUME
 from barloom.session import path_exists, prepare, write_scratch
@@ -103,26 +103,36 @@ def bars_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of the days on which every asset trades, stored."""
+    """All daily bars with the calendar of their asset, stored."""
 
     def build():
         bars = bars_table(spark, sf_dir)
-        assets = bars.agg(F.count_distinct("asset_id")).scalar()
-        days = bars.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
-        common = days.filter(F.col("n") == assets).select("session")
-        return bars.join(common, "session", "left_semi")
+        return bars.withColumn("calendar_id", F.concat(F.lit(f"{CALENDAR}-"), "asset_id"))
 
     return stored(spark, sf_dir, "bars-daily", build)
 
 
-def market(spark: SparkSession, sf_dir: str, *, extra_days: int = 0):
-    """Daily bars and their numbered calendar, with ``extra_days`` sessions after the bars."""
+def market(spark: SparkSession, sf_dir: str, *, after: str | None = None):
+    """Daily bars and the numbered calendar of every asset: the days on which it trades.
+
+    ``after`` adds one session to each calendar: on the next day (``1d``), or on the first day of the
+    next week (``1w``) or month (``1mo``), which leaves the last period of the bars whole.
+    """
     bars = bars_daily(spark, sf_dir)
 
     def build():
-        return number_sessions(calendar_of(bars, extra_days=extra_days))
+        return number_sessions(calendar_of(bars, after=after))
+
+    return bars, stored(spark, sf_dir, f"sessions-{after}", build)
 
-    return bars, stored(spark, sf_dir, f"sessions-{extra_days}", build)
+
+def common_days(bars: DataFrame) -> DataFrame:
+    """The calendar of the days on which every asset trades."""
+    assets = bars.agg(F.count_distinct("asset_id")).scalar()
+    days = bars.groupBy("session").agg(F.count_distinct("asset_id").alias("n"))
+    return with_times(days.filter(F.col("n") == assets).select("session")).select(
+        F.lit(CALENDAR).alias("calendar_id"), "session", "session_open_at", "session_close_at"
+    )
 
 
 def with_times(rows: DataFrame) -> DataFrame:
@@ -137,21 +147,14 @@ def with_times(rows: DataFrame) -> DataFrame:
     )
 
 
-def calendar_of(bars: DataFrame, *, extra_days: int = 0) -> DataFrame:
-    """The observed calendar, optionally extended by whole days after its end."""
-    days = bars.select("session").distinct()
-    if extra_days:
-        last = days.agg(F.max("session").alias("last"))
-        days = days.unionByName(
-            last.select(
-                F.explode(
-                    F.sequence(F.date_add("last", 1), F.date_add("last", extra_days))
-                ).alias("session")
-            )
-        )
-    return with_times(days).select(
-        F.lit(CALENDAR).alias("calendar_id"), "session", "session_open_at", "session_close_at"
-    )
+def calendar_of(bars: DataFrame, *, after: str | None = None) -> DataFrame:
+    """The observed sessions of every calendar, optionally with one more after its end."""
+    days = bars.select("calendar_id", "session").distinct()
+    if after:
+        last = F.max("session")
+        following = F.date_add(last if after == "1d" else period_end(last, after), 1)
+        days = days.unionByName(days.groupBy("calendar_id").agg(following.alias("session")))
+    return with_times(days).select("calendar_id", "session", "session_open_at", "session_close_at")
 
 
 def all_days(bars: DataFrame, *, weekdays_only: bool = False) -> DataFrame:

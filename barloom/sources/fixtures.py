@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom import schemas
 from barloom.functions.identity import series_fingerprint, session_set_hash
 from barloom.operators.alignment import align, cover_violations
+from barloom.operators.calendars import with_calendar_id
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,7 @@ def read_fixture(spark: SparkSession, fixture_id: str, path: str) -> Fixture:
     )
     changed = F.when(F.col("_m").isNull() | F.col("_a").isNull(), "asset_set_differs")
     for name in ("row_count", "content_hash", "sessions_hash"):
-        changed = changed.when(F.col(f"_m.{name}") != F.col(f"_a.{name}"), f"{name}_differs")
+        changed = changed.when(~F.col(f"_m.{name}").eqNullSafe(F.col(f"_a.{name}")), f"{name}_differs")
     mismatched = pairs.select("asset_id", changed.alias("rule")).filter(F.col("rule").isNotNull())
     uncovered = cover_violations(align(bars, sessions), exact=True).select("asset_id", "rule")
     return Fixture(bars, sessions, manifest, mismatched.unionByName(uncovered))
@@ -63,8 +64,9 @@ def read_fixture(spark: SparkSession, fixture_id: str, path: str) -> Fixture:
 
 def _manifest(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     prints = series_fingerprint(align(bars, sessions), ["asset_id"], "session_no")
-    calendar = session_set_hash(sessions).agg(F.first("sessions_hash")).scalar()
-    return prints.select("asset_id", "row_count", "content_hash", calendar.alias("sessions_hash"))
+    followed = with_calendar_id(bars, sessions).select("asset_id", "calendar_id").distinct()
+    hashes = followed.join(session_set_hash(sessions), "calendar_id", "left").select("asset_id", "sessions_hash")
+    return prints.join(hashes, "asset_id").select("asset_id", "row_count", "content_hash", "sessions_hash")
 
 
 def _require_id(fixture_id: str) -> None:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.calendars import SESSION_KEY, with_calendar_id
 from barloom.operators.contracts import bar_rules, with_violations
 from barloom.schemas import PRICE, PRICE_FIELDS, VOLUME
 
@@ -60,10 +61,9 @@ def adjustment_mode(flag: Column) -> Column:
 
 
 def attach_session_times(rows: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Open and close instants of each row's session; unknown sessions keep NULLs."""
-    return rows.join(
-        sessions.select("session", "session_open_at", "session_close_at"), "session", "left"
-    )
+    """Open and close instants of each row's session in its own calendar; unknown sessions keep NULLs."""
+    times = sessions.select(*SESSION_KEY, "session_open_at", "session_close_at")
+    return with_calendar_id(rows, sessions).join(times, [*SESSION_KEY], "left")
 
 
 def require_columns(raw: DataFrame, provider: Provider) -> None:
@@ -82,7 +82,8 @@ def normalize_bars(
 ) -> Normalized:
     """Typed bars of every asset whose rows are all acceptable, and what is wrong elsewhere.
 
-    ``raw`` has asset_id plus the provider's text columns. One bad row withholds its asset.
+    ``raw`` has asset_id plus the provider's text columns, and calendar_id where ``sessions`` holds several. One bad
+    row withholds its asset.
     """
     require_columns(raw, provider)
     if start is not None and end is not None and start > end:
@@ -90,6 +91,7 @@ def normalize_bars(
     text = {field: F.col(name).cast("string") for field, name in provider.columns.items()}
     rows = raw.select(
         "asset_id",
+        *[c for c in ("calendar_id",) if c in raw.columns],
         text["date"].alias("_date"),
         parse_session(text["date"]).alias("session"),
         *[parse_decimal(text[f]).alias(f) for f in PRICE_FIELDS],

@@ -244,10 +244,12 @@ def test_segmented_layout_equals_one_window(spark, monkeypatch):
         ]
 
     whole = everything()
-    monkeypatch.setattr(segments, "WINDOW_BOUND", 10)
-    monkeypatch.setattr(segments, "SEGMENT_ROWS", 64)
-    assert segments.layout_for(sessions) == 64
-    assert everything() == whole
+    spark.conf.set(segments.LAYOUT, "64")
+    try:
+        assert segments.layout_for(sessions) == 64
+        assert everything() == whole
+    finally:
+        spark.conf.unset(segments.LAYOUT)
 
 
 def golden(spark, costs):
