@@ -17,7 +17,6 @@ from barloom.functions.identity import (
 from barloom.operators import contracts
 from barloom.operators.alignment import align, cover
 from barloom.operators.backtest import Costs, backtest
-from barloom.operators.resample import expected_periods
 from barloom.plans import strategies, views
 from barloom.plans.publish import publish
 from barloom.session import scratch_path
@@ -438,24 +437,45 @@ def run_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish(results.verify_run(spark, path))
 
 
+def _streamed_weeks(spark, source, sessions) -> DataFrame:
+    path, checkpoint = scratch_path(spark, "weeks"), scratch_path(spark, "weeks-state")
+    streams.append_to(streams.period_stream(source, sessions, WEEK), path, checkpoint).awaitTermination()
+    return spark.read.parquet(path)
+
+
 @query
 def stream_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars from a stream of the stored daily bars."""
     bars, sessions = views.market(spark, sf_dir)
     source = spark.readStream.schema(bars.schema).parquet(views.stored_path(spark, sf_dir, "bars-daily"))
-    expected = expected_periods(sessions, WEEK)
-    path, checkpoint = scratch_path(spark, "weeks"), scratch_path(spark, "weeks-state")
-    streams.append_to(
-        streams.weekly_stream(source, expected), path, checkpoint
-    ).awaitTermination()
+    weeks = _streamed_weeks(spark, source, sessions).filter(F.col("kind") == streams.PERIOD)
     return publish(
-        spark.read.parquet(path).select(
-            "asset_id", "period_start", "open", "high", "low", "close", "volume",
+        weeks.select(
+            "asset_id", "period_start", "open", "high", "low", "close", "volume", "available_at",
             "constituent_count", "expected_count", "completeness",
         )
     )
 
 
+@query
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream in which some bars become available weeks after their session."""
+    bars, sessions = views.market(spark, sf_dir)
+
+    def build():
+        planted = F.when(F.col("d") % 97 == 0, F.col("available_at") + F.expr("interval 20 days"))
+        return _numbered_days(bars).withColumn("available_at", F.coalesce(planted, F.col("available_at"))).drop("d")
+
+    late = views.stored(spark, sf_dir, "bars-late", build)
+    source = spark.readStream.schema(late.schema).parquet(views.stored_path(spark, sf_dir, "bars-late"))
+    weeks = _streamed_weeks(spark, source, sessions)
+    return publish(
+        weeks.select(
+            "asset_id", "period_start", "kind", "row_count", "close", "volume", "cutoff_at", "expected_count", "completeness"
+        )
+    )
+
+
 @query
 def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of bars split into clean and quarantined rows."""

@@ -162,8 +162,30 @@ WITH {BARS} SELECT asset_id, 'stored' AS run_id, count(*) AS row_count, 'verifie
 oracle("stream_weekly", f"""
 WITH {BARS}, {periods('1w')}
 SELECT asset_id, {day('period_start')} AS period_start, {num('open')} AS open, {num('high')} AS high, {num('low')} AS low, {num('close')} AS close,
-       {num('volume')} AS volume, n AS constituent_count, expected_count, 'complete' AS completeness
-FROM periods WHERE period_start + 7 <= (SELECT max(session) + TIME '21:00:00' - INTERVAL 3 DAY FROM sessions)""")
+       {num('volume')} AS volume, {day('last_session')} || ' 21:05:00' AS available_at, n AS constituent_count, expected_count, 'complete' AS completeness
+FROM periods""")
+oracle("stream_late", f"""
+WITH {BARS}, {periods('1w', 'whole')},
+timed AS (
+  SELECT b.*, CAST(date_trunc('week', session) AS DATE) AS period_start,
+         session + TIME '21:05:00' + CASE WHEN (session - DATE '1995-01-01') % 97 = 0 THEN INTERVAL 20 DAY ELSE INTERVAL 0 DAY END AS available
+  FROM bars b
+),
+due AS (
+  SELECT t.*, w.expected_count, w.days[-1] + TIME '21:00:00' + INTERVAL 12 HOUR AS cutoff
+  FROM timed t JOIN whole w USING (asset_id, period_start)
+),
+weeks AS (
+  SELECT asset_id, period_start, cutoff, expected_count, count(*) FILTER (available <= cutoff) AS n, count(*) FILTER (available > cutoff) AS late,
+         arg_max(close, session) FILTER (available <= cutoff) AS close, sum(volume) FILTER (available <= cutoff) AS volume
+  FROM due GROUP BY ALL
+),
+final AS (SELECT max(available) - INTERVAL 3 DAY AS mark FROM due)
+SELECT asset_id, {day('period_start')} AS period_start, 'period' AS kind, n AS row_count, {num('close')} AS close, {num('volume')} AS volume,
+       strftime(cutoff, '%Y-%m-%d %H:%M:%S') AS cutoff_at, expected_count,
+       CASE WHEN n = expected_count THEN 'complete' ELSE 'incomplete_missing_data' END AS completeness
+FROM weeks, final WHERE n > 0 AND (n = expected_count OR cutoff < mark)
+UNION ALL SELECT asset_id, {day('period_start')}, 'late', late, NULL, NULL, NULL, NULL, NULL FROM weeks WHERE late > 0""")
 oracle("stream_quarantine", f"""
 WITH {BASE}, {DEFECTS}
 SELECT asset_id, count(*) AS n, CASE WHEN len(violations) = 0 THEN 'clean' ELSE 'quarantine' END AS sink FROM judged GROUP BY ALL""")

@@ -13,11 +13,9 @@ from conftest import bar, bars_frame, calendar_frame, instant, weekdays
 from pyspark.sql import functions as F
 
 from barloom.functions import credentials, identity
-from barloom.functions.calendar import WEEK
 from barloom.operators import contracts
 from barloom.operators.alignment import cover
 from barloom.operators.backtest import Costs, backtest
-from barloom.operators.resample import expected_periods
 from barloom.plans import strategies, views
 from barloom.sources import captures, fixtures, providers, results
 from barloom.streaming import bars as streams
@@ -227,22 +225,10 @@ def test_release_ranges(spark):
     assert got == {("r", d(2025, 12, 1), True), ("r", d(2026, 1, 31), False), ("r", d(2026, 3, 2), True), ("q", d(2026, 3, 2), False)}
 
 
-def test_weekly_stream_and_quarantine(spark):
+def test_quarantine_stream(spark):
     days = weekdays("2026-01-05", 15)
-    rows = [bar(d, 10 + i) for i, d in enumerate(days) if i != 6]
-    bars = bars_frame(spark, rows)
+    bars = bars_frame(spark, [bar(d, 10 + i) for i, d in enumerate(days) if i != 6])
     source, out = fresh() + "/bars", fresh()
-    bars.write.parquet(source)
-    stream = spark.readStream.schema(bars.schema).parquet(source)
-    weeks = streams.weekly_stream(stream, expected_periods(calendar_frame(spark, days), WEEK), delay="1 day")
-    streams.append_to(weeks, f"{out}/weeks", f"{out}/state").awaitTermination()
-    got = spark.read.parquet(f"{out}/weeks").orderBy("period_start").collect()
-    # The third week is still open: the watermark has not passed its end.
-    assert [(r.period_start.day, r.constituent_count, r.completeness) for r in got] == [
-        (5, 5, "complete"),
-        (12, 4, "incomplete_missing_data"),
-    ]
-    assert (got[0].open, got[0].close) == (10, 14)
     bad = bars.withColumn("high", F.when(F.col("session") == str(days[3]), (F.col("low") - 1).cast("decimal(18,6)")).otherwise(F.col("high")))
     bad.write.parquet(source + "2")
     stream = spark.readStream.schema(bars.schema).parquet(source + "2")
