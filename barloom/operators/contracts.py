@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import calendar
+from barloom.operators.segments import running_in_parts
 from barloom.schemas import PRICE_FIELDS
 
 
@@ -140,10 +141,15 @@ def interval_violations(intervals: DataFrame, releases: DataFrame) -> DataFrame:
     ``intervals`` has release_id, start_session, end_session, session_count, report_id;
     ``releases`` has release_id, schedule_start, schedule_end, schedule_count.
     """
-    order = Window.partitionBy("release_id").orderBy("start_session", "end_session", "report_id")
-    joined = intervals.join(releases, "release_id").withColumn(
-        "_last_end", F.lag("end_session").over(order)
+    joined = intervals.join(releases, "release_id").withColumns(
+        {
+            "_order": F.struct("start_session", "end_session", "report_id"),
+            "_part": F.coalesce(F.year("start_session"), F.lit(0)),
+        }
     )
+    # An interval must start after every earlier one has ended: a running maximum, cut by the year it starts in.
+    before = (Window.unboundedPreceding, -1)
+    joined = running_in_parts(joined, ["release_id"], "_part", "_order", {"_last_end": ("max", F.col("end_session"))}, before)
     rows = with_violations(
         joined,
         {

@@ -4,11 +4,12 @@ Inputs
   bars      asset_id, source_id, row_seq (arrival order from zero), session and the raw text of
             open, high, low, close, volume, so that broken values survive until they are judged
   sources   asset_id, source_id, schema_version, normalizer_id, normalizer_version
-  sessions  the expected calendar
-  requests  asset_id, requested_start, requested_end, adjustment_mode
+  sessions  the expected calendars; bars, sources and requests name theirs in calendar_id where there are several
+  requests  asset_id, requested_start, requested_end, adjustment_mode; any number per asset
   revisions asset_id, previous_id, current_id, with the bars of both in ``revision_bars``
 
-Sources are compared, never blended, and every finding names the dates it affects.
+Sources are compared, never blended, and every finding names the dates it affects. Findings that hold for one request only
+(what it lacks, what it asks for) carry its ``request_id``; all others hold for every request of their asset.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from barloom.functions.calendar import number_sessions
 from barloom.functions.identity import canonical_decimal, canonical_json, stable_id
 from barloom.functions.numeric import symmetric_bps, within_symmetric_bps
-from barloom.operators import segments
+from barloom.operators import intervals, segments, session_sets
+from barloom.operators.calendars import SESSION_KEY, with_calendar_id
 from barloom.schemas import PRICE, PRICE_FIELDS
 from barloom.session import materialize
 
@@ -87,24 +89,29 @@ class QualityPolicy:
 def schema_contract(
     bars: DataFrame, sources: DataFrame, requests: DataFrame, policy: QualityPolicy
 ) -> DataFrame:
+    """Sources of an unknown schema, over the dates of their bars; a source without bars is reported to each request."""
     spans = bars.groupBy(*SERIES).agg(
         F.min("session").alias("_first"), F.max("session").alias("_last")
     )
+    unknown = sources.filter(~F.col("schema_version").isin(*policy.accepted_schemas)).join(spans, SERIES, "left")
+    asked = with_request_id(requests).select("asset_id", "request_id", "requested_start", "requested_end")
+    silent = unknown.filter(F.col("_first").isNull()).join(asked, "asset_id")
     rows = (
-        sources.filter(~F.col("schema_version").isin(*policy.accepted_schemas))
-        .join(spans, SERIES, "left")
-        .join(requests, "asset_id")
+        unknown.filter(F.col("_first").isNotNull())
+        .withColumn("request_id", F.lit(None).cast("string"))
+        .unionByName(silent.withColumns({"_first": F.col("requested_start"), "_last": F.col("requested_end")}), allowMissingColumns=True)
     )
     return _findings(
         rows,
         "schema_contract",
         "error",
         F.lit("unsupported_normalized_schema"),
-        F.coalesce("_first", "requested_start"),
-        F.coalesce("_last", "requested_end"),
+        F.col("_first"),
+        F.col("_last"),
         F.lit("the source's schema version is not among the accepted ones"),
         F.array("source_id"),
         F.struct("normalizer_id", "normalizer_version", "schema_version"),
+        request=F.col("request_id"),
     )
 
 
@@ -212,7 +219,7 @@ def volume_integrity(bars: DataFrame) -> DataFrame:
 
 def calendar_membership(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     return _findings(
-        bars.join(sessions.select("session"), "session", "left_anti"),
+        with_calendar_id(bars, sessions).join(sessions.select(*SESSION_KEY), [*SESSION_KEY], "left_anti"),
         "calendar_membership",
         "error",
         F.lit("unexpected_session"),
@@ -225,14 +232,18 @@ def calendar_membership(bars: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def source_coverage(bars: DataFrame, sources: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Runs of calendar sessions a source lacks, found as gaps between the sessions it has."""
+    """Runs of calendar sessions a source lacks, read from the bitmap of those it has."""
     calendar = _numbered(sessions)
-    top = calendar.agg(F.max("no")).scalar()
-    present = bars.select(*SERIES, "session").distinct().join(calendar, "session")
-    spans = sources.select(*SERIES, F.lit(0).alias("_lo"), top.alias("_hi"))
-    gaps = _dated(_gaps(present, spans, SERIES), calendar)
+    tops = calendar.groupBy("calendar_id").agg(F.max("no").alias("_hi"))
+    present = _placed(bars.select(*SERIES, "session", *_calendar_of(bars)), sessions)
+    held = session_sets.packed(session_sets.bitmaps(present, SERIES, {"bits": F.lit(True)}), SERIES, ["bits"])
+    spans = with_calendar_id(sources, sessions).select(*SERIES, "calendar_id").join(tops, "calendar_id")
+    rows = spans.join(held, SERIES, "left").withColumn("bits", _or_empty("bits"))
+    low = F.lit(0).cast("long")
+    gaps = session_sets.runs(session_sets.bits_between(F.col("bits"), low, F.col("_hi")), "0", low)
+    found = _dated(rows.select(*SERIES, "calendar_id", F.inline(gaps)), calendar)
     return _findings(
-        gaps,
+        found,
         "source_coverage",
         "warning",
         F.lit("source_missing_session"),
@@ -251,22 +262,26 @@ def requested_range_coverage(
     requests: DataFrame,
     policy: QualityPolicy,
 ) -> DataFrame:
-    """Sessions of the requested range with no source, or with too few."""
+    """Sessions of each requested range with no source, or with too few.
+
+    The sessions of an asset become two bitmaps, of those with any source and of those with enough; every request reads
+    its own stretch of them, so requests never multiply bars.
+    """
     calendar = _numbered(sessions)
-    ranges = requested_positions(requests, sessions)
     ids = sources.groupBy("asset_id").agg(F.array_sort(F.collect_set("source_id")).alias("_ids"))
     minimum = F.lit(policy.minimum_sources)
-    counted = (
-        bars.select(*SERIES, "session")
+    days = (
+        _placed(bars.select(*SERIES, "session", *_calendar_of(bars)), sessions)
+        .select(*SERIES, "no")
         .distinct()
-        .groupBy("asset_id", "session")
-        .agg(F.count(F.lit(1)).alias("n_sources"))
-        .join(calendar, "session")
-        .join(ranges.select("asset_id", "_lo", "_hi"), "asset_id")
-        .filter(F.col("no").between(F.col("_lo"), F.col("_hi")))
+        .groupBy("asset_id", "no")
+        .agg(F.count(F.lit(1)).alias("_sources"))
     )
+    sets = session_sets.bitmaps(days, ["asset_id"], {"_any": F.lit(True), "_enough": F.col("_sources") >= minimum})
+    held = session_sets.packed(sets, ["asset_id"], ["_any", "_enough"])
+    ranges = requested_positions(requests, sessions).join(ids, "asset_id")
     empty = _findings(
-        ranges.filter(F.col("_lo") > F.col("_hi")).join(ids, "asset_id"),
+        ranges.filter(F.col("_lo") > F.col("_hi")),
         "requested_range_coverage",
         "error",
         F.lit("no_expected_sessions_in_requested_range"),
@@ -275,35 +290,32 @@ def requested_range_coverage(
         F.lit("the calendar has no session in this range"),
         F.col("_ids"),
         F.struct(minimum.alias("minimum_sources")),
-    )
-    spans = ranges.filter(F.col("_lo") <= F.col("_hi")).select("asset_id", "_lo", "_hi")
-    none = _dated(_gaps(counted.select("asset_id", "no"), spans, ["asset_id"]), calendar).select(
-        "*",
-        F.lit("insufficient_session_coverage").alias("code"),
-        F.lit(0).cast("long").alias("observed"),
-    )
-    order = Window.partitionBy("asset_id").orderBy("no")  # one row per session and asset
-    few = (
-        counted.filter(F.col("n_sources") < policy.minimum_sources)
-        .withColumn("_island", F.col("no") - F.row_number().over(order))
-        .groupBy("asset_id", "_island")
-        .agg(
-            F.min("session").alias("start"),
-            F.max("session").alias("end"),
-            F.count(F.lit(1)).alias("n"),
-            F.min("n_sources").alias("observed"),
+        request=F.col("request_id"),
+    )
+    low, high = F.col("_lo"), F.col("_hi")
+    rows = ranges.filter(low <= high).join(held, "asset_id", "left")
+    # "0": no source, "1": some, "2": enough.
+    states = F.zip_with(
+        session_sets.bits_between(_or_empty("_any"), low, high),
+        session_sets.bits_between(_or_empty("_enough"), low, high),
+        lambda some, enough: F.when(enough == "1", "2").otherwise(some),
+    )
+    def of_kind(held_states: Column, state: str, code: str) -> Column:
+        def described(r: Column) -> Column:
+            return F.struct(r["a"].alias("a"), r["b"].alias("b"), r["n"].alias("n"), F.lit(code).alias("code"), F.lit(int(state)).cast("long").alias("observed"))
+
+        return F.transform(session_sets.runs(held_states, state, low), described)
+
+    def every(held_states: Column) -> Column:
+        return F.concat(
+            of_kind(held_states, "0", "insufficient_session_coverage"),
+            of_kind(held_states, "1", "insufficient_source_verification"),
         )
-        .select(
-            "asset_id",
-            "start",
-            "end",
-            "n",
-            F.lit("insufficient_source_verification").alias("code"),
-            "observed",
-        )
-    )
+
+    short_runs = F.transform(F.array(states), every)[0]
+    gaps = rows.select("asset_id", "request_id", "calendar_id", "_ids", F.inline(short_runs))
     short = _findings(
-        none.unionByName(few).join(ids, "asset_id"),
+        _dated(gaps, calendar),
         "requested_range_coverage",
         "error",
         F.col("code"),
@@ -316,6 +328,7 @@ def requested_range_coverage(
             F.col("n").alias("missing_count"),
             F.col("observed").alias("observed_min_sources"),
         ),
+        request=F.col("request_id"),
     )
     return empty.unionByName(short)
 
@@ -461,7 +474,7 @@ def provider_revision(revision_bars: DataFrame, revisions: DataFrame) -> DataFra
 
 def adjustment_semantics(requests: DataFrame) -> DataFrame:
     return _findings(
-        requests.filter(F.col("adjustment_mode") != "raw"),
+        with_request_id(requests).filter(F.col("adjustment_mode") != "raw"),
         "adjustment_semantics",
         "error",
         F.lit("unsupported_adjustment_semantics"),
@@ -470,6 +483,7 @@ def adjustment_semantics(requests: DataFrame) -> DataFrame:
         F.lit("adjusted prices are not supported as they can change afterwards"),
         F.array().cast("array<string>"),
         F.struct("adjustment_mode"),
+        request=F.col("request_id"),
     )
 
 
@@ -518,18 +532,24 @@ def check_results(
     requests: DataFrame,
     revisions: DataFrame | None = None,
 ) -> DataFrame:
-    """Status of each of the eleven checks per asset; checks without findings appear too.
+    """Status of each of the eleven checks per request; checks without findings appear too.
 
     Hard findings fail a check unless all of them only make it incomplete.
     """
     hard = F.col("severity").isin("error", "blocker")
-    graded = findings.groupBy("asset_id", "check_id").agg(
-        F.count(F.lit(1)).alias("finding_count"),
-        F.max(hard & ~F.col("finding_code").isin(*INCOMPLETE_CODES)).alias("_fails"),
-        F.max(hard).alias("_hard"),
-        F.max(F.col("severity") == "warning").alias("_warns"),
-    )
-    scope = requests.select("asset_id", "adjustment_mode").join(
+    grades = {
+        "_count": F.lit(1),
+        "_fails": F.when(hard & ~F.col("finding_code").isin(*INCOMPLETE_CODES), 1).otherwise(0),
+        "_hard": F.when(hard, 1).otherwise(0),
+        "_warns": F.when(F.col("severity") == "warning", 1).otherwise(0),
+    }
+
+    def graded(rows: DataFrame, suffix: str, *keys: str) -> DataFrame:
+        return rows.groupBy("asset_id", *keys, "check_id").agg(*[F.sum(v).alias(f"{k}{suffix}") for k, v in grades.items()])
+
+    shared = graded(findings.filter(F.col("request_id").isNull()), "")
+    own = graded(findings.filter(F.col("request_id").isNotNull()), "_own", "request_id")
+    scope = with_request_id(requests).select("asset_id", "request_id", "adjustment_mode").distinct().join(
         sources.groupBy("asset_id").agg(F.count(F.lit(1)).alias("_sources")), "asset_id", "left"
     )
     if revisions is None:
@@ -545,70 +565,124 @@ def check_results(
     )
     check = F.col("check_id")
     idle = (
-        (check.isin("cross_source_overlap", "cross_source_ohlc") & (F.col("_sources") < 2))
+        (check.isin("cross_source_overlap", "cross_source_ohlc") & (F.coalesce("_sources", F.lit(0)) < 2))
         | ((check == "cross_source_ohlc") & (F.col("adjustment_mode") != "raw"))
         | ((check == "provider_revision") & (F.coalesce("_revisions", F.lit(0)) == 0))
     )
-    return every.join(graded, ["asset_id", "check_id"], "left").select(
+    joined = every.join(shared, ["asset_id", "check_id"], "left").join(own, ["asset_id", "request_id", "check_id"], "left")
+    total = {k: F.coalesce(k, F.lit(0)) + F.coalesce(f"{k}_own", F.lit(0)) for k in grades}
+    return joined.select(
         "asset_id",
+        "request_id",
         "check_id",
-        F.coalesce("finding_count", F.lit(0)).alias("finding_count"),
+        F.when(idle, 0).otherwise(total["_count"]).alias("finding_count"),
         F.when(idle, "not_applicable")
-        .when(F.col("_fails"), "fail")
-        .when(F.col("_hard"), "incomplete")
-        .when(F.col("_warns"), "warning")
+        .when(total["_fails"] > 0, "fail")
+        .when(total["_hard"] > 0, "incomplete")
+        .when(total["_warns"] > 0, "warning")
         .otherwise("pass")
         .alias("status"),
     )
 
 
-def range_eligibility(
-    findings: DataFrame, requests: DataFrame, policy: QualityPolicy
-) -> DataFrame:
-    """Verdict per requested range from the distinct findings that touch it."""
+EFFECTS = ("blocking", "incomplete", "warning")
+
+
+def _with_effect(findings: DataFrame, policy: QualityPolicy) -> DataFrame:
+    """Distinct findings that matter for a range, and what they do to it."""
     code = F.col("finding_code")
     incomplete = code.isin(*INCOMPLETE_CODES)
     if policy.revision_blocks:
         incomplete = incomplete | (code == "provider_history_revision")
-    touching = (
+    effect = (
+        F.when(code.isin(*INELIGIBLE_CODES), "blocking")
+        .when(incomplete, "incomplete")
+        .when(F.col("severity") != "info", "warning")
+    )
+    # Prices of adjusted series are not compared, so such requests leave those findings out.
+    raw_only = F.col("check_id") == "cross_source_ohlc"
+    return (
         with_finding_id(findings)
-        .join(requests, "asset_id")
-        .filter(
-            (F.col("affected_start") <= F.col("requested_end"))
-            & (F.col("requested_start") <= F.col("affected_end"))
-        )
-        .select(
-            "asset_id",
-            "requested_start",
-            "requested_end",
-            "finding_id",
-            F.when(code.isin(*INELIGIBLE_CODES), "blocking")
-            .when(incomplete, "incomplete")
-            .when(F.col("severity") != "info", "warning")
-            .alias("effect"),
-        )
+        .select("asset_id", "request_id", "finding_id", "affected_start", "affected_end", effect.alias("effect"), raw_only.alias("_raw_only"))
+        .filter(F.col("effect").isNotNull())
         .distinct()
     )
-    keys = ["asset_id", "requested_start", "requested_end"]
-    counted = touching.groupBy(*keys).agg(
-        *[
-            F.count_if(F.col("effect") == effect).alias(f"{effect}_count")
-            for effect in ("blocking", "incomplete", "warning")
-        ]
+
+
+def range_findings(findings: DataFrame, requests: DataFrame, policy: QualityPolicy) -> DataFrame:
+    """(asset_id, request_id, finding_id, effect): the findings behind each request's verdict, by a binned interval join."""
+    judged = _with_effect(findings, policy)
+    asked = with_request_id(requests).distinct().select(
+        "asset_id", "request_id", "adjustment_mode", F.col("requested_start").alias("start"), F.col("requested_end").alias("end")
     )
-    counts = [f"{e}_count" for e in ("blocking", "incomplete", "warning")]
-    return (
-        requests.select(*keys)
-        .join(counted, keys, "left")
-        .na.fill(0, counts)
-        .select(
-            *keys,
-            *counts,
-            F.when(F.col("blocking_count") > 0, "ineligible")
-            .when(F.col("incomplete_count") > 0, "incomplete")
-            .otherwise("eligible")
-            .alias("status"),
+    ranged = judged.withColumnsRenamed({"affected_start": "start", "affected_end": "end"})
+    pairs = intervals.overlapping(ranged, asked, ["asset_id"])
+    own = F.col("left.request_id").isNull() | (F.col("left.request_id") == F.col("right.request_id"))
+    compared = ~F.col("left._raw_only") | (F.col("right.adjustment_mode") == "raw")
+    return pairs.filter(own & compared).select("asset_id", "right.request_id", "left.finding_id", "left.effect").distinct()
+
+
+
+def range_eligibility(
+    findings: DataFrame, requests: DataFrame, policy: QualityPolicy
+) -> DataFrame:
+    """Verdict per requested range from the distinct findings that touch it.
+
+    Findings and requests never meet in pairs: those that touch a range are the ones that start by its end less the ones
+    that end before its start, two running counts over the dates of an asset. One row per asset and date is all
+    that a window holds, however many findings or requests an asset has.
+    """
+    judged = _with_effect(findings, policy)
+    asked = with_request_id(requests).distinct()
+    sums = {
+        f"{e}{suffix}": (F.col("effect") == e) & (F.col("_raw_only") | F.lit(suffix == ""))
+        for e in EFFECTS
+        for suffix in ("", "_raw")
+    }
+    shared = judged.filter(F.col("request_id").isNull())
+
+    def running(day: str, point: str, name: str, *, before: bool) -> DataFrame:
+        """Counts of findings by their ``day``, up to every date that some request has as ``point``."""
+        daily = shared.groupBy("asset_id", F.col(day).alias("_day")).agg(
+            *[F.count_if(hit).alias(c) for c, hit in sums.items()]
         )
+        points = asked.select("asset_id", F.col(point).alias("_day")).distinct()
+        every = daily.unionByName(points, allowMissingColumns=True).groupBy("asset_id", "_day").agg(
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]
+        )
+        so_far = Window.partitionBy("asset_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+        return every.select(
+            "asset_id", F.col("_day").alias(point), *[F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(f"{c}_{name}") for c in sums]
+        )
+
+    started = running("affected_start", "requested_end", "started", before=False)
+    ended = running("affected_end", "requested_start", "ended", before=True)
+    own = (
+        judged.filter(F.col("request_id").isNotNull())
+        .join(asked.select("asset_id", "request_id", "requested_start", "requested_end"), ["asset_id", "request_id"])
+        .filter((F.col("affected_start") <= F.col("requested_end")) & (F.col("requested_start") <= F.col("affected_end")))
+        .groupBy("asset_id", "request_id")
+        .agg(*[F.count_if(F.col("effect") == e).alias(f"{e}_own") for e in EFFECTS])
+    )
+    joined = (
+        asked.join(started, ["asset_id", "requested_end"])
+        .join(ended, ["asset_id", "requested_start"])
+        .join(own, ["asset_id", "request_id"], "left")
+    )
+
+    def touching(effect: str) -> Column:
+        every, raw = (F.col(f"{effect}{s}_started") - F.col(f"{effect}{s}_ended") for s in ("", "_raw"))
+        compared = F.when(F.col("adjustment_mode") == "raw", 0).otherwise(raw)
+        return every - compared + F.coalesce(f"{effect}_own", F.lit(0))
+
+    counted = joined.select(
+        "asset_id", "request_id", "requested_start", "requested_end", *[touching(e).alias(f"{e}_count") for e in EFFECTS]
+    )
+    return counted.withColumn(
+        "status",
+        F.when(F.col("blocking_count") > 0, "ineligible")
+        .when(F.col("incomplete_count") > 0, "incomplete")
+        .otherwise("eligible"),
     )
 
 
@@ -728,17 +802,21 @@ def stable_bars(bars: DataFrame) -> DataFrame:
     )
 
 
+def with_request_id(requests: DataFrame) -> DataFrame:
+    """Requests with an id of their own inside their asset."""
+    if "request_id" in requests.columns:
+        return requests
+    return requests.withColumn("request_id", F.concat_ws("/", _iso("requested_start"), _iso("requested_end"), "adjustment_mode"))
+
+
 def requested_positions(requests: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Calendar positions of each requested range; ``_lo > _hi`` when it holds no session."""
+    """Positions of each requested range in its calendar; ``_lo > _hi`` when it holds no session."""
     numbered = number_sessions(sessions)
-    span = numbered.agg(
-        F.struct(
-            F.min("session").alias("first"),
-            F.max("session").alias("last"),
-            F.max("session_no").alias("top"),
-        )
-    ).scalar()
+    spans = numbered.groupBy("calendar_id").agg(
+        F.min("session").alias("_first"), F.max("session").alias("_last"), F.max("session_no").alias("_top")
+    )
     days = numbered.select(
+        "calendar_id",
         F.col("session_no"),
         F.col("session"),
         F.explode(
@@ -746,24 +824,26 @@ def requested_positions(requests: DataFrame, sessions: DataFrame) -> DataFrame:
         ).alias("_day"),
     )
     start = days.select(
+        "calendar_id",
         F.col("_day").alias("_from"),
         F.when(F.col("_day") == F.col("session"), F.col("session_no"))
         .otherwise(F.col("session_no") + 1)
         .alias("_lo"),
     )
-    end = days.select(F.col("_day").alias("_to"), F.col("session_no").alias("_hi"))
-    clamped = requests.withColumn("_span", span).withColumns(
+    end = days.select("calendar_id", F.col("_day").alias("_to"), F.col("session_no").alias("_hi"))
+    keyed = with_calendar_id(with_request_id(requests), sessions)
+    clamped = keyed.join(spans, "calendar_id", "left").withColumns(
         {
-            "_from": F.greatest("requested_start", "_span.first"),
-            "_to": F.least("requested_end", "_span.last"),
+            "_from": F.greatest("requested_start", "_first"),
+            "_to": F.least("requested_end", "_last"),
         }
     )
     return (
-        clamped.join(start, "_from", "left")
-        .join(end, "_to", "left")
+        clamped.join(start, ["calendar_id", "_from"], "left")
+        .join(end, ["calendar_id", "_to"], "left")
         .select(
-            *requests.columns,
-            F.coalesce("_lo", F.col("_span.top") + 1).alias("_lo"),
+            *keyed.columns,
+            F.coalesce("_lo", F.col("_top") + 1, F.lit(0)).alias("_lo"),
             F.coalesce("_hi", F.lit(-1)).alias("_hi"),
         )
     )
@@ -775,34 +855,27 @@ def parsed(column: str) -> Column:
 
 
 def _numbered(sessions: DataFrame) -> DataFrame:
-    return number_sessions(sessions).select("session", F.col("session_no").alias("no"))
+    return number_sessions(sessions).select("calendar_id", "session", F.col("session_no").alias("no"))
 
 
-def _gaps(present: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Runs of positions in [_lo, _hi] without a present row.
+def _calendar_of(rows: DataFrame) -> list[str]:
+    return ["calendar_id"] if "calendar_id" in rows.columns else []
 
-    Gaps lie between neighbouring present positions, so the calendar is never multiplied out
-    per series. ``present`` has one row per series and calendar session at most.
-    """
-    order = Window.partitionBy(*keys).orderBy("no")
-    edges = spans.select(*keys, F.explode(F.array(F.col("_lo") - 1, F.col("_hi") + 1)).alias("no"))
-    points = present.select(*keys, "no").unionByName(edges.withColumn("no", F.col("no").cast("long")))
-    return (
-        points.withColumn("_before", F.lag("no").over(order))
-        .filter(F.col("no") - F.col("_before") > 1)
-        .select(
-            *keys,
-            (F.col("_before") + 1).alias("_a"),
-            (F.col("no") - 1).alias("_b"),
-            (F.col("no") - F.col("_before") - 1).alias("n"),
-        )
-    )
+
+def _placed(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Rows on sessions of their calendar, with the position ``no``."""
+    return with_calendar_id(rows, sessions).join(_numbered(sessions), [*SESSION_KEY])
+
+
+def _or_empty(name: str) -> Column:
+    """The bitmaps of an asset, none for one without bars."""
+    return F.coalesce(F.col(name), F.create_map().cast("map<bigint,binary>"))
 
 
 def _dated(gaps: DataFrame, calendar: DataFrame) -> DataFrame:
-    first = calendar.select(F.col("no").alias("_a"), F.col("session").alias("start"))
-    last = calendar.select(F.col("no").alias("_b"), F.col("session").alias("end"))
-    return gaps.join(first, "_a").join(last, "_b").drop("_a", "_b")
+    first = calendar.select("calendar_id", F.col("no").alias("a"), F.col("session").alias("start"))
+    last = calendar.select("calendar_id", F.col("no").alias("b"), F.col("session").alias("end"))
+    return gaps.join(first, ["calendar_id", "a"]).join(last, ["calendar_id", "b"]).drop("a", "b")
 
 
 def _same_number(a: Column, b: Column) -> Column:
@@ -827,9 +900,11 @@ def _findings(
     observed: Column,
     *,
     field: Column | None = None,
+    request: Column | None = None,
 ) -> DataFrame:
     return rows.select(
         "asset_id",
+        (F.lit(None).cast("string") if request is None else request).alias("request_id"),
         F.lit(check_id).alias("check_id"),
         (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"),
         code.alias("finding_code"),

@@ -15,11 +15,12 @@ from barloom.functions.identity import (
     stable_id,
 )
 from barloom.operators import contracts
+from barloom.operators import session_sets as bitmaps
 from barloom.operators.alignment import align, cover
 from barloom.operators.backtest import Costs, backtest
 from barloom.plans import strategies, views
 from barloom.plans.publish import publish
-from barloom.session import scratch_path
+from barloom.session import materialize, scratch_path
 from barloom.sources import captures, fixtures, providers, results
 from barloom.streaming import bars as streams
 
@@ -195,20 +196,27 @@ def con_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def session_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union, intersection and difference of two assets' sessions."""
+    """Union and intersection of all assets' sessions, and per asset what it lacks of one and has beyond the other."""
     bars = views.bars_table(spark, sf_dir)
-    a, n = (bars.filter(F.col("asset_id") == x).select("session") for x in ("A", "N"))
-    parts = {
-        "union": a.unionByName(n).distinct(),
-        "intersection": a.intersect(n),
-        "only_first": a.exceptAll(n),
-        "only_second": n.exceptAll(a),
-    }
-    out = None
-    for name, rows in parts.items():
-        counted = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("op"), "n")
-        out = counted if out is None else out.unionByName(counted)
-    return publish(out)
+    placed = align(bars, views.all_days(bars)).withColumn("no", F.col("session_no"))
+    sets = materialize(bitmaps.bitmaps(placed, ["asset_id"], {"bits": F.lit(True)}), "session-sets")
+    own = bitmaps.sizes(sets, ["asset_id"])
+    members = own.agg(F.count(F.lit(1)).alias("n_members"))
+    every = bitmaps.sizes(bitmaps.union(sets, []), []).select(F.lit("*").alias("asset_id"), F.lit("union").alias("op"), "n")
+    common = bitmaps.sizes(bitmaps.intersection(sets, [], members), [])
+    common = common.select(F.lit("*").alias("asset_id"), F.lit("intersection").alias("op"), "n")
+    # An asset's sessions are part of the union and hold the intersection, so differences are differences of sizes.
+    ops = F.array(
+        *[
+            F.struct(F.lit(op).alias("op"), n.alias("n"))
+            for op, n in (
+                ("own", F.col("n")),
+                ("missing", every.select("n").scalar() - F.col("n")),
+                ("beyond", F.col("n") - common.select("n").scalar()),
+            )
+        ]
+    )
+    return publish(every.unionByName(common).unionByName(own.select("asset_id", F.inline(ops))))
 
 
 @query

@@ -25,14 +25,20 @@ class Inputs:
     """The quality inputs of one scale directory, built on first use."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
         for name in ("quality_bars", "quality_sources", "quality_requests", "weekdays"):
             setattr(self, name.removeprefix("quality_"), partial(getattr(views, name), spark, sf_dir))
         self.revisions = partial(views.revisions, spark, sf_dir)
 
     def findings(self) -> DataFrame:
-        return quality.all_findings(
-            self.bars(), self.sources(), self.weekdays(), self.requests(), POLICY, *self.revisions()
-        )
+        """The findings of all eleven checks, stored like those of a report."""
+
+        def build():
+            return quality.all_findings(
+                self.bars(), self.sources(), self.weekdays(), self.requests(), POLICY, *self.revisions()
+            )
+
+        return views.stored(self.spark, self.sf_dir, "findings", build)
 
 
 def flat(findings: DataFrame) -> DataFrame:
@@ -109,6 +115,13 @@ def dq_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish(quality.range_eligibility(i.findings(), i.requests(), POLICY))
 
 
+@query
+def dq_range_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings that touch each requested range."""
+    i = Inputs(spark, sf_dir)
+    return publish(quality.range_findings(i.findings(), i.requests(), POLICY))
+
+
 @query
 def dq_dependent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both observations of the first source are one provider."""
@@ -148,7 +161,7 @@ def dq_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dq_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored report of all eleven checks with one kind of finding taken out and one severity softened."""
     i = Inputs(spark, sf_dir)
-    honest = materialize(i.findings(), "findings")
+    honest = i.findings()
     stored = materialize(
         honest.filter(F.col("finding_code") != "non_monotonic_sessions").withColumn(
             "severity",

@@ -81,18 +81,19 @@ planted AS (
   FROM intervals
 ),
 releases AS (SELECT asset_id AS release_id, min(session) AS a, DATE '2001-06-30' AS b, count(*) - 1 AS n FROM base GROUP BY 1),
-steps AS (SELECT p.*, r.a, r.b, lag(end_session) OVER (PARTITION BY release_id ORDER BY start_session, end_session, report_id) AS last_end FROM planted p JOIN releases r USING (release_id))
+steps AS (SELECT p.*, r.a, r.b, max(end_session) OVER (PARTITION BY release_id ORDER BY start_session, end_session, report_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_end FROM planted p JOIN releases r USING (release_id))
 SELECT release_id, {day('start_session')} AS start_session, 'inside_schedule' AS rule FROM steps WHERE start_session < a OR end_session > b
 UNION ALL SELECT release_id, {day('start_session')}, 'disjoint' FROM steps WHERE start_session <= last_end
 UNION ALL SELECT release_id, NULL, 'more_sessions_than_schedule' FROM planted JOIN releases USING (release_id) GROUP BY release_id HAVING sum(session_count) > max(n)
 UNION ALL SELECT release_id, {day('min(start_session)')}, 'repeated_report' FROM planted GROUP BY release_id, report_id HAVING count(*) > 1""")
 
 oracle("session_sets", f"""
-WITH {BASE}, a AS (SELECT session FROM base WHERE asset_id = 'A'), n AS (SELECT session FROM base WHERE asset_id = 'N')
-SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM n)
-UNION ALL SELECT 'intersection', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM n)
-UNION ALL SELECT 'only_first', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM n)
-UNION ALL SELECT 'only_second', count(*) FROM (SELECT * FROM n EXCEPT SELECT * FROM a)""")
+WITH {BASE}, days AS (SELECT session, count(DISTINCT asset_id) AS k FROM base GROUP BY session),
+every AS (SELECT count(*) AS u, count(*) FILTER (k = (SELECT count(DISTINCT asset_id) FROM base)) AS i FROM days),
+own AS (SELECT asset_id, count(DISTINCT session) AS n FROM base GROUP BY asset_id)
+SELECT '*' AS asset_id, 'union' AS op, u AS n FROM every UNION ALL SELECT '*', 'intersection', i FROM every
+UNION ALL SELECT asset_id, 'own', n FROM own UNION ALL SELECT asset_id, 'missing', u - n FROM own, every
+UNION ALL SELECT asset_id, 'beyond', n - i FROM own, every""")
 
 BAR_JSON = f"""'{{"asset":"' || asset_id || '","available_at":"' || {day('session')} || 'T21:05:00.000000+00:00","close":"' || {plain('close')}
   || '","high":"' || {plain('high')} || '","low":"' || {plain('low')} || '","open":"' || {plain('open')} || '","session":"' || {day('session')}

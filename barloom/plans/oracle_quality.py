@@ -34,8 +34,11 @@ sources AS (
   FROM assets, (VALUES ('alpha'), ('beta')) s(source_id)
 ),
 requests AS (
-  SELECT asset_id, DATE '1996-02-03' AS requested_start, DATE '2000-11-30' AS requested_end,
-         CASE WHEN asset_id = 'R' THEN 'split_adjusted' ELSE 'raw' END AS adjustment_mode FROM assets
+  SELECT *, strftime(requested_start, '%Y-%m-%d') || '/' || strftime(requested_end, '%Y-%m-%d') || '/' || adjustment_mode AS request_id FROM (
+    SELECT asset_id, DATE '1996-02-03' AS requested_start, DATE '2000-11-30' AS requested_end,
+           CASE WHEN asset_id = 'R' THEN 'split_adjusted' ELSE 'raw' END AS adjustment_mode FROM assets
+    UNION ALL SELECT asset_id, DATE '1997-06-10', DATE '1997-08-15', 'raw' FROM assets
+    UNION ALL SELECT asset_id, DATE '1996-02-03', DATE '1996-02-04', 'raw' FROM assets WHERE asset_id = 'A')
 ),
 weekdays AS (
   SELECT CAST(u AS DATE) AS session FROM (SELECT unnest(generate_series(min(session), max(session), INTERVAL 1 DAY)) AS u FROM base)
@@ -44,23 +47,22 @@ weekdays AS (
 numbered AS (SELECT session, row_number() OVER (ORDER BY session) AS no FROM weekdays)"""
 
 
-def finding(check, severity, code, start, end, field, ids, observed, message, source):
+def finding(check, severity, code, start, end, field, ids, observed, message, source, request="CAST(NULL AS VARCHAR)"):
     """One finding relation; arguments are SQL expressions."""
     return f"""
-SELECT asset_id, '{check}' AS check_id, {severity} AS severity, {code} AS finding_code, {start} AS affected_start,
+SELECT asset_id, {request} AS request_id, '{check}' AS check_id, {severity} AS severity, {code} AS finding_code, {start} AS affected_start,
        {end} AS affected_end, {field} AS field, {ids} AS source_ids, {observed} AS observed, {message} AS message
 FROM {source}"""
 
 
 SCHEMA = finding(
-    "schema_contract", "'error'", "'unsupported_normalized_schema'", "coalesce(a, requested_start)",
-    "coalesce(b, requested_end)", "CAST(NULL AS VARCHAR)", "source_id",
+    "schema_contract", "'error'", "'unsupported_normalized_schema'", "a", "b", "CAST(NULL AS VARCHAR)", "source_id",
     "'{\"normalizer_id\":\"daily\",\"normalizer_version\":\"1\",\"schema_version\":\"' || schema_version || '\"}'",
     "'the source''s schema version is not among the accepted ones'",
-    """(SELECT s.*, r.requested_start, r.requested_end,
+    """(SELECT s.*,
         (SELECT min(session) FROM q WHERE q.asset_id = s.asset_id AND q.source_id = s.source_id) AS a,
         (SELECT max(session) FROM q WHERE q.asset_id = s.asset_id AND q.source_id = s.source_id) AS b
-        FROM sources s JOIN requests r USING (asset_id) WHERE s.schema_version <> 'normalized-bar-v1')""",
+        FROM sources s WHERE s.schema_version <> 'normalized-bar-v1')""",
 )
 SESSION = (
     finding(
@@ -124,13 +126,19 @@ RANGE_COVERAGE = finding(
     "'alpha,beta'",
     "'{\"minimum_sources\":2,\"missing_count\":' || count(*) || ',\"observed_min_sources\":' || min(k) || '}'",
     "'fewer sources than required for these sessions'",
-    """(SELECT *, no - row_number() OVER (PARTITION BY asset_id, code ORDER BY no) AS island FROM (
-         SELECT r.asset_id, n.session, n.no, count(DISTINCT q.source_id) AS k,
+    """(SELECT *, no - row_number() OVER (PARTITION BY asset_id, request_id, code ORDER BY no) AS island FROM (
+         SELECT r.asset_id, r.request_id, n.session, n.no, count(DISTINCT q.source_id) AS k,
                 CASE count(DISTINCT q.source_id) WHEN 0 THEN 'insufficient_session_coverage' WHEN 1 THEN 'insufficient_source_verification' ELSE 'ok' END AS code
          FROM requests r JOIN numbered n ON n.session BETWEEN r.requested_start AND r.requested_end
          LEFT JOIN q ON q.asset_id = r.asset_id AND q.session = n.session
-         GROUP BY r.asset_id, n.session, n.no))
-        WHERE code <> 'ok' GROUP BY asset_id, code, island""",
+         GROUP BY r.asset_id, r.request_id, n.session, n.no))
+        WHERE code <> 'ok' GROUP BY asset_id, request_id, code, island""",
+    "request_id",
+) + " UNION ALL " + finding(
+    "requested_range_coverage", "'error'", "'no_expected_sessions_in_requested_range'", "requested_start", "requested_end",
+    "CAST(NULL AS VARCHAR)", "'alpha,beta'", "'{\"minimum_sources\":2}'", "'the calendar has no session in this range'",
+    "requests r WHERE NOT EXISTS (SELECT 1 FROM numbered n WHERE n.session BETWEEN r.requested_start AND r.requested_end)",
+    "request_id",
 )
 OVERLAP = finding(
     "cross_source_overlap", "'warning'", "'cross_source_session_missing'", "session", "session",
@@ -180,6 +188,7 @@ ADJUSTMENT = finding(
     "CAST(NULL AS VARCHAR)", "''", "'{\"adjustment_mode\":\"' || adjustment_mode || '\"}'",
     "'adjusted prices are not supported as they can change afterwards'",
     "requests WHERE adjustment_mode <> 'raw'",
+    "request_id",
 )
 PARTS = {
     "dq_schema": SCHEMA,
@@ -195,8 +204,11 @@ PARTS = {
     "dq_adjustment": ADJUSTMENT,
 }
 SELECT = f"""
-SELECT asset_id, check_id, severity, finding_code, {day('affected_start')} AS affected_start,
+SELECT asset_id, request_id, check_id, severity, finding_code, {day('affected_start')} AS affected_start,
        {day('affected_end')} AS affected_end, field, source_ids, observed, message FROM found"""
+#: Findings that hold for a request r.
+HOLDS = """f.asset_id = r.asset_id AND (f.request_id IS NULL OR f.request_id = r.request_id)
+  AND (f.check_id <> 'cross_source_ohlc' OR r.adjustment_mode = 'raw')"""
 
 for _name, _part in PARTS.items():
     oracle(_name, f"WITH {Q}, {STABLE}, found AS ({_part}) {SELECT}")
@@ -236,13 +248,13 @@ WITH {Q}, {STABLE}, found AS ({ALL}),
 checks AS (SELECT unnest(['schema_contract', 'session_integrity', 'ohlc_integrity', 'volume_integrity', 'calendar_membership',
   'source_coverage', 'requested_range_coverage', 'cross_source_overlap', 'cross_source_ohlc', 'provider_revision', 'adjustment_semantics']) AS check_id),
 graded AS (
-  SELECT r.asset_id, r.adjustment_mode, c.check_id, count(f.finding_code) AS finding_count,
+  SELECT r.asset_id, r.request_id, r.adjustment_mode, c.check_id, count(f.finding_code) AS finding_count,
          count(*) FILTER (f.severity IN ('error', 'blocker') AND f.finding_code NOT IN {INCOMPLETE}) AS fails,
          count(*) FILTER (f.severity IN ('error', 'blocker')) AS hard, count(*) FILTER (f.severity = 'warning') AS warns
-  FROM requests r CROSS JOIN checks c LEFT JOIN found f ON f.asset_id = r.asset_id AND f.check_id = c.check_id
+  FROM requests r CROSS JOIN checks c LEFT JOIN found f ON {HOLDS} AND f.check_id = c.check_id
   GROUP BY ALL
 )
-SELECT asset_id, check_id, finding_count,
+SELECT asset_id, request_id, check_id, finding_count,
        CASE WHEN check_id = 'cross_source_ohlc' AND adjustment_mode <> 'raw' THEN 'not_applicable' WHEN fails > 0 THEN 'fail'
             WHEN hard > 0 THEN 'incomplete' WHEN warns > 0 THEN 'warning' ELSE 'pass' END AS status
 FROM graded""")
@@ -250,16 +262,24 @@ FROM graded""")
 oracle("dq_eligibility", f"""
 WITH {Q}, {STABLE}, found AS ({ALL}),
 effects AS (
-  SELECT DISTINCT r.asset_id, r.requested_start, r.requested_end, f.*EXCLUDE (asset_id),
+  SELECT DISTINCT r.asset_id, r.request_id, r.requested_start, r.requested_end, f.*EXCLUDE (asset_id, request_id),
          CASE WHEN finding_code IN {INELIGIBLE} THEN 'b' WHEN finding_code IN {INCOMPLETE} THEN 'i' WHEN severity <> 'info' THEN 'w' END AS effect
-  FROM requests r LEFT JOIN found f ON f.asset_id = r.asset_id AND f.affected_start <= r.requested_end AND r.requested_start <= f.affected_end
+  FROM requests r LEFT JOIN found f ON {HOLDS} AND f.affected_start <= r.requested_end AND r.requested_start <= f.affected_end
 )
-SELECT asset_id, {day('requested_start')} AS requested_start, {day('requested_end')} AS requested_end,
+SELECT asset_id, request_id, {day('requested_start')} AS requested_start, {day('requested_end')} AS requested_end,
        count(*) FILTER (effect = 'b') AS blocking_count, count(*) FILTER (effect = 'i') AS incomplete_count,
        count(*) FILTER (effect = 'w') AS warning_count,
        CASE WHEN count(*) FILTER (effect = 'b') > 0 THEN 'ineligible' WHEN count(*) FILTER (effect = 'i') > 0 THEN 'incomplete' ELSE 'eligible' END AS status
 FROM effects GROUP BY ALL""")
 
+oracle("dq_range_findings", f"""
+WITH {Q}, {STABLE}, {IDENTIFIED}
+SELECT * FROM (
+  SELECT DISTINCT r.asset_id, r.request_id, f.finding_id,
+         CASE WHEN finding_code IN {INELIGIBLE} THEN 'blocking' WHEN finding_code IN {INCOMPLETE} THEN 'incomplete' WHEN severity <> 'info' THEN 'warning' END AS effect
+  FROM requests r JOIN identified f ON {HOLDS} AND f.affected_start <= r.requested_end AND r.requested_start <= f.affected_end)
+WHERE effect IS NOT NULL""")
+
 oracle("dq_dependent_sources", f"""
 WITH {Q}
 SELECT asset_id, lower(CASE WHEN asset_id = 'A' THEN 'Alpha' ELSE provider END) AS provider, count(*) AS source_count

@@ -270,24 +270,27 @@ def _quality_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One requested range per asset; one asset asks for adjusted data."""
+    """Two requested ranges per asset, one of them for adjusted data, and a weekend without any session."""
     return stored(spark, sf_dir, "quality-requests", lambda: _quality_requests(spark, sf_dir))
 
 
 def _quality_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        bars_table(spark, sf_dir)
-        .select("asset_id")
-        .distinct()
-        .select(
-            "asset_id",
-            F.lit("1996-02-03").cast("date").alias("requested_start"),
-            F.lit("2000-11-30").cast("date").alias("requested_end"),
-            F.when(F.col("asset_id") == "R", "split_adjusted")
-            .otherwise("raw")
-            .alias("adjustment_mode"),
+    asset = F.col("asset_id")
+
+    def request(start: str, end: str, mode: Column) -> Column:
+        return F.struct(
+            F.lit(start).cast("date").alias("requested_start"),
+            F.lit(end).cast("date").alias("requested_end"),
+            mode.alias("adjustment_mode"),
         )
+
+    asked = F.array(
+        request("1996-02-03", "2000-11-30", F.when(asset == "R", "split_adjusted").otherwise("raw")),
+        request("1997-06-10", "1997-08-15", F.lit("raw")),
+        F.when(asset == "A", request("1996-02-03", "1996-02-04", F.lit("raw"))),
     )
+    assets = bars_table(spark, sf_dir).select("asset_id").distinct()
+    return assets.select("asset_id", F.inline(F.array_compact(asked)))
 
 
 def weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
