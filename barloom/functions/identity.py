@@ -93,8 +93,8 @@ def series_fingerprint(
 ) -> DataFrame:
     """Order-sensitive fingerprint of each series.
 
-    Rows hash alone, runs of 4096 positions hash together, and the run hashes hash together,
-    so no task collects more than a run of rows or ``rows / 4096`` digests.
+    Rows hash alone, runs of 4096 positions hash together, 4096 such runs hash together, and so do those: no list
+    is longer than 4096 digests in a series of up to 68 billion rows.
     """
     hashed = bars.select(
         *keys,
@@ -105,8 +105,11 @@ def series_fingerprint(
     chunks = hashed.groupBy(*keys, "_chunk").agg(
         _hash_in_order("_at", "_hash").alias("_hash"), F.count(F.lit(1)).alias("_rows")
     )
-    return chunks.groupBy(*keys).agg(
-        _hash_in_order("_chunk", "_hash").alias("content_hash"),
+    spans = chunks.groupBy(*keys, F.floor(F.col("_chunk") / CHUNK_ROWS).cast("long").alias("_span")).agg(
+        _hash_in_order("_chunk", "_hash").alias("_hash"), F.sum("_rows").alias("_rows")
+    )
+    return spans.groupBy(*keys).agg(
+        _hash_in_order("_span", "_hash").alias("content_hash"),
         F.sum("_rows").alias("row_count"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions import credentials
+from barloom.functions import credentials, digests
 from barloom.functions.calendar import WEEK
 from barloom.functions.identity import (
     canonical_decimal,
@@ -434,15 +434,41 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def run_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write a costed run with its manifest and verify it from storage."""
+    """Verify a stored costed run and a copy of it with one trade and one total changed; name the changed rows."""
     bars, sessions, targets = _sma_targets(spark, sf_dir)
     covered = cover(bars, sessions)
     run = backtest(
         covered.bars, targets, (Costs("stored", 10_000, 10, 5),), size=covered.size
     )
-    path = scratch_path(spark, "runs")
+    path, copy = scratch_path(spark, "runs"), scratch_path(spark, "runs-copy")
     results.write_run(run, path, engine="closed-form-1", dataset="lines-daily-v1")
-    return publish(results.verify_run(spark, path))
+    _changed_copy(spark, path, copy)
+    none = F.lit(None).cast("date")
+    parts = [
+        results.verify_run(spark, at).select(F.lit(name).alias("part"), "asset_id", "run_id", none.alias("session"), "row_count", "verdict")
+        for name, at in (("run", path), ("copy", copy))
+    ]
+    changed = results.changed_rows(spark, copy).unionByName(results.changed_rows(spark, path))
+    rows = changed.select(
+        F.col("table_name").alias("part"), "asset_id", "run_id", "session", F.lit(1).cast("long").alias("row_count"), F.col("change").alias("verdict")
+    )
+    return publish(parts[0].unionByName(parts[1]).unionByName(rows))
+
+
+def _changed_copy(spark, path, copy) -> None:
+    """A copy of a stored run with the commission of A's first trade and the number of N's trades raised by one."""
+    trades = spark.read.parquet(f"{path}/trades")
+    first = trades.filter(F.col("asset_id") == "A").agg(F.min("session")).scalar()
+    planted = {
+        "trades": ("commission", (F.col("asset_id") == "A") & (F.col("session") == first)),
+        "totals": ("trade_count", F.col("asset_id") == "N"),
+    }
+    for name in ("points", "trades", "totals", "digests", "manifest", *[f"nodes/{level}" for level in digests.STORED]):
+        rows = spark.read.parquet(f"{path}/{name}")
+        if name in planted:
+            column, where = planted[name]
+            rows = rows.withColumn(column, F.when(where, F.col(column) + 1).otherwise(F.col(column)))
+        rows.write.parquet(f"{copy}/{name}")
 
 
 def _streamed_weeks(spark, source, sessions) -> DataFrame:

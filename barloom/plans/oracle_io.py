@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.plans.oracle import BARS, LINES, SMA_TARGETS, day, num, oracle
+from barloom.plans.oracle import BARS, LINES, SMA_TARGETS, backtest_cte, day, num, oracle
 from barloom.plans.oracle_periods import periods
 from barloom.plans.oracle_quality import plain
 
@@ -102,7 +102,8 @@ BAR_JSON = f"""'{{"asset":"' || asset_id || '","available_at":"' || {day('sessio
 PRINTS = f"""
 hashed AS (SELECT asset_id, no, sha256({BAR_JSON}) AS h FROM aligned),
 chunks AS (SELECT asset_id, no // 4096 AS chunk, sha256(string_agg(h, chr(10) ORDER BY no)) AS h, count(*) AS n FROM hashed GROUP BY 1, 2),
-prints AS (SELECT asset_id, sha256(string_agg(h, chr(10) ORDER BY chunk)) AS content_hash, CAST(sum(n) AS BIGINT) AS row_count FROM chunks GROUP BY 1)"""
+spans AS (SELECT asset_id, chunk // 4096 AS span, sha256(string_agg(h, chr(10) ORDER BY chunk)) AS h, sum(n) AS n FROM chunks GROUP BY 1, 2),
+prints AS (SELECT asset_id, sha256(string_agg(h, chr(10) ORDER BY span)) AS content_hash, CAST(sum(n) AS BIGINT) AS row_count FROM spans GROUP BY 1)"""
 oracle("fingerprints", f"WITH {BARS}, {PRINTS} SELECT * FROM prints")
 oracle("fixture_roundtrip", f"""WITH {BARS}, {PRINTS}
 SELECT 'lines-daily-v1' AS fixture_id, asset_id, row_count, content_hash, 0::BIGINT AS violations FROM prints""")
@@ -159,7 +160,12 @@ oracle("csv_roundtrip", f"""
 WITH {BASE}
 SELECT asset_id, {day('session')} AS session, {num('open')} AS open, {num('high')} AS high, {num('low')} AS low, {num('close')} AS close, {num('volume')} AS volume FROM base""")
 oracle("run_roundtrip", f"""
-WITH {BARS} SELECT asset_id, 'stored' AS run_id, count(*) AS row_count, 'verified' AS verdict FROM aligned GROUP BY asset_id""")
+WITH {BARS}, {backtest_cte(50)},
+counts AS (SELECT asset_id, count(*) AS n FROM aligned GROUP BY asset_id)
+SELECT 'run' AS part, asset_id, 'stored' AS run_id, CAST(NULL AS VARCHAR) AS session, n AS row_count, 'verified' AS verdict FROM counts
+UNION ALL SELECT 'copy', asset_id, 'stored', NULL, n, CASE WHEN asset_id IN ('A', 'N') THEN 'content_changed' ELSE 'verified' END FROM counts
+UNION ALL SELECT 'trades', 'A', 'stored', {day('min(session)')}, 1, 'changed' FROM trades WHERE asset_id = 'A'
+UNION ALL SELECT 'totals', 'N', 'stored', NULL, 1, 'changed'""")
 oracle("stream_weekly", f"""
 WITH {BARS}, {periods('1w')}
 SELECT asset_id, {day('period_start')} AS period_start, {num('open')} AS open, {num('high')} AS high, {num('low')} AS low, {num('close')} AS close,

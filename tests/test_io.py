@@ -12,7 +12,7 @@ import pytest
 from conftest import bar, bars_frame, calendar_frame, instant, weekdays
 from pyspark.sql import functions as F
 
-from barloom.functions import credentials, identity
+from barloom.functions import credentials, digests, identity
 from barloom.operators import contracts
 from barloom.operators.alignment import cover
 from barloom.operators.backtest import Costs, backtest
@@ -172,12 +172,33 @@ def test_run_roundtrip_and_tampering(spark):
     path = fresh()
     results.write_run(run, path := path + "/run", engine="e", dataset="d")
     assert {(r.run_id, r.verdict) for r in results.verify_run(spark, path).collect()} == {("one", "verified"), ("two", "verified")}
-    points = spark.read.parquet(f"{path}/points")
-    kept = fresh()
-    points.withColumn("cash", F.when(F.col("run_id") == "one", F.col("cash") + 1).otherwise(F.col("cash"))).write.partitionBy("run_id").parquet(f"{kept}/points")
-    spark.read.parquet(f"{path}/manifest").write.parquet(f"{kept}/manifest")
-    verdicts = {r.run_id: r.verdict for r in results.verify_run(spark, kept).collect()}
-    assert verdicts == {"one": "content_changed", "two": "verified"}
+    assert results.changed_rows(spark, path).count() == 0
+
+    def copied(**changes):
+        at = fresh()
+        for name in ("points", "trades", "totals", "digests", "manifest", *[f"nodes/{level}" for level in digests.STORED]):
+            rows = spark.read.parquet(f"{path}/{name}")
+            changes.get(name, lambda r: r)(rows).write.parquet(f"{at}/{name}")
+        verdicts = {r.run_id: r.verdict for r in results.verify_run(spark, at).collect()}
+        return verdicts, sorted((r.table_name, r.run_id, str(r.session), r.change) for r in results.changed_rows(spark, at).collect())
+
+    one = F.col("run_id") == "one"
+    trade = str(spark.read.parquet(f"{path}/trades").filter(one).agg(F.min("session")).first()[0])
+    last = str(spark.read.parquet(f"{path}/points").filter(one).agg(F.max("session")).first()[0])
+    on = F.col("session") == trade
+    found = copied(
+        points=lambda r: r.withColumn("cash", F.when(one & (F.col("session") == last), F.col("cash") + 1).otherwise(F.col("cash"))),
+        # A row twice is a change of its place.
+        trades=lambda r: r.unionByName(r.filter(one & on)),
+        totals=lambda r: r.withColumn("trade_count", F.when(one, 99).otherwise(F.col("trade_count"))),
+    )
+    assert found == (
+        {"one": "content_changed", "two": "verified"},
+        [("points", "one", last, "changed"), ("totals", "one", "None", "changed"), ("trades", "one", trade, "changed")],
+    )
+    verdicts, rows = copied(**{t: (lambda r: r.filter(~one)) for t in results.TABLES})
+    assert verdicts == {"one": "result_missing", "two": "verified"} and {r[3] for r in rows} == {"missing"}
+    assert {r[0] for r in rows} == set(results.TABLES)
 
 
 def test_identities(spark):
