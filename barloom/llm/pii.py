@@ -45,7 +45,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 def _ips(text: str) -> Iterator[tuple[int, int]]:
     for match in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in match[0].split(".")):
+        parts = [p.lstrip("0") for p in match[0].split(".")]
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
             yield match.span()
 
 

@@ -35,6 +35,14 @@ def test_plain_identifiers_agree_with_the_patterns():
         assert pii.identifiers(text) == brute(text), text
 
 
+@pytest.mark.parametrize("digit", ["0", "7"])
+def test_digit_runs_of_any_length(digit):
+    run = digit * 5_000
+    for text in (f"{run}1.2.3.4", f"1.2.3.{run}4", f"a@{run}.b", f"+{run}", run, f"{run}@b.c"):
+        assert isinstance(pii.identifiers(text), list)
+    assert ("ip", 0, 5_007) in pii.identifiers("0" * 5_000 + "1.2.3.4")
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "source"),
     [
