@@ -18,7 +18,7 @@ DEPTH = 5
 CHUNK_WORDS = 1 << 20
 _BITS = 21
 #: Most ranges that suffixes are dealt to, samples drawn for each boundary, and characters of a sample.
-MOST_RANGES, SAMPLES, SAMPLE_CHARS = 1 << 16, 16, 256
+MOST_RANGES, SAMPLES, SAMPLE_CHARS = 1 << 16, 16, 128
 UNKNOWN_LANG = "und"
 #: Ends a piece; no word can hold it.
 _END = b"."
@@ -230,17 +230,16 @@ def _counter(boundaries: dict[str, list[tuple[bytes, ...]]], least: int):
 def boundaries_of(texts: DataFrame, ranges: int) -> dict[str, list[tuple[bytes, ...]]]:
     """At most ``ranges`` boundaries between suffixes, in order, by lang.
 
-    They come from SAMPLES suffixes for each, drawn by length of text; at most MOST_RANGES times SAMPLES short strings
-    reach the driver, however large the table. Boundaries decide where suffixes are counted, never what is counted.
+    They come from SAMPLES suffixes for each, drawn by length of text; about MOST_RANGES times SAMPLES short strings
+    reach the driver at most, however large the table. Boundaries decide where suffixes are counted, never what is counted.
     """
     ranges = min(ranges, MOST_RANGES)
     size = F.length("text")
-    # The texts of the least keys are a sample in proportion to their length.
-    key = -F.log(1 - F.rand(7)) / size
+    total = texts.agg(F.sum(size.cast("long"))).first()[0] or 0
+    chosen = F.rand(7) * total < size * (ranges * SAMPLES)
     at = (F.rand(11) * size).cast("int") + 1
-    drawn = texts.filter(size > 0).select("lang", F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("piece"), key.alias("key"))
+    rows = texts.filter(chosen).select("lang", F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("piece")).collect()
     samples: dict[str, list[tuple[bytes, ...]]] = {}
-    rows = drawn.orderBy("key").limit(ranges * SAMPLES).select("lang", "piece").collect()
     for row in rows:
         # The first token may have lost its start.
         words = tokens(row.piece)[1 : 1 + DEPTH]
