@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import calendar
@@ -141,6 +141,62 @@ def resample_violations(
     return cover_violations(align(bars, sessions)).unionByName(late).unionByName(elapsed)
 
 
+def constituent_violations(
+    bars: DataFrame, sessions: DataFrame, frequency: str, cutoff_at: dt.datetime
+) -> DataFrame:
+    """Periods whose bars are not the first sessions of the period, in time and each once.
+
+    ``not_a_prefix``: the sessions of the bars are not exactly the first that the series' calendar expects of the period (a
+    hole, a strange or a repeated session; a period that only lacks its end is sound). The calendar has the digest of every
+    prefix of a period, at most 31, and the bars' own digest is compared with the one at their count. ``available_before_close``
+    and ``available_after_cutoff`` judge every bar. ``session`` is the start of the period, ``detail`` how many bars.
+    """
+    start = calendar.period_start(F.col("session"), frequency)
+    keys = ["calendar_id", "period_start"]
+    expected = sessions.groupBy("calendar_id", start.alias("period_start")).agg(
+        F.array_sort(F.collect_set("session")).alias("_days")
+    )
+    prefixes = F.transform(
+        F.sequence(F.lit(1), F.size("_days")), lambda k: _sessions_digest(F.slice("_days", F.lit(1), k))
+    )
+    expected = expected.select(*keys, prefixes.alias("_prefixes"))
+    cutoff = F.lit(cutoff_at).cast("timestamp")
+    days = with_calendar_id(bars, sessions).groupBy("asset_id", "calendar_id", start.alias("period_start"), "session").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(F.col("available_at") < F.col("session_close_at")).alias("_early"),
+        F.count_if(F.col("available_at") > cutoff).alias("_late"),
+    )
+    # Repeated bars are counted by session first, so a period never lists more than its dates.
+    held = days.groupBy("asset_id", *keys).agg(
+        F.array_sort(F.collect_list("session")).alias("_held"),
+        F.sum("_n").alias("_count"),
+        F.sum("_early").alias("_early"),
+        F.sum("_late").alias("_late"),
+    )
+    joined = held.join(expected, keys, "left")
+    at_count = F.get("_prefixes", (F.col("_count") - 1).cast("int"))
+    broken = ~_sessions_digest(F.col("_held")).eqNullSafe(at_count)
+    rules = F.array_compact(
+        F.array(
+            *[
+                F.when(hit, F.struct(F.lit(rule).alias("rule"), n.alias("n")))
+                for rule, hit, n in (
+                    ("not_a_prefix", broken, F.col("_count")),
+                    ("available_before_close", F.col("_early") > 0, F.col("_early")),
+                    ("available_after_cutoff", F.col("_late") > 0, F.col("_late")),
+                )
+            ]
+        )
+    )
+    return joined.select("asset_id", F.col("period_start").alias("session"), F.inline(rules)).select(
+        "asset_id", "rule", "session", F.col("n").cast("string").alias("detail")
+    )
+
+
+def _sessions_digest(days: Column) -> Column:
+    return F.sha2(F.array_join(days.cast("array<string>"), ","), 256)
+
+
 def boundary_violations(
     sessions: DataFrame, calendars: DataFrame, frequency: str
 ) -> DataFrame:

@@ -15,6 +15,7 @@ from barloom.operators.backtest import Costs, backtest
 from barloom.operators.resample import (
     boundary_violations,
     complete_only,
+    constituent_violations,
     period_bars,
     period_violations,
     resample_violations,
@@ -218,6 +219,28 @@ def period_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def period_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks with holes, with bars on days of another session, and with early and late bars, in one asset each."""
+    bars, sessions = views.market(spark, sf_dir)
+    a, d = F.col("asset_id"), F.col("d")
+    planted = (
+        bars.withColumn("d", views.day_number())
+        .filter(~((a == "A") & (d % 97 == 0)))
+        .withColumns(
+            {
+                # Two bars on one day and none on the day of the second.
+                "session": F.when((a == "N") & (d % 89 == 0), F.date_sub("session", 1)).otherwise(F.col("session")),
+                "available_at": F.when((a == "R") & (d % 83 == 0), F.col("session_close_at") - F.expr("interval 1 minute"))
+                .when((a == "R") & (d % 79 == 0), F.lit(FAR).cast("timestamp") + F.expr("interval 1 day"))
+                .otherwise(F.col("available_at")),
+            }
+        )
+        .drop("d")
+    )
+    return publish(constituent_violations(planted, sessions, WEEK, FAR))
+
+
 @query
 def weekly_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly targets executed on daily bars."""

@@ -235,6 +235,24 @@ UNION ALL SELECT asset_id, 'period_gap', {day('period_start')}, {day('previous')
 UNION ALL SELECT asset_id, 'calendar_mismatch', {day('period_start')}, NULL FROM weeks
   WHERE period_start = DATE '1998-02-09' AND EXISTS (SELECT 1 FROM sessions s WHERE s.asset_id = weeks.asset_id AND session = DATE '1998-02-11')""")
 
+oracle("period_rules", f"""
+WITH {BARS},
+days AS (SELECT asset_id, CAST(date_trunc('week', session) AS DATE) AS p, list(session ORDER BY session) AS expected FROM sessions GROUP BY 1, 2),
+planted AS (
+  SELECT asset_id, session - CASE WHEN asset_id = 'N' AND d % 89 = 0 THEN 1 ELSE 0 END AS session, asset_id = 'R' AND d % 83 = 0 AS early,
+         asset_id = 'R' AND d % 83 <> 0 AND d % 79 = 0 AS late
+  FROM (SELECT *, session - DATE '1995-01-01' AS d FROM bars) WHERE NOT (asset_id = 'A' AND d % 97 = 0)
+),
+held AS (
+  SELECT asset_id, CAST(date_trunc('week', session) AS DATE) AS p, list(session ORDER BY session) AS days, count(*) AS n,
+         count(*) FILTER (early) AS early, count(*) FILTER (late) AS late
+  FROM planted GROUP BY 1, 2
+),
+judged AS (SELECT h.*, d.expected FROM held h LEFT JOIN days d USING (asset_id, p))
+SELECT asset_id, 'not_a_prefix' AS rule, {day('p')} AS session, CAST(n AS VARCHAR) AS detail FROM judged WHERE expected IS NULL OR days <> expected[1:n]
+UNION ALL SELECT asset_id, 'available_before_close', {day('p')}, CAST(early AS VARCHAR) FROM judged WHERE early > 0
+UNION ALL SELECT asset_id, 'available_after_cutoff', {day('p')}, CAST(late AS VARCHAR) FROM judged WHERE late > 0""")
+
 oracle("weekly_backtest", f"""
 WITH {BARS}, {extended('1w')}, {periods('1w', calendar='calendar')}, {gaps('1w', 'periods')},
 scored AS (
