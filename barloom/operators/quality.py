@@ -425,8 +425,17 @@ def cross_source_ohlc(bars: DataFrame, requests: DataFrame, policy: QualityPolic
     )
 
 
-def provider_revision(revision_bars: DataFrame, revisions: DataFrame) -> DataFrame:
-    """Sessions whose values differ between two observations of the same request."""
+def provider_revision(
+    revision_bars: DataFrame, revisions: DataFrame, observations: DataFrame | None = None
+) -> DataFrame:
+    """Sessions whose values differ between two observations of the same request.
+
+    With ``observations``, pairs that are not two observations of one request are left out; :func:`invalid_revision_pairs`
+    says which and why.
+    """
+    if observations is not None:
+        wrong = invalid_revision_pairs(revisions, observations).drop("rule")
+        revisions = revisions.join(wrong, ["asset_id", "previous_id", "current_id"], "left_anti")
     bar = stable_bars(revision_bars)
     fields = (*PRICE_FIELDS, "volume")
 

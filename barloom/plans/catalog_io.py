@@ -432,6 +432,15 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish(fixtures.read_bars_csv(spark, path, schema))
 
 
+@query
+def calendar_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every asset's calendar through JSON lines and back."""
+    _, sessions = views.market(spark, sf_dir)
+    path = scratch_path(spark, "calendar-json")
+    sessions.select("calendar_id", "session", "session_open_at", "session_close_at").write.json(path)
+    return publish(fixtures.read_calendar_json(spark, path))
+
+
 @query
 def run_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verify a stored costed run and a copy of it with one trade and one total changed; name the changed rows."""

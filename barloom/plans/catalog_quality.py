@@ -89,6 +89,34 @@ def dq_findings_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish(found.select("ordinal", "place", "asset_id", "check_id", "finding_code", "affected_start", "affected_end", "finding_id"))
 
 
+@query
+def dq_revision_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of observations, one of another endpoint and one of a single capture, and what each sound pair finds."""
+    bars, pairs = Inputs(spark, sf_dir).revisions()
+    a = F.col("asset_id")
+    bars = bars.withColumn("source_id", F.concat_ws(":", a, "source_id"))
+    pairs = pairs.withColumns({c: F.concat_ws(":", a, c) for c in ("previous_id", "current_id")})
+    observations = pairs.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.col(c).alias("source_id"),
+                        F.lit(provider).alias("provider"),
+                        F.when((a == "N") & F.lit(c == "current_id"), "weekly").otherwise("daily").alias("endpoint"),
+                        a.alias("request_fingerprint"),
+                        F.when(a == "R", F.col("previous_id")).otherwise(F.col(c)).alias("evidence_id"),
+                    )
+                    for c, provider in (("previous_id", "Alpha"), ("current_id", "ALPHA"))
+                ]
+            )
+        )
+    )
+    wrong = quality.invalid_revision_pairs(pairs, observations).select("asset_id", "rule")
+    found = quality.provider_revision(bars, pairs, observations).groupBy("asset_id").agg(F.count(F.lit(1)).alias("findings"))
+    return publish(pairs.select("asset_id").join(wrong, "asset_id", "left").join(found, "asset_id", "left").na.fill(0, ["findings"]))
+
+
 @query
 def dq_cross_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Inputs(spark, sf_dir)

@@ -159,6 +159,10 @@ SELECT asset_id, count(*) AS n, {num('sum(close)')} AS total_close, max(i) AS la
 oracle("csv_roundtrip", f"""
 WITH {BASE}
 SELECT asset_id, {day('session')} AS session, {num('open')} AS open, {num('high')} AS high, {num('low')} AS low, {num('close')} AS close, {num('volume')} AS volume FROM base""")
+oracle("calendar_roundtrip", f"""
+WITH {BARS}
+SELECT 'LINE-' || asset_id AS calendar_id, {day('session')} AS session, {day('session')} || ' 14:30:00' AS session_open_at,
+       {day('session')} || ' 21:00:00' AS session_close_at FROM sessions""")
 oracle("run_roundtrip", f"""
 WITH {BARS}, {backtest_cte(50)},
 counts AS (SELECT asset_id, count(*) AS n FROM aligned GROUP BY asset_id)

@@ -233,6 +233,12 @@ SELECT row_number() OVER (ORDER BY asset_id, check_id, {_KEYS}) - 1 AS ordinal,
        asset_id, check_id, finding_code, {day('affected_start')} AS affected_start, {day('affected_end')} AS affected_end, finding_id
 FROM identified""")
 
+oracle("dq_revision_pairs", f"""
+WITH {Q}
+SELECT asset_id, CASE asset_id WHEN 'N' THEN 'different_request' WHEN 'R' THEN 'same_observation' END AS rule,
+       CASE WHEN asset_id IN ('N', 'R') THEN 0 ELSE count(*) FILTER (d % 53 = 0 OR d % 307 = 0) END AS findings
+FROM base GROUP BY asset_id""")
+
 oracle("dq_cross_summary", f"""
 WITH {Q}, {STABLE}
 SELECT asset_id, 'alpha' AS left_id, 'beta' AS right_id, count(*) AS compared_values, {num('max(bps)')} AS max_difference_bps
