@@ -43,13 +43,11 @@ def brief(rows):
 def test_weeks_go_out_whole_or_at_their_cutoff(spark):
     feed = Feed(spark, calendar_frame(spark, DAYS), delay="1 hour")
     bars = [bar(d, 10 + i) for i, d in enumerate(DAYS) if i not in (6, 18)]
-    for day in bars[:14]:
-        feed.add([day])
+    feed.add(bars[:5]).add(bars[5:9]).add(bars[9:12]).add(bars[12:14])
     # The second week lacks a bar and goes out once a later bar moves the watermark past its cutoff.
     assert brief(feed.run()) == [(5, "period", 5, "complete"), (12, "period", 4, "incomplete_missing_data"), (19, "period", 5, "complete")]
     # A restart goes on with the open week and repeats nothing; the last week stays open.
-    for day in bars[14:]:
-        feed.add([day])
+    feed.add(bars[14:16]).add(bars[16:])
     rows = feed.run()
     assert brief(rows)[3:] == [] and len(rows) == 3
     assert (rows[0].open, rows[0].close, rows[0].high, rows[0].low, rows[0].volume) == (10, 14, 14, 10, 5000)
