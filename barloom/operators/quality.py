@@ -20,12 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions import digits
 from barloom.functions.calendar import number_sessions
-from barloom.functions.identity import canonical_decimal, canonical_json, stable_id
-from barloom.functions.numeric import symmetric_bps, within_symmetric_bps
+from barloom.functions.identity import canonical_json, stable_id
 from barloom.operators import intervals, segments, session_sets
 from barloom.operators.calendars import SESSION_KEY, with_calendar_id
-from barloom.schemas import PRICE, PRICE_FIELDS
+from barloom.schemas import PRICE_FIELDS
 from barloom.session import materialize
 
 SERIES = ["asset_id", "source_id"]
@@ -158,16 +158,15 @@ def session_integrity(bars: DataFrame) -> DataFrame:
 
 
 def ohlc_integrity(bars: DataFrame) -> DataFrame:
-    fields = F.array(
-        *[
-            F.struct(F.lit(f).alias("field"), F.col(f).alias("text"), parsed(f).alias("number"))
-            for f in PRICE_FIELDS
-        ]
+    """Prices that are no number, not above zero or in contradiction; numbers of any length are judged by their digits."""
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in PRICE_FIELDS])
+    fields = F.transform(
+        texts, lambda t: F.struct(t["field"].alias("field"), t["text"].alias("text"), digits.sign(t["text"]).alias("sign"))
     )
     cells = bars.select(*SERIES, "session", F.inline(fields)).filter(
-        F.col("number").isNull() | (F.col("number") <= 0)
+        F.col("sign").isNull() | (F.col("sign") <= 0)
     )
-    lost = F.col("number").isNull()
+    lost = F.col("sign").isNull()
     broken = _findings(
         cells,
         "ohlc_integrity",
@@ -182,12 +181,21 @@ def ohlc_integrity(bars: DataFrame) -> DataFrame:
         F.struct(F.coalesce("text", F.lit("None")).alias("value")),
         field=F.col("field"),
     )
-    o, h, low, c = (parsed(f) for f in PRICE_FIELDS)
-    # NULL when any of the four is not a number: such a row is judged above only.
-    inconsistent = ~((h >= low) & (low <= o) & (o <= h) & (low <= c) & (c <= h))
-    numbers = o.isNotNull() & h.isNotNull() & low.isNotNull() & c.isNotNull()
+
+    def contradicts(keys: Column) -> Column:
+        o, h, low, c = (keys[i] for i in range(4))
+        numbers = o.isNotNull() & h.isNotNull() & low.isNotNull() & c.isNotNull()
+        return numbers & ~((h >= low) & (low <= o) & (o <= h) & (low <= c) & (c <= h))
+
+    # A row in which any of the four is not a number is judged above only.
+    short = F.array(*[digits.short(F.col(f)) for f in PRICE_FIELDS])
+    keys = F.transform(F.array(*PRICE_FIELDS), lambda t: digits.let(digits.number(t), digits.order_key))
+    by_decimals, by_digits = (digits.let(values, contradicts) for values in (short, keys))
+    fits = F.lit(True)
+    for f in PRICE_FIELDS:
+        fits = fits & F.col(f).rlike(digits.SHORT)
     order = _findings(
-        bars.filter(numbers & inconsistent),
+        bars.filter(F.when(fits, by_decimals).otherwise(by_digits)),
         "ohlc_integrity",
         "blocker",
         F.lit("invalid_ohlc"),
@@ -201,10 +209,9 @@ def ohlc_integrity(bars: DataFrame) -> DataFrame:
 
 
 def volume_integrity(bars: DataFrame) -> DataFrame:
-    number = F.expr("try_cast(volume AS decimal(24,6))")
-    lost = number.isNull()
+    lost = F.col("_sign").isNull()
     return _findings(
-        bars.filter(lost | (number < 0)),
+        bars.withColumn("_sign", digits.sign(F.col("volume"))).filter(lost | (F.col("_sign") < 0)),
         "volume_integrity",
         "blocker",
         F.when(lost, "non_finite_field").otherwise("negative_volume"),
@@ -366,7 +373,7 @@ def cross_source_overlap(bars: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def cross_source_values(bars: DataFrame, requests: DataFrame) -> DataFrame:
-    """Every comparable price of every source pair with its symmetric difference.
+    """Every comparable price of every source pair with its symmetric difference; ``left`` and ``right`` are cells.
 
     Only raw series are comparable.
     """
@@ -384,29 +391,34 @@ def cross_source_values(bars: DataFrame, requests: DataFrame) -> DataFrame:
         F.col("source_id").alias("right_id"),
         *[F.col(f"bar.{f}").alias(f"r_{f}") for f in PRICE_FIELDS],
     )
-    cells = F.array(
+    texts = F.array(
         *[
-            F.struct(
-                F.lit(f).alias("field"),
-                parsed(f"l_{f}").alias("left"),
-                parsed(f"r_{f}").alias("right"),
-            )
+            F.struct(F.lit(f).alias("field"), F.array(f"l_{f}", f"r_{f}").alias("sides"))
             for f in PRICE_FIELDS
         ]
     )
+    read = F.transform(
+        texts, lambda t: F.struct(t["field"].alias("field"), F.transform(t["sides"], digits.cell).alias("sides"))
+    )
+    cells = F.transform(
+        read, lambda t: F.struct(t["field"].alias("field"), t["sides"][0].alias("left"), t["sides"][1].alias("right"))
+    )
     joined = left.join(right, ["asset_id", "session"]).filter(F.col("left_id") < F.col("right_id"))
     return (
         joined.select("asset_id", "session", "left_id", "right_id", F.inline(cells))
-        .withColumn("difference_bps", symmetric_bps(F.col("left"), F.col("right")))
-        .filter(F.col("difference_bps").isNotNull())
+        .filter(F.col("left").isNotNull() & F.col("right").isNotNull())
+        .filter((digits.cell_sign(F.col("left")) != 0) | (digits.cell_sign(F.col("right")) != 0))
+        .withColumn("difference_bps", digits.cell_symmetric_bps(F.col("left"), F.col("right")))
     )
 
 
 def cross_source_ohlc(bars: DataFrame, requests: DataFrame, policy: QualityPolicy) -> DataFrame:
     values = cross_source_values(bars, requests)
     left, right = F.col("left"), F.col("right")
-    apart = values.filter(~within_symmetric_bps(left, right, policy.pass_bps))
-    mild = within_symmetric_bps(left, right, policy.warning_bps)
+    apart = values.filter(~digits.cell_within_symmetric_bps(left, right, policy.pass_bps)).withColumn(
+        "_mild", digits.cell_within_symmetric_bps(left, right, policy.warning_bps)
+    )
+    mild = F.col("_mild")
     return _findings(
         apart,
         "cross_source_ohlc",
@@ -418,8 +430,8 @@ def cross_source_ohlc(bars: DataFrame, requests: DataFrame, policy: QualityPolic
         F.array("left_id", "right_id"),
         F.struct(
             F.format_string("%.6f", F.col("difference_bps")).alias("difference_bps"),
-            canonical_decimal(left).alias("left"),
-            canonical_decimal(right).alias("right"),
+            digits.cell_canonical(left).alias("left"),
+            digits.cell_canonical(right).alias("right"),
         ),
         field=F.col("field"),
     )
@@ -858,11 +870,6 @@ def requested_positions(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
-def parsed(column: str) -> Column:
-    """Number of a raw text cell; NULL for anything that is no finite number."""
-    return F.expr(f"try_cast({column} AS {PRICE})")
-
-
 def _numbered(sessions: DataFrame) -> DataFrame:
     return number_sessions(sessions).select("calendar_id", "session", F.col("session_no").alias("no"))
 
@@ -889,8 +896,7 @@ def _dated(gaps: DataFrame, calendar: DataFrame) -> DataFrame:
 
 def _same_number(a: Column, b: Column) -> Column:
     """Equal as numbers where both are, else equal as text."""
-    kind = "decimal(24,6)"
-    return F.coalesce(a.try_cast(kind) == b.try_cast(kind), a.eqNullSafe(b))
+    return F.coalesce(digits.same(a, b), a.eqNullSafe(b))
 
 
 def _iso(column: str) -> Column:

@@ -9,10 +9,12 @@ base AS (SELECT *, session - DATE '1995-01-01' AS d FROM bars_all),
 alpha AS (
   SELECT asset_id, 'alpha' AS source_id, session, d, copy,
          CASE WHEN d % 211 = 0 THEN 'NaN' ELSE CAST(open AS VARCHAR) END AS open,
-         CASE WHEN d % 227 = 0 THEN CAST(CAST(low - 1 AS DECIMAL(18,6)) AS VARCHAR) ELSE CAST(high AS VARCHAR) END AS high,
-         CASE WHEN d % 223 = 0 THEN '-1' ELSE CAST(low AS VARCHAR) END AS low,
+         CASE WHEN d % 227 = 0 THEN CAST(CAST(low - 1 AS DECIMAL(18,6)) AS VARCHAR)
+              WHEN d % 239 = 0 THEN '1234567890123.5' WHEN d % 241 = 0 THEN repeat('1234567890', 6) || '123.5' ELSE CAST(high AS VARCHAR) END AS high,
+         CASE WHEN d % 223 = 0 THEN '-1' WHEN d % 251 = 0 THEN '0.0000001' ELSE CAST(low AS VARCHAR) END AS low,
          CAST(close AS VARCHAR) AS close,
-         CASE WHEN d % 229 = 0 THEN '-5' WHEN d % 233 = 0 THEN 'n/a' ELSE CAST(CAST(volume AS DECIMAL(24,6)) AS VARCHAR) END AS volume
+         CASE WHEN d % 229 = 0 THEN '-5' WHEN d % 233 = 0 THEN 'n/a'
+              WHEN d % 257 = 0 THEN repeat('1234567890', 6) || '123.5' ELSE CAST(CAST(volume AS DECIMAL(24,6)) AS VARCHAR) END AS volume
   FROM base, (VALUES (0), (1)) c(copy) WHERE copy = 0 OR d % 101 = 0
 ),
 beta AS (
@@ -79,7 +81,8 @@ SESSION = (
         "(SELECT *, lag(session) OVER (PARTITION BY asset_id, source_id ORDER BY row_seq) AS previous FROM q) WHERE previous > session",
     )
 )
-TRY = "CASE WHEN {0} = 'NaN' THEN NULL ELSE TRY_CAST({0} AS DECIMAL(18,6)) END"
+# The planted cell of 64 digits exceeds every price and every tolerance, as 10^17 does, which still fits.
+TRY = "CASE WHEN {0} = 'NaN' THEN NULL WHEN length({0}) > 60 THEN CAST(100000000000000000 AS DECIMAL(27,9)) ELSE TRY_CAST({0} AS DECIMAL(27,9)) END"
 CELLS = " UNION ALL ".join(
     f"SELECT asset_id, source_id, session, '{f}' AS field, {f} AS text, {TRY.format(f)} AS number FROM q"
     for f in ("open", "high", "low", "close")
@@ -105,7 +108,7 @@ VOLUME = finding(
     "volume_integrity", "'blocker'", "CASE WHEN v IS NULL THEN 'non_finite_field' ELSE 'negative_volume' END",
     "session", "session", "'volume'", "source_id", "'{\"value\":\"' || volume || '\"}'",
     "CASE WHEN v IS NULL THEN 'the volume is no finite number' ELSE 'the volume is below zero' END",
-    "(SELECT *, TRY_CAST(volume AS DECIMAL(24,6)) AS v FROM q) WHERE v IS NULL OR v < 0",
+    "(SELECT *, TRY_CAST(left(volume, 15) AS DECIMAL(24,6)) AS v FROM q) WHERE v IS NULL OR v < 0",
 )
 CALENDAR = finding(
     "calendar_membership", "'error'", "'unexpected_session'", "session", "session", "CAST(NULL AS VARCHAR)",
@@ -156,7 +159,7 @@ compared AS (
   SELECT *, abs(l - r) AS gap, abs(l) + abs(r) AS total,
          CAST(abs(l - r) AS DOUBLE) / (CAST(abs(l) + abs(r) AS DOUBLE) / 2) * 10000 AS bps
   FROM (""" + " UNION ALL ".join(
-    f"""SELECT a.asset_id, a.session, '{f}' AS field, {TRY.format('a.' + f)} AS l, {TRY.format('b.' + f)} AS r
+    f"""SELECT a.asset_id, a.session, '{f}' AS field, {TRY.format('a.' + f)} AS l, {TRY.format('b.' + f)} AS r, a.{f} AS left_text, b.{f} AS right_text
         FROM stable a JOIN stable b ON a.asset_id = b.asset_id AND a.session = b.session AND a.source_id = 'alpha' AND b.source_id = 'beta'"""
     for f in ("open", "high", "low", "close")
 ) + """) WHERE l IS NOT NULL AND r IS NOT NULL AND abs(l) + abs(r) > 0
@@ -172,7 +175,7 @@ CROSS = finding(
     "cross_source_ohlc", "CASE WHEN gap * 20000 <= 50 * total THEN 'warning' ELSE 'error' END",
     "CASE WHEN gap * 20000 <= 50 * total THEN 'cross_source_field_warning' ELSE 'cross_source_field_conflict' END",
     "session", "session", "field", "'alpha,beta'",
-    f"'{{\"difference_bps\":\"' || printf('%.6f', bps) || '\",\"left\":\"' || {plain('l')} || '\",\"right\":\"' || {plain('r')} || '\"}}'",
+    f"'{{\"difference_bps\":\"' || printf('%.6f', bps) || '\",\"left\":\"' || {plain('left_text')} || '\",\"right\":\"' || {plain('right_text')} || '\"}}'",
     "'the sources differ by more than the policy allows'",
     "compared WHERE gap * 20000 > 10 * total",
 )

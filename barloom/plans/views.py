@@ -182,8 +182,12 @@ PRIMARY, SECONDARY = "alpha", "beta"
 CURRENT = "alpha-2"
 
 
+#: A finite number of 64 digits, beyond every decimal type.
+LONG_PRICE = "1234567890" * 6 + "123.5"
+
+
 def quality_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw text bars of two sources, with broken cells, repeated and late rows."""
+    """Raw text bars of two sources, with broken and very long cells, repeated and late rows."""
     return stored(spark, sf_dir, "quality-bars", lambda: _quality_bars(spark, sf_dir))
 
 
@@ -200,12 +204,15 @@ def _quality_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(copies).alias("copy"),
         F.when(d % 211 == 0, "NaN").otherwise(text["open"]).alias("open"),
         F.when(d % 227 == 0, (F.col("low") - 1).cast(PRICE).cast("string"))
+        .when(d % 239 == 0, "1234567890123.5")
+        .when(d % 241 == 0, LONG_PRICE)
         .otherwise(text["high"])
         .alias("high"),
-        F.when(d % 223 == 0, "-1").otherwise(text["low"]).alias("low"),
+        F.when(d % 223 == 0, "-1").when(d % 251 == 0, "0.0000001").otherwise(text["low"]).alias("low"),
         text["close"].alias("close"),
         F.when(d % 229 == 0, "-5")
         .when(d % 233 == 0, "n/a")
+        .when(d % 257 == 0, LONG_PRICE)
         .otherwise(text["volume"])
         .alias("volume"),
     )
