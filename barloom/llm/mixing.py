@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.tables import aside, restored
+
 #: Buckets of the order within a source: prefix sums are exact over buckets first, rows second.
 SLICES = 1 << 16
+#: Columns that :func:`assign` adds.
+ASSIGNED = ("size", "source_size", "target", "taken", "uses")
+#: Columns that :func:`training_order` adds in place of ``uses``.
+USE = ("epoch", "words", "position")
 
 
 def targets(
@@ -81,17 +87,20 @@ def assign(
     The running size of a hot source is not one window: hashes cut each source into ``slices``
     parts, whose totals are summed first. NULL sizes count 0; documents without words
     take 0 words and have no use; NULL sources form one source; repeated ids are ordered by size,
-    and rows alike in both are interchangeable. Further columns pass through.
+    and rows alike in both are interchangeable. Further columns of any name pass through; one called
+    like a new column is replaced.
     """
     key = order_key(F.col("doc_id"))
-    sized = docs.withColumns(
-        {
-            "size": F.coalesce(size.cast("long"), F.lit(0).cast("long")),
-            "_key": key,
-            "_slice": F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % slices,
-        }
+    sized = docs.select(
+        *aside(docs),
+        "doc_id",
+        "source",
+        F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size"),
+        key.alias("_key"),
+        (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % slices).alias("_slice"),
     )
-    return take(sized, weights=weights, tilts=tilts, share=share, most=most)
+    taken = take(sized, weights=weights, tilts=tilts, share=share, most=most)
+    return taken.select(*restored(docs, ASSIGNED), *ASSIGNED)
 
 
 def take(sized: DataFrame, *, weights, tilts, share, most) -> DataFrame:
@@ -142,6 +151,10 @@ def take(sized: DataFrame, *, weights, tilts, share, most) -> DataFrame:
 
 
 def training_order(assigned: DataFrame) -> DataFrame:
-    """One row per use of a document, range-sorted by training position."""
-    rows = assigned.withColumn("use", F.explode("uses")).drop("uses")
-    return rows.select("*", "use.*").drop("use").orderBy("position", "doc_id", "epoch")
+    """One row per use of a document, range-sorted by training position.
+
+    ``uses`` becomes epoch, words and position, which replace columns of those names.
+    """
+    rows = assigned.select(*aside(assigned), "doc_id", F.explode("uses").alias("use"))
+    ordered = rows.orderBy("use.position", "doc_id", "use.epoch")
+    return ordered.select(*restored(assigned, (*USE, "uses")), *[f"use.{c}" for c in USE])

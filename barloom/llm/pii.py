@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.labels import LABELS
+from barloom.llm.tables import unused
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -267,8 +268,9 @@ def find(docs: DataFrame, *, text_col: str = "text", name: str = "spans") -> Dat
 
 def mask(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """Texts with every span replaced by its kind in brackets; NULL stays NULL. Columns as they were."""
-    found = find(docs, text_col=text_col, name="_spans")
-    return found.withColumn(text_col, _masked(F.col(text_col), F.col("_spans"))).select(*docs.columns)
+    name = unused("_spans", docs)
+    found = find(docs, text_col=text_col, name=name)
+    return found.withColumn(text_col, _masked(F.col(text_col), F.col(name))).select(*docs.columns)
 
 
 def joined(found: Column) -> Column:

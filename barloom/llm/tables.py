@@ -53,6 +53,24 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def aside(df: DataFrame) -> list[Column]:
+    """All columns under names of their position, so that no name of theirs can clash with a working column."""
+    return [F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(df.columns)]
+
+
+def restored(df: DataFrame, replaced=()) -> list[Column]:
+    """The columns that were set aside under their own names, without those that new columns replace."""
+    return [F.col(f"_in_{i}").alias(c) for i, c in enumerate(df.columns) if c.lower() not in replaced]
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A name that no column has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body names it."""
     return F.transform(F.array(value), body)[0]

@@ -62,6 +62,26 @@ def test_positions_follow_the_schedule(spark):
     assert {(r.taken, r.target) for r in empty.collect()} == {(0, 0.0)}
 
 
+def test_columns_of_any_name_pass_through(spark):
+    """Names of working columns in the input, in the operator and in the stages."""
+    names = ["position", "Words", "epoch", "size", "target", "uses", "_key", "_slice", "_in_0", "use", "_source", "_text", "_spans", "_score", "n_chars"]
+    rows = [(i, "ab"[i % 2], "one two three\nfour", *[f"{n}{i}" for n in names[:-1]], 18) for i in range(40)]
+    schema = "doc_id bigint, source string, text string, " + ", ".join(f"`{n}` string" for n in names[:-1]) + ", n_chars int"
+    docs = spark.createDataFrame(rows, schema)
+    order = mixing.training_order(mixing.assign(docs, F.lit(4)))
+    assert order.columns[-3:] == ["epoch", "words", "position"] and "Words" not in order.columns
+    assert all(r["_key"] == f"_key{r.doc_id}" and r["_in_0"] == f"_in_0{r.doc_id}" and r["use"] == f"use{r.doc_id}" for r in order.collect())
+    mixed = corpus_pipeline.mix(spark, docs, "")
+    assert mixed.columns == docs.columns
+    found = mixed.collect()
+    assert {r.doc_id for r in found} <= set(range(40)) and len(found) >= 40
+    for r in found:
+        assert all(r[n] == f"{n}{r.doc_id}" for n in names[:-1])
+        assert "one two three\nfour".startswith(r.text) and r.n_chars == len(r.text)
+    masked = corpus_pipeline.personal_data(spark, docs, "")
+    assert masked.columns == docs.columns and {r["_spans"] for r in masked.collect()} == {f"_spans{i}" for i in range(40)}
+
+
 def test_least_slack_is_optimal_around_its_longest_piece():
     rng = random.Random(2)
     for _ in range(60):
