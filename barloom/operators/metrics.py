@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,16 +68,17 @@ def exact_returns(
 ) -> DataFrame:
     """Adjacent returns as reduced integer ratios.
 
-    ``equity`` is a decimal column. Both values share one scale, so the ratio of the unscaled
+    ``equity`` is a decimal column of any scale up to 18, its values of at most 18 digits. Both values share one scale, so the ratio of the unscaled
     integers is the exact return; Euclid's algorithm runs as a bounded fold over a short array
     (a 19-digit pair needs at most 90 steps).
     """
     rows = _with_previous(equity, keys, size).filter(F.col("_previous").isNotNull())
+    scale = equity.schema["equity"].dataType.scale
     unscaled = rows.select(
         *keys,
         "observed_on",
-        (_unscaled(F.col("equity")) - _unscaled(F.col("_previous"))).alias("_n"),
-        _unscaled(F.col("_previous")).alias("_d"),
+        (_unscaled(F.col("equity"), scale) - _unscaled(F.col("_previous"), scale)).alias("_n"),
+        _unscaled(F.col("_previous"), scale).alias("_d"),
     )
     divisor = F.aggregate(
         F.sequence(F.lit(1), F.lit(92)),
@@ -273,5 +275,6 @@ def _rule(rows: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
     return rows.select(*keys, "observed_on", F.lit(rule).alias("rule"))
 
 
-def _unscaled(value: Column) -> Column:
-    return (value.cast("decimal(18,6)") * 1_000_000).cast("bigint")
+def _unscaled(value: Column, scale: int) -> Column:
+    """The integer behind a decimal; a value of more than 18 digits at its scale is an error, never rounded."""
+    return (value.cast(f"decimal(18,{scale})") * F.lit(Decimal(10**scale))).cast("bigint")

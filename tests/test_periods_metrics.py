@@ -196,6 +196,15 @@ def test_risk_free_kinds_and_ddof(spark):
             metrics.MetricPolicy(*bad)
 
 
+def test_exact_returns_of_any_scale(spark):
+    rows = [("r", i, v) for i, v in enumerate(("1.000000001", "1.000000002", "1.000000002", "0.500000003"))]
+    values = spark.createDataFrame(rows, "run_id string, position long, v string")
+    for kind in ("decimal(18,9)", "decimal(38,12)"):
+        equity = values.selectExpr("run_id", "position", "position as observed_on", f"cast(v as {kind}) as equity")
+        got = metrics.exact_returns(equity, ["run_id"]).orderBy("observed_on").collect()
+        assert [(r.numerator, r.denominator) for r in got] == [(1, 1_000_000_001), (0, 1), (-499_999_999, 1_000_000_002)]
+
+
 def test_exact_returns_and_reconciliation(spark):
     d = dt.date
     equity = equity_frame(
