@@ -36,16 +36,32 @@ KEY_QUALIFIERS = (
 def decode_keys(keys: Column) -> Column:
     """Undo percent escapes and compatibility characters until nothing changes."""
 
+    decode = _decoder()
+
+    def decode_batch(batch: pd.Series) -> pd.Series:
+        return batch.map(decode, na_action="ignore")
+
+    return F.pandas_udf(decode_batch, T.StringType())(keys)
+
+
+def decode_key_lists(lists: Column) -> Column:
+    """``decode_keys`` for an array of keys in each row."""
+    decode = _decoder()
+
+    def decode_batch(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda keys: [decode(key) for key in keys], na_action="ignore")
+
+    return F.pandas_udf(decode_batch, T.ArrayType(T.StringType()))(lists)
+
+
+def _decoder():
     # Nested, so that workers need no copy of this package.
     def decode(key: str) -> str:
         while (plain := unquote(unicodedata.normalize("NFKC", key))) != key:
             key = plain
         return key
 
-    def decode_batch(batch: pd.Series) -> pd.Series:
-        return batch.map(decode, na_action="ignore")
-
-    return F.pandas_udf(decode_batch, T.StringType())(keys)
+    return decode
 
 
 def key_tokens(decoded: Column) -> Column:
@@ -86,14 +102,32 @@ def classify_keys(keys: DataFrame) -> DataFrame:
     )
 
 
+def names_credential(keys: Column) -> Column:
+    """Whether an array of keys names a credential, decided inside the row; false for NULL.
+
+    Few keys reach Python: only those that hold a percent sign or a character beyond ASCII can
+    change when they are decoded.
+    """
+    known = F.filter(keys, lambda k: k.isNotNull())
+    odd = F.filter(known, lambda k: k.rlike(r"[%\x{80}-\x{10FFFF}]"))
+    judged = F.concat(known, decode_key_lists(odd))
+    return F.coalesce(F.exists(F.transform(judged, key_tokens), is_credential), F.lit(False))
+
+
 def json_keys(df: DataFrame, id_column: str, json_column: str, *, depth: int) -> DataFrame:
-    """All object keys of a JSON text column, one row each, with their level.
+    """All object keys of a JSON text column, one row each, with their level."""
+    walked = with_json_keys(df.select(id_column, json_column), json_column, "_keys", depth=depth)
+    return walked.select(id_column, F.inline("_keys"))
+
+
+def with_json_keys(df: DataFrame, json_column: str, name: str, *, depth: int) -> DataFrame:
+    """``df`` with the distinct object keys of a JSON text and their levels as array ``name``.
 
     Each document is walked level by level inside its own row, so the table is read once. Keys
     below ``depth`` levels are found as string tokens before a colon, however deep they are,
     and carry the level ``depth + 1``.
     """
-    walked = df.select(id_column, _members(F.col(json_column)).alias("_level_1"))
+    walked = df.withColumn("_level_1", _members(F.col(json_column)))
     for level in range(2, depth + 2):
         inner = F.filter(f"_level_{level - 1}", lambda m: m["value"].rlike(r"^\s*[\[{]"))
         walked = walked.withColumn(
@@ -107,7 +141,8 @@ def json_keys(df: DataFrame, id_column: str, json_column: str, *, depth: int) ->
         F.flatten(F.transform(f"_level_{depth + 1}", lambda m: key_tokens_in(m["value"]))),
         lambda key: F.struct(key.alias("key"), F.lit(depth + 1).alias("level")),
     )
-    return walked.select(id_column, F.inline(F.array_distinct(F.concat(*found, below))))
+    levels = [f"_level_{level}" for level in range(1, depth + 2)]
+    return walked.withColumn(name, F.array_distinct(F.concat(*found, below))).drop(*levels)
 
 
 def key_tokens_in(text: Column) -> Column:

@@ -140,6 +140,82 @@ def test_captures_store_content_once_and_detect_tampering(spark):
     assert captures.read_records(spark, forged).count() == 0
 
 
+def scanned_prefixes(spark, path, batch):
+    """Store partitions that the search for known hashes reads."""
+    frame = spark.createDataFrame(batch, "provider string, hash_prefix string, content_hash string")
+    plan = captures.stored_hashes(frame, path)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "contents" in line)
+    assert "ReadSchema: struct<content_hash:string>" in scan
+    return scan.split("PartitionFilters: [")[1].split("], PushedFilters")[0]
+
+
+def test_capture_store_reads_only_touched_partitions(spark):
+    path = fresh()
+    captures.write_captures(capture(spark, [(f"c{i}", {"symbol": str(i)}, [{"close": str(i)}], 1) for i in range(40)]), path)
+    stored = spark.read.schema(captures.STORED).parquet(f"{path}/contents").select("provider", "hash_prefix", "content_hash").collect()
+    assert len(stored) == 40 and all(r.content_hash.startswith(r.hash_prefix) for r in stored)
+    one = stored[0]
+    filters = scanned_prefixes(spark, path, [tuple(one)])
+    assert one.hash_prefix in filters and not any(r.hash_prefix in filters for r in stored if r.hash_prefix != one.hash_prefix)
+    found = captures.stored_hashes(spark.createDataFrame([tuple(one), ("p", "zz", "zz1")], "provider string, hash_prefix string, content_hash string"), path)
+    assert [r[0] for r in found.collect()] == [one.content_hash]
+
+
+def test_capture_input_is_evaluated_once(spark):
+    path, seen = fresh(), spark.sparkContext.accumulator(0)
+
+    def count(value):
+        seen.add(1)
+        return value
+
+    rows = [(f"c{i}", {"symbol": str(i), "api_key": "x"} if i == 3 else {"symbol": str(i)}, [{"close": "1"}], 1) for i in range(20)]
+    counted = capture(spark, rows).withColumn("endpoint", F.udf(count, "string").asNondeterministic()("endpoint"))
+    for expected in (20, 40):  # the second time against a store that knows every content
+        captures.write_captures(counted, path).collect()
+        assert seen.value == expected
+    assert spark.read.parquet(f"{path}/contents").count() == 19
+    assert spark.read.parquet(f"{path}/observations").count() == 38
+
+
+def test_capture_commits_can_be_repeated_and_survive_a_stop_in_between(spark):
+    path = fresh()
+    batch = capture(spark, [("a", {"symbol": "Q"}, [{"close": "1"}], 1), ("b", {"symbol": "R"}, [{"close": "2"}], 1)])
+    for _ in range(2):
+        captures.write_captures(batch, path, commit_id="batch-1")
+    assert spark.read.parquet(f"{path}/contents").count() == 2
+    assert spark.read.parquet(f"{path}/observations").count() == 2
+    # A writer that stopped after its contents: nothing refers to them until a later commit does.
+    stopped, full = fresh(), spark.read.schema(captures.STORED).parquet(f"{path}/contents")
+    full.withColumn("commit_id", F.lit("lost")).write.partitionBy("provider", "hash_prefix").parquet(f"{stopped}/contents")
+    captures.write_captures(batch, stopped, commit_id="batch-2")
+    assert spark.read.parquet(f"{stopped}/contents").count() == 2
+    assert captures.read_records(spark, stopped).count() == 2
+    # Two writers at once: one content stored twice, records are read once; an intact copy outlives a damaged one.
+    full.withColumn("commit_id", F.lit("again")).write.mode("append").partitionBy("provider", "hash_prefix").parquet(f"{path}/contents")
+    assert captures.read_records(spark, path).count() == 2
+    full.withColumns({"commit_id": F.lit("a-first"), "schema_version": F.lit("v9")}).write.mode("append").partitionBy("provider", "hash_prefix").parquet(f"{path}/contents")
+    assert {r.verdict for r in captures.verify_captures(spark, path).collect()} == {"verified"}
+    assert captures.read_records(spark, path).count() == 2
+
+
+def test_rejected_captures_leave_no_secret_and_empty_batches_commit(spark):
+    path = fresh()
+    hidden = [
+        ("nested", {"q": '{"headers": [{"api%4bey": "s3cr3t"}]}'}, [{"close": "s3cr3t"}], 1), ("broken", {"q": '{"a": s3cr3t'}, [], 1),
+        ("wide", {"\uff41piKey": "s3cr3t"}, [{"close": "1"}], 1), ("mixed", {"token": "s3cr3t"}, [], 1), ("mixed", {"symbol": "Q"}, [], 1),
+        ("good", {"symbol": "Q", "keyboard": "1"}, [{"close": "1"}], 1),
+    ]
+    rejected = captures.write_captures(capture(spark, hidden), path)
+    assert sorted(r.capture_id for r in rejected.collect()) == ["broken", "mixed", "nested", "wide"]
+    assert {r.capture_id for r in spark.read.parquet(f"{path}/observations").collect()} == {"good"}
+    staged = captures._staged(capture(spark, hidden)).filter("rejected")
+    assert all(r.request is None and r.records is None and r.content_hash is None for r in staged.collect())
+    captures.write_captures(capture(spark, hidden).limit(0), path)
+    empty = fresh()
+    captures.write_captures(capture(spark, hidden).limit(0), empty)
+    assert captures.read_records(spark, path).count() == 1 and captures.read_records(spark, empty).count() == 0
+
+
 def test_capture_text_rejects_non_finite(spark):
     df = spark.createDataFrame([(dt.date(2026, 1, 2), Decimal("1.50"), 2.5)], "d date, x decimal(9,2), y double")
     assert tuple(captures.capture_text(df).first()) == ("2026-01-02", "1.50", "2.5")
