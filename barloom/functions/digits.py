@@ -25,6 +25,8 @@ SHORT = r"^[+-]?[0-9]{1,12}(\.[0-9]{1,6})?$"
 EXPONENT_SHIFT = 5 * 10**18
 #: Digits of one limb in products: a limb times a factor below 9 * 10^9 and a carry fit 64 bits.
 LIMB = 9
+#: Tolerances in columns stay below this, so that their factors stay below 9 * 10^9.
+BPS_LIMIT = 880_000
 #: Digits in which two numbers are lined up to measure their difference.
 ALIGNED = 36
 #: Numbers with larger exponents are written with an E.
@@ -112,12 +114,20 @@ def magnitude(n: Column) -> Column:
     return _number(F.abs(n["sign"]), n["exponent"], n["digits"])
 
 
-def within_symmetric_bps(left: Column, right: Column, tolerance: str) -> Column:
+def within_symmetric_bps(left: Column, right: Column, tolerance: str | Column) -> Column:
     """|left - right| * 20,000 <= tolerance * (|left| + |right|), exactly and without a division or a difference.
 
+    A tolerance column is a decimal of at most four places, not negative and below ``BPS_LIMIT``.
+
     With one sign, larger and smaller magnitude, that is larger * (20,000 - tolerance) <= smaller * (20,000 + tolerance). With two
     signs, or one zero, the difference is the whole sum.
     """
+    if isinstance(tolerance, Column):
+        factors = F.array(*[((20_000 + side * tolerance) * 10_000).cast("bigint") for side in (-1, 1)])
+        return let(
+            factors,
+            lambda f: F.when(f[0] <= 0, left.isNotNull() & right.isNotNull()).otherwise(_within(left, right, f[0], f[1])),
+        )
     bound = Decimal(tolerance)
     scale = 10 ** max(0, -bound.normalize().as_tuple().exponent)
     less, more = (int((20_000 + side * bound) * scale) for side in (-1, 1))
@@ -125,6 +135,10 @@ def within_symmetric_bps(left: Column, right: Column, tolerance: str) -> Column:
         raise ValueError("the tolerance has too many digits")
     if less <= 0:
         return left.isNotNull() & right.isNotNull()
+    return _within(left, right, less, more)
+
+
+def _within(left: Column, right: Column, less: Column | int, more: Column | int) -> Column:
     keyed = F.transform(
         F.array(left, right), lambda n: let(magnitude(n), lambda m: F.struct(order_key(m).alias("key"), m.alias("n")))
     )
@@ -190,7 +204,7 @@ def cell_canonical(c: Column) -> Column:
     return F.when(c["short"].isNotNull(), canonical_decimal(c["short"])).otherwise(canonical(c["long"]))
 
 
-def cell_within_symmetric_bps(left: Column, right: Column, tolerance: str) -> Column:
+def cell_within_symmetric_bps(left: Column, right: Column, tolerance: str | Column) -> Column:
     return _of_pair(
         left,
         right,

@@ -19,7 +19,7 @@ def relative_bps(reference: Column, other: Column) -> Column:
     )
 
 
-def within_symmetric_bps(left: Column, right: Column, tolerance: str) -> Column:
+def within_symmetric_bps(left: Column, right: Column, tolerance: str | Column) -> Column:
     """Exact tolerance test in decimals, without a division."""
     bound = F.lit(tolerance).cast("decimal(12,4)")
     return F.abs(left - right) * 20_000 <= bound * (F.abs(left) + F.abs(right))

@@ -90,10 +90,17 @@ def schema_contract(
     bars: DataFrame, sources: DataFrame, requests: DataFrame, policy: QualityPolicy
 ) -> DataFrame:
     """Sources of an unknown schema, over the dates of their bars; a source without bars is reported to each request."""
-    spans = bars.groupBy(*SERIES).agg(
-        F.min("session").alias("_first"), F.max("session").alias("_last")
-    )
-    unknown = sources.filter(~F.col("schema_version").isin(*policy.accepted_schemas)).join(spans, SERIES, "left")
+    unknown = sources.filter(~F.col("schema_version").isin(*policy.accepted_schemas))
+    return unsupported_schemas(unknown.join(delivered_spans(bars), SERIES, "left"), requests)
+
+
+def delivered_spans(bars: DataFrame) -> DataFrame:
+    """First and last session of each source."""
+    return bars.groupBy(*SERIES).agg(F.min("session").alias("_first"), F.max("session").alias("_last"))
+
+
+def unsupported_schemas(unknown: DataFrame, requests: DataFrame) -> DataFrame:
+    """Findings on sources that no policy of ``requests`` accepts, given with the span of their bars."""
     asked = with_request_id(requests).select("asset_id", "request_id", "requested_start", "requested_end")
     silent = unknown.filter(F.col("_first").isNull()).join(asked, "asset_id")
     rows = (
@@ -267,16 +274,17 @@ def requested_range_coverage(
     sources: DataFrame,
     sessions: DataFrame,
     requests: DataFrame,
-    policy: QualityPolicy,
+    policy: QualityPolicy | None,
 ) -> DataFrame:
     """Sessions of each requested range with no source, or with too few.
 
-    The sessions of an asset become two bitmaps, of those with any source and of those with enough; every request reads
-    its own stretch of them, so requests never multiply bars.
+    The sessions of an asset become two bitmaps, of those with any source and of those with two; every request reads
+    its own stretch of the ones it needs, so requests never multiply bars. Without a policy, requests carry
+    ``minimum_sources`` of their own.
     """
     calendar = _numbered(sessions)
     ids = sources.groupBy("asset_id").agg(F.array_sort(F.collect_set("source_id")).alias("_ids"))
-    minimum = F.lit(policy.minimum_sources)
+    minimum = F.col("_minimum")
     days = (
         _placed(bars.select(*SERIES, "session", *_calendar_of(bars)), sessions)
         .select(*SERIES, "no")
@@ -284,9 +292,10 @@ def requested_range_coverage(
         .groupBy("asset_id", "no")
         .agg(F.count(F.lit(1)).alias("_sources"))
     )
-    sets = session_sets.bitmaps(days, ["asset_id"], {"_any": F.lit(True), "_enough": F.col("_sources") >= minimum})
-    held = session_sets.packed(sets, ["asset_id"], ["_any", "_enough"])
-    ranges = requested_positions(requests, sessions).join(ids, "asset_id")
+    sets = session_sets.bitmaps(days, ["asset_id"], {"_any": F.lit(True), "_two": F.col("_sources") >= 2})
+    held = session_sets.packed(sets, ["asset_id"], ["_any", "_two"])
+    wanted = F.col("minimum_sources").cast("int") if policy is None else F.lit(policy.minimum_sources)
+    ranges = requested_positions(requests, sessions).join(ids, "asset_id").withColumn("_minimum", wanted)
     empty = _findings(
         ranges.filter(F.col("_lo") > F.col("_hi")),
         "requested_range_coverage",
@@ -301,10 +310,11 @@ def requested_range_coverage(
     )
     low, high = F.col("_lo"), F.col("_hi")
     rows = ranges.filter(low <= high).join(held, "asset_id", "left")
+    enough_sources = F.when(minimum > 1, _or_empty("_two")).otherwise(_or_empty("_any"))
     # "0": no source, "1": some, "2": enough.
     states = F.zip_with(
         session_sets.bits_between(_or_empty("_any"), low, high),
-        session_sets.bits_between(_or_empty("_enough"), low, high),
+        session_sets.bits_between(enough_sources, low, high),
         lambda some, enough: F.when(enough == "1", "2").otherwise(some),
     )
     def of_kind(held_states: Column, state: str, code: str) -> Column:
@@ -320,7 +330,7 @@ def requested_range_coverage(
         )
 
     short_runs = F.transform(F.array(states), every)[0]
-    gaps = rows.select("asset_id", "request_id", "calendar_id", "_ids", F.inline(short_runs))
+    gaps = rows.select("asset_id", "request_id", "calendar_id", "_ids", "_minimum", F.inline(short_runs))
     short = _findings(
         _dated(gaps, calendar),
         "requested_range_coverage",
@@ -418,7 +428,12 @@ def cross_source_ohlc(bars: DataFrame, requests: DataFrame, policy: QualityPolic
     apart = values.filter(~digits.cell_within_symmetric_bps(left, right, policy.pass_bps)).withColumn(
         "_mild", digits.cell_within_symmetric_bps(left, right, policy.warning_bps)
     )
-    mild = F.col("_mild")
+    return source_conflicts(apart)
+
+
+def source_conflicts(apart: DataFrame) -> DataFrame:
+    """Findings on pairs of cells further apart than allowed; ``_mild`` ones only warn."""
+    left, right, mild = F.col("left"), F.col("right"), F.col("_mild")
     return _findings(
         apart,
         "cross_source_ohlc",
@@ -525,20 +540,40 @@ def all_findings(
     revisions: DataFrame | None = None,
 ) -> DataFrame:
     """The findings of all eleven checks."""
+    return union_all(
+        [
+            schema_contract(bars, sources, requests, policy),
+            requested_range_coverage(bars, sources, sessions, requests, policy),
+            cross_source_ohlc(bars, requests, policy),
+            *policy_free_findings(bars, sources, sessions, requests, revision_bars, revisions),
+        ]
+    )
+
+
+def policy_free_findings(
+    bars: DataFrame,
+    sources: DataFrame,
+    sessions: DataFrame,
+    requests: DataFrame,
+    revision_bars: DataFrame | None = None,
+    revisions: DataFrame | None = None,
+) -> list[DataFrame]:
+    """Findings of the checks that are the same under every policy."""
     parts = [
-        schema_contract(bars, sources, requests, policy),
         session_integrity(bars),
         ohlc_integrity(bars),
         volume_integrity(bars),
         calendar_membership(bars, sessions),
         source_coverage(bars, sources, sessions),
-        requested_range_coverage(bars, sources, sessions, requests, policy),
         cross_source_overlap(bars, sources),
-        cross_source_ohlc(bars, requests, policy),
         adjustment_semantics(requests),
     ]
     if revisions is not None:
         parts.append(provider_revision(revision_bars, revisions))
+    return parts
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
     while len(parts) > 1:  # pairwise, so that no plan is analysed more than log(n) times
         parts = [
             parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i]
@@ -699,11 +734,15 @@ def range_eligibility(
     counted = joined.select(
         "asset_id", "request_id", "requested_start", "requested_end", *[touching(e).alias(f"{e}_count") for e in EFFECTS]
     )
-    return counted.withColumn(
-        "status",
+    return counted.withColumn("status", verdict())
+
+
+def verdict() -> Column:
+    """Of the counts of a range: blocking precedes incomplete, warnings do not decide."""
+    return (
         F.when(F.col("blocking_count") > 0, "ineligible")
         .when(F.col("incomplete_count") > 0, "incomplete")
-        .otherwise("eligible"),
+        .otherwise("eligible")
     )
 
 

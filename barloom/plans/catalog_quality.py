@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import cross_source, ordering, quality
+from barloom.operators import cross_source, ordering, policies, quality
 from barloom.plans import views
 from barloom.plans.publish import publish
 from barloom.session import materialize
@@ -143,6 +143,53 @@ def dq_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish(quality.range_eligibility(i.findings(), i.requests(), POLICY))
 
 
+#: Two versions of one policy, and one whose tolerances contradict each other.
+POLICY_ROWS = (
+    ("research", "1", "2000-01-01", ["normalized-bar-v1"], 1, "10", "50", False),
+    ("research", "2", "2001-01-01", ["normalized-bar-v0", "normalized-bar-v1"], 2, "20", "60.5", True),
+    ("broken", "1", "2000-01-01", ["normalized-bar-v1"], 1, "60", "50", False),
+)
+
+
+def policy_inputs(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Every request under both versions, before the first, and under the broken policy."""
+    policy = "policy_id string, version string, valid_from string, accepted_schemas array<string>, minimum_sources int, "
+    rows = i.spark.createDataFrame(list(POLICY_ROWS), policy + "pass_bps string, warning_bps string, revision_blocks boolean")
+    asked = (("research", "1999-12-31"), ("research", "2000-06-30"), ("research", "2001-06-30"), ("broken", "2001-06-30"))
+    named = F.array(*[F.struct(F.lit(p).alias("policy_id"), F.lit(d).cast("date").alias("as_of")) for p, d in asked])
+    requests = i.requests()
+    return (
+        requests.select(*requests.columns, F.inline(named)),
+        rows.withColumn("valid_from", F.col("valid_from").cast("date")),
+    )
+
+
+@query
+def dq_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of requests under policy versions of their own, and those that no version judges."""
+    i = Inputs(spark, sf_dir)
+    requests, rows = policy_inputs(i)
+    report = policies.policy_report(i.bars(), i.sources(), i.weekdays(), requests, rows, *i.revisions())
+    withheld = quality.with_request_id(report.violations).withColumns(
+        {"request_id": F.concat_ws("/", "request_id", "policy_id", "as_of"), "status": F.col("rule")}
+    )
+    return publish(
+        report.eligibility.drop("policy_hash").unionByName(
+            withheld.select("asset_id", "request_id", "requested_start", "requested_end", "status"), allowMissingColumns=True
+        )
+    )
+
+
+@query
+def dq_policy_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of every check under each policy version."""
+    i = Inputs(spark, sf_dir)
+    given = policies.applied(*policy_inputs(i)).requests
+    bars, pairs = i.revisions()
+    found = policies.findings(i.bars(), i.sources(), i.weekdays(), given, bars, pairs)
+    return publish(policies.check_results(materialize(found, "policy-findings"), i.sources(), given, pairs))
+
+
 @query
 def dq_range_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings that touch each requested range."""

@@ -281,6 +281,60 @@ SELECT asset_id, request_id, {day('requested_start')} AS requested_start, {day('
        CASE WHEN count(*) FILTER (effect = 'b') > 0 THEN 'ineligible' WHEN count(*) FILTER (effect = 'i') > 0 THEN 'incomplete' ELSE 'eligible' END AS status
 FROM effects GROUP BY ALL""")
 
+# Requests under two policy versions; tolerances in halves of a basis point, so that they are integers.
+VERSIONED = Q.replace("requests AS (", "plain_requests AS (") + f""",
+policies(policy_id, version, as_of, accepts_v0, minimum, pass2, warn2, blocks) AS (
+  VALUES ('research', '1', DATE '2000-06-30', false, 1, 20, 100, false), ('research', '2', DATE '2001-06-30', true, 2, 40, 121, true)),
+requests AS (
+  SELECT r.* EXCLUDE (request_id), request_id || '/' || policy_id || '@' || version AS request_id, policy_id || '@' || version AS policy_key, p.*
+  FROM plain_requests r, policies p)"""
+FREE = " UNION ALL ".join((SESSION, OHLC, VOLUME, CALENDAR, SOURCE_COVERAGE, OVERLAP, REVISION, ADJUSTMENT, RANGE_COVERAGE, SCHEMA))
+POLICY_FINDINGS = f"""
+found AS ({FREE}),
+held AS (
+  SELECT r.asset_id, r.request_id, f.check_id, f.severity, f.finding_code, f.affected_start, f.affected_end, f.field, f.source_ids, f.observed,
+         r.blocks AND f.finding_code = 'provider_history_revision' AS revised
+  FROM requests r JOIN found f ON f.asset_id = r.asset_id AND (f.request_id IS NULL OR f.request_id = r.request_id)
+   AND NOT (f.finding_code = 'unsupported_normalized_schema' AND r.accepts_v0)
+   AND NOT (f.finding_code = 'insufficient_source_verification' AND r.minimum = 1)
+  UNION ALL
+  SELECT r.asset_id, r.request_id, 'cross_source_ohlc', CASE WHEN gap * 40000 <= warn2 * total THEN 'warning' ELSE 'error' END,
+         CASE WHEN gap * 40000 <= warn2 * total THEN 'cross_source_field_warning' ELSE 'cross_source_field_conflict' END, session, session, field,
+         'alpha,beta', left_text || '/' || right_text, false
+  FROM requests r JOIN compared c ON c.asset_id = r.asset_id AND r.adjustment_mode = 'raw' AND gap * 40000 > pass2 * total
+)"""
+oracle("dq_policy", f"""
+WITH {VERSIONED}, {STABLE}, {POLICY_FINDINGS},
+effects AS (
+  SELECT DISTINCT r.asset_id, r.request_id, r.requested_start, r.requested_end, r.policy_key, f.* EXCLUDE (asset_id, request_id),
+         CASE WHEN finding_code IN {INELIGIBLE} THEN 'b' WHEN revised OR finding_code IN {INCOMPLETE} THEN 'i' WHEN severity <> 'info' THEN 'w' END AS effect
+  FROM requests r LEFT JOIN held f
+    ON f.asset_id = r.asset_id AND f.request_id = r.request_id AND f.affected_start <= r.requested_end AND r.requested_start <= f.affected_end
+)
+SELECT asset_id, request_id, {day('requested_start')} AS requested_start, {day('requested_end')} AS requested_end, policy_key,
+       count(*) FILTER (effect = 'b') AS blocking_count, count(*) FILTER (effect = 'i') AS incomplete_count,
+       count(*) FILTER (effect = 'w') AS warning_count,
+       CASE WHEN count(*) FILTER (effect = 'b') > 0 THEN 'ineligible' WHEN count(*) FILTER (effect = 'i') > 0 THEN 'incomplete' ELSE 'eligible' END AS status
+FROM effects GROUP BY ALL
+UNION ALL
+SELECT asset_id, request_id || '/' || p || '/' || d, {day('requested_start')}, {day('requested_end')}, NULL, NULL, NULL, NULL, 'no_policy'
+FROM plain_requests, (VALUES ('research', '1999-12-31'), ('broken', '2001-06-30')) w(p, d)""")
+oracle("dq_policy_checks", f"""
+WITH {VERSIONED}, {STABLE}, {POLICY_FINDINGS},
+checks AS (SELECT unnest(['schema_contract', 'session_integrity', 'ohlc_integrity', 'volume_integrity', 'calendar_membership',
+  'source_coverage', 'requested_range_coverage', 'cross_source_overlap', 'cross_source_ohlc', 'provider_revision', 'adjustment_semantics']) AS check_id),
+graded AS (
+  SELECT r.asset_id, r.request_id, r.adjustment_mode, c.check_id, count(f.finding_code) AS finding_count,
+         count(*) FILTER (f.severity IN ('error', 'blocker') AND f.finding_code NOT IN {INCOMPLETE}) AS fails,
+         count(*) FILTER (f.severity IN ('error', 'blocker')) AS hard, count(*) FILTER (f.severity = 'warning') AS warns
+  FROM requests r CROSS JOIN checks c LEFT JOIN held f ON f.asset_id = r.asset_id AND f.request_id = r.request_id AND f.check_id = c.check_id
+  GROUP BY ALL
+)
+SELECT asset_id, request_id, check_id, finding_count,
+       CASE WHEN check_id = 'cross_source_ohlc' AND adjustment_mode <> 'raw' THEN 'not_applicable' WHEN fails > 0 THEN 'fail'
+            WHEN hard > 0 THEN 'incomplete' WHEN warns > 0 THEN 'warning' ELSE 'pass' END AS status
+FROM graded""")
+
 oracle("dq_range_findings", f"""
 WITH {Q}, {STABLE}, {IDENTIFIED}
 SELECT * FROM (
