@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -112,26 +113,35 @@ def links(prints: DataFrame, *, radius: int = 3) -> DataFrame:
     ``prints`` holds distinct fingerprints ``fp``. Level 1 puts each into one bucket per covering
     mask. A bucket of up to DIRECT members compares them in place. A larger one is covered again
     over the bits its mask left free, and so is the next level; after three levels at most eight
-    free bits remain, so a bucket has at most 256 members whatever the data. Before each finer
+    free bits remain, so a bucket has at most 256 members whatever the data. At each finer
     level, members within the radius of their new bucket's least member are linked and components
     are merged, and buckets that hold one component only are finished: groups of near copies
     collapse instead of being paired.
     """
+    return reduce(DataFrame.unionByName, _linked(prints, radius)[0])
+
+
+def _linked(prints: DataFrame, radius: int) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
+    """The tables of edges found; components (node, component) so far; the edges found since.
+
+    A finer level merges components once, over those of the level before and the edges since.
+    """
     rows = _tables(prints.select("fp", F.col("fp").alias("comp"), F.lit(0).cast("long").alias("mask")), radius, 1)
-    found, level = None, 1
+    found, known, fresh, level = [], None, [], 1
     while True:
         live = _live(rows)
         direct = live if level == 3 else live.filter(F.col("n") <= DIRECT)
-        edges = _direct(direct, radius)
-        found = stored(edges if found is None else found.unionByName(edges), "links")
+        edges = stored(_direct(direct, radius), "links")
+        found.append(edges)
+        if not edges.isEmpty():
+            fresh.append(edges)
         if level == 3:
-            return found
-        large = Stored(live.filter(F.col("n") > DIRECT).select("fp", "mask"), "large")
-        if large.df.isEmpty():
-            return found
-        known = _labelled(large.df, found)
+            return found, known, fresh
+        large = Stored(live.filter(F.col("n") > DIRECT).select("fp", "comp", "mask").distinct(), "large").df
+        if large.isEmpty():
+            return found, known, fresh
         level += 1
-        finer = _tables(known, radius, level)
+        finer = _tables(large, radius, level)
         least = finer.groupBy("mask", "key").agg(F.min("fp").alias("least"))
         star = (
             finer.join(least, ["mask", "key"])
@@ -139,15 +149,18 @@ def links(prints: DataFrame, *, radius: int = 3) -> DataFrame:
             .select(F.col("fp").alias("a"), F.col("least").alias("b"))
             .distinct()
         )
-        found = stored(found.unionByName(star), "links")
-        rows = _tables(_labelled(large.df, found), radius, level)
+        star = stored(star, "links")
+        found.append(star)
+        known, fresh = _merged(known, [*fresh, star]), []
+        labels = known.withColumnRenamed("node", "fp")
+        rows = large.drop("comp").join(labels, "fp", "left").select("fp", F.coalesce("component", "fp").alias("comp"), "mask")
+        rows = _tables(rows, radius, level)
 
 
-def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    labels = connected_components(edges).withColumnRenamed("node", "fp")
-    return rows.distinct().join(labels, "fp", "left").select(
-        "fp", F.coalesce("component", "fp").alias("comp"), "mask"
-    )
+def _merged(known: DataFrame | None, fresh: list[DataFrame]) -> DataFrame:
+    """Components (node, component) of known ones and further edges."""
+    stars = [] if known is None else [known.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+    return connected_components(reduce(DataFrame.unionByName, [*stars, *fresh]))
 
 
 def _live(rows: DataFrame) -> DataFrame:
@@ -195,8 +208,10 @@ def near_duplicates(
     """
     prints = stored(fingerprints(docs, width=width, id_col=id_col, text_col=text_col), "prints")
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least_id"))
-    labels = connected_components(links(nodes, radius=radius)).withColumnRenamed("node", "fp")
-    named = nodes.join(labels, "fp", "left").select(
+    found, known, fresh = _linked(nodes, radius)
+    # Without any edge the first table, which is empty, stands for them.
+    labels = known if known is not None and not fresh else _merged(known, fresh or found[:1])
+    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least_id", F.coalesce("component", "fp").alias("root")
     )
     named = stored(named, "named")

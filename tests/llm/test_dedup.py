@@ -106,6 +106,19 @@ def test_simhash_of_one_crowded_second_level_bucket(spark):
     assert components(edges, prints) == components(close, prints)
 
 
+def test_simhash_merges_components_once_a_level(spark, monkeypatch):
+    """Two finer levels take two merges, whatever their stars and edges; a third only for edges of the last."""
+    monkeypatch.setattr(simhash, "DIRECT", 2)
+    runs = []
+    monkeypatch.setattr(simhash, "connected_components", lambda edges: runs.append(1) or connected_components(edges))
+    rng = random.Random(12)
+    prints = {rng.getrandbits(12) | 5 << 50 for _ in range(300)}
+    edges = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(p,) for p in prints], "fp bigint")).collect()]
+    close = [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3]
+    assert components(edges, prints) == components(close, prints)
+    assert len(runs) <= 2
+
+
 def test_simhash_of_nothing_and_of_repeated_ids(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
     found = simhash.near_duplicates(documents(spark, ["a b c d"] * 3 + ["zz yy xx ww"], [4, 4, None, None])).collect()
