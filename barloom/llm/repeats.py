@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.tables import stored
+from barloom.llm.tables import Stored, stored
 
 LENGTH = 50
 #: Bytes named at a sampled position, and positions that compete for the sample in one window.
 GRAM, SPAN = 24, 27
 #: Names that one task compares at a time, on average.
 BUCKET_NAMES = 1 << 20
+#: Classes of ambiguous names whose strings are compared at once, and into how many slices of names they are dealt at most.
+SLICE_CLASSES, SLICES = 1 << 18, 8
 _CHUNK = 1 << 20
 _LAST_ID = (1 << 63) - 1
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53]
@@ -179,13 +182,29 @@ def _half_shared(contexts: DataFrame, label: list[str]) -> DataFrame:
 
     def shared(side: str) -> DataFrame:
         found = sides.groupBy("name", f"_{side}").agg(F.min("least").alias("a"), F.max("least").alias("b"))
-        return found.filter("a < b").select("name", f"_{side}", F.lit(True).alias(side))
+        return found.filter("a < b").select("name", f"_{side}", F.lit(True).alias(side)).hint("shuffle_hash")
 
     marked = sides.join(shared("left"), ["name", "_left"], "left").join(shared("right"), ["name", "_right"], "left")
     marked = marked.na.fill(False, ["left", "right"]).filter("left or right")
     return marked.select(*label, "least", "context", "lo", "hi", "off", "left", "right")
 
 
+def _resolved(contexts: DataFrame, label: list[str]) -> DataFrame:
+    """(class, firsts): strings of a class that also start in another id's class, and the least such id, itself included."""
+    eligible = _half_shared(contexts, label)
+    strings = eligible.select(*label, "least", F.explode(F.sequence("lo", "hi")).alias("at"), "context", "off", "left", "right")
+    half = (LENGTH - GRAM) // 2
+    before_gram = F.col("off") - F.col("at")
+    strings = strings.filter((F.col("left") & (before_gram >= half)) | (F.col("right") & (before_gram <= half)))
+    strings = strings.select(*label, "least", "at", F.xxhash64(F.substring("context", F.col("at") + 1, F.lit(LENGTH))).alias("sk"))
+    before = strings.groupBy("name", "sk").agg(F.min("least").alias("first"), F.max("least").alias("last")).filter("first < last")
+    return (
+        strings.join(before.drop("last").hint("shuffle_hash"), ["name", "sk"])
+        .groupBy(*label)
+        .agg(F.collect_set(F.struct("at", "first")).alias("firsts"))
+    )
+
+
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with ``n_bytes``, ``spans`` (byte ranges removed, end exclusive) and ``kept`` (the bytes left).
 
@@ -212,38 +231,32 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     packed = rows.select("key", "text").mapInArrow(_packed(buckets), "bucket bigint, names binary, keys binary")
     shared = packed.groupBy("bucket").applyInPandas(_shared, "key bigint, names binary")
     wanted = shared.groupBy("key").agg(F.collect_list("names").alias("shared"))
-    wanted = stored(wanted, "wanted")
-    asked = heads.join(wanted, "key").select("sha", F.col("head").alias("ord"), "shared")
+    wanted = Stored(wanted, "wanted")
+    asked = heads.join(wanted.df, "key").select("sha", F.col("head").alias("ord"), "shared")
     chosen = rows.select("ord", "sha", "key", "text").join(asked, ["ord", "sha"]).select("ord", "key", "text", "shared")
     kinds = "ord bigint, key bigint, name bigint, context binary, lo int, hi int, base bigint, off int"
     places = chosen.mapInArrow(_contexts, kinds).withColumn("class", F.xxhash64("context", "lo", "hi", "off"))
-    places = stored(places, "places")
+    places = Stored(places, "places")
+    wanted.drop()
 
     # The name and the hash of the context are 128 bits of it.
     label = ["name", "class"]
-    classes = stored(places.groupBy(*label).agg(F.min("ord").alias("least"), F.max("ord").alias("most")), "classes")
-    several = classes.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
-    several = stored(classes.join(several, "name").select(*label, F.col("least").alias("ord")), "several")
+    classes = Stored(places.df.groupBy(*label).agg(F.min("ord").alias("least"), F.max("ord").alias("most")), "classes")
+    several = classes.df.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
+    several = Stored(classes.df.join(several, "name").select(*label, F.col("least").alias("ord")), "several")
     # One row of each class, that of the least id, brings the bytes.
-    brought = places.select(*label, "ord", "context", "lo", "hi", "off").join(several, [*label, "ord"])
-    brought = stored(brought.withColumnRenamed("ord", "least"), "contexts")
-    eligible = _half_shared(brought, label)
-    strings = eligible.select(*label, "least", F.explode(F.sequence("lo", "hi")).alias("at"), "context", "off", "left", "right")
-    half = (LENGTH - GRAM) // 2
-    before_gram = F.col("off") - F.col("at")
-    strings = strings.filter((F.col("left") & (before_gram >= half)) | (F.col("right") & (before_gram <= half)))
-    strings = strings.select(*label, "least", "at", F.xxhash64(F.substring("context", F.col("at") + 1, F.lit(LENGTH))).alias("sk"))
-    before = strings.groupBy("name", "sk").agg(F.min("least").alias("first"), F.max("least").alias("last")).filter("first < last")
-    resolved = (
-        strings.join(before.drop("last"), ["name", "sk"])
-        .groupBy(*label)
-        .agg(F.collect_set(F.struct("at", "first")).alias("firsts"))
-    )
-    resolved = stored(resolved, "resolved")
-    judged = places.select(*label, "ord", "key", "lo", "hi", "base").join(
-        classes.filter("least < most").drop("most"), label, "left"
+    brought = places.df.select(*label, "ord", "context", "lo", "hi", "off").join(several.df, [*label, "ord"])
+    brought = Stored(brought.withColumnRenamed("ord", "least"), "contexts")
+    several.drop()
+    # Strings are compared within their name only, so slices of names go one after another, and the shuffle files of one before the next.
+    slices = min(SLICES, brought.df.count() // SLICE_CLASSES + 1)
+    parts = [brought.df.filter(F.pmod(F.xxhash64("name"), F.lit(slices)) == part) for part in range(slices)]
+    resolved = [Stored(_resolved(part, label), "resolved") for part in parts]
+    brought.drop()
+    judged = places.df.select(*label, "ord", "key", "lo", "hi", "base").join(
+        classes.df.filter("least < most").drop("most"), label, "left"
     )
-    judged = judged.join(resolved, label, "left").filter("least is not null or firsts is not null")
+    judged = judged.join(reduce(DataFrame.unionByName, [r.df for r in resolved]), label, "left").filter("least is not null or firsts is not null")
     each = F.transform(
         F.filter("firsts", lambda f: f["first"] < F.col("ord")),
         lambda f: F.struct((F.col("base") + f["at"]).alias("a"), (F.col("base") + f["at"] + LENGTH).alias("b")),
@@ -254,6 +267,8 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
     ranges = judged.select("ord", "key", F.explode(F.coalesce(whole, each)).alias("r"))
     ranges = stored(ranges.groupBy("ord", "key").agg(F.collect_list("r").alias("ranges")), "ranges")
+    for done in (places, classes, *resolved):
+        done.drop()
     copies = known.join(heads, ["sha", "key"]).filter("ord > head").select("ord", "key").distinct().withColumn("copy", F.lit(True))
     marks = copies.join(ranges, ["ord", "key"], "full")
     found = rows.join(marks, ["ord", "key"], "left").withColumn(

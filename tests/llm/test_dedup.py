@@ -8,7 +8,7 @@ import random
 import pytest
 import xxhash
 
-from barloom.llm import repeats, similar, simhash
+from barloom.llm import repeats, similar, simhash, tables
 from barloom.llm.graph import connected_components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, component string, key string"
@@ -222,6 +222,20 @@ def test_repeated_strings_agree_with_all_strings(spark):
     assert repeats.without_repeats(documents(spark, [])).count() == 0
 
 
+def test_repeated_strings_are_compared_in_slices_of_names(spark, monkeypatch):
+    """Strings of ambiguous names never fill the disk all at once; what is found stays the same."""
+    written, write = [], tables.Stored.__init__
+    monkeypatch.setattr(repeats, "SLICE_CLASSES", 4, raising=False)
+    monkeypatch.setattr(tables.Stored, "__init__", lambda self, df, name: written.append(name) or write(self, df, name))
+    rng, words = random.Random(9), vocabulary(60, 10)
+    passage = " ".join(rng.choice(words) for _ in range(40))
+    texts = [passage[a:b] + rng.choice(words) for a in range(0, 120, 30) for b in (200, 230, 260)] + [passage, passage + "."]
+    found = repeats.without_repeats(documents(spark, texts)).collect()
+    mine = sorted(((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in found), key=repr)
+    assert mine == sorted(brute_repeats(list(enumerate(texts))), key=repr)
+    assert any(spans for _, _, spans, _ in mine) and written.count("resolved") > 1
+
+
 @pytest.mark.parametrize("cut", [0, 1, 25])
 def test_sampled_positions_follow_the_bytes(cut):
     """A string samples the same place of itself wherever it stands; every string samples one."""
