@@ -176,6 +176,23 @@ def test_similar_texts_are_cut_at_the_exact_similarity(spark):
     assert all({2 * i, 2 * i + 1} <= kept for i in range(len(alike), len(alike) + len(apart)))
 
 
+def test_similar_texts_meet_in_slices_of_buckets(spark, monkeypatch):
+    """Members of open buckets never fill the disk all at once; each pair is still found."""
+    written, write = [], tables.Stored.__init__
+    monkeypatch.setattr(similar, "SLICE_ROWS", 1, raising=False)
+    monkeypatch.setattr(tables.Stored, "__init__", lambda self, df, name: written.append(name) or write(self, df, name))
+    rng, words = random.Random(4), vocabulary(300, 5)
+    base = [rng.choice(words) for _ in range(200)]
+    texts = [" ".join([*base[:k], "q" * (k + 1), *base[k + 1 :]]) for k in range(0, 200, 10)]
+    texts += [" ".join(rng.choice(words) for _ in range(100)) for _ in range(5)]
+    # Least of some buckets of the copies, and alike to none: those buckets stay open after the stars.
+    texts += [" ".join(rng.choice(words) if k % 16 == 0 else w for k, w in enumerate(base)) for _ in range(30)]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    kept = {r.doc_id for r in similar.without_near_duplicates(documents(spark, texts)).collect()}
+    assert kept == set(components(pairs, range(len(texts))).values())
+    assert written.count("ends") > 1
+
+
 def test_similar_texts_of_nothing_and_repeated_rows(spark):
     assert similar.without_near_duplicates(documents(spark, [])).count() == 0
     same = documents(spark, ["one two three four five six"] * 4, [3, 3, None, 8])
