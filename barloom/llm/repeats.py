@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,7 +120,7 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
 def _contexts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every shared position with all bytes that a LENGTH-byte string around it can hold."""
     for batch in frames:
-        columns: list[list] = [[] for _ in range(7)]
+        columns, contexts = [], []
         for number, (text, shared) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
             data = text.as_py().encode()
             wanted = np.frombuffer(b"".join(shared.as_py()), np.uint64)
@@ -127,36 +128,59 @@ def _contexts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chosen = np.isin(name, wanted)
             at, name, first, last = at[chosen], name[chosen], first[chosen], last[chosen]
             starts = np.maximum(at - (LENGTH - GRAM), 0)
-            columns[0] += [number] * len(at)
-            columns[1] += name.view(np.int64).tolist()
-            columns[2] += [data[a:b] for a, b in zip(starts.tolist(), (at + LENGTH).tolist(), strict=True)]
-            columns[3] += (first - starts).tolist()
-            columns[4] += (last - starts).tolist()
-            columns[5] += starts.tolist()
-            columns[6] += (at - starts).tolist()
-        rows = pa.array(columns[0], pa.int64())
-        ints = [pa.array(c, k) for c, k in zip((columns[1], *columns[3:]), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)]
+            contexts += [data[a:b] for a, b in zip(starts.tolist(), (at + LENGTH).tolist(), strict=True)]
+            columns.append((np.full(len(at), number), name.view(np.int64), first - starts, last - starts, starts, at - starts))
+        if not columns:
+            continue
+        rows, name, *places = (np.concatenate(c) for c in zip(*columns, strict=True))
+        rows = pa.array(rows, pa.int64())
+        lo, hi, base, off = (pa.array(c, k) for c, k in zip(places, (pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True))
         yield pa.record_batch(
-            [batch.column(0).take(rows), batch.column(1).take(rows), ints[0], pa.array(columns[2], pa.binary()), *ints[1:]],
+            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(name), pa.array(contexts, pa.binary()), lo, hi, base, off],
             names=["ord", "key", "name", "context", "lo", "hi", "base", "off"],
         )
 
 
+def _merged(row: np.ndarray, a: np.ndarray, b: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, a, b): ranges of each row that overlap or touch as one, sorted; none ends past ``longest``."""
+    if not len(row):
+        return row, a, b
+    # On one line, rows lie further apart than any range reaches.
+    step = np.int64(longest + 2)
+    order = np.argsort(row * step + a, kind="stable")
+    start, reach = (row * step + a)[order], np.maximum.accumulate((row * step + b)[order])
+    first = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+    last = np.append(first[1:], len(start)) - 1
+    row = row[order][first]
+    return row, start[first] - row * step, reach[last] - row * step
+
+
 def _removed(texts: pa.Array, whole: pa.Array, ranges: pa.Array) -> pa.Array:
-    """Merged spans and what is left of each text."""
-    out = []
-    for text, all_, parts in zip(texts, whole, ranges, strict=True):
-        data, spans = (text.as_py() or "").encode(), []
-        found = [(0, len(data))] if all_.as_py() and len(data) >= LENGTH else sorted((r["a"], r["b"]) for r in parts.as_py() or ())
-        for a, b in found:
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], b)
-            else:
-                spans.append([a, b])
-        cuts = [0, *(x for s in spans for x in s), len(data)]
-        kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
-        out.append({"n_bytes": len(data), "spans": [{"a": a, "b": b} for a, b in spans], "kept": kept})
-    return pa.array(out, _RESULT)
+    """Merged spans and what is left of each text; a batch at a time, since ranges are many."""
+    texts, count = pc.fill_null(texts, "").cast(pa.large_binary()), len(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + count + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    sizes = np.diff(ends)
+    parts = ranges.flatten()
+    row = np.repeat(np.arange(count), pc.fill_null(pc.list_value_length(ranges), 0).to_numpy(zero_copy_only=False))
+    a, b = (pc.struct_field(parts, k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("a", "b"))
+    gone = pc.fill_null(whole, False).to_numpy(zero_copy_only=False).astype(bool) & (sizes >= LENGTH)
+    single, all_ = ~gone[row], np.flatnonzero(gone)
+    row, a, b = (np.concatenate(c) for c in ((row[single], all_), (a[single], 0 * all_), (b[single], sizes[all_])))
+    row, a, b = _merged(row, a, b, int(sizes.max(initial=0)))
+    # +1 where a span begins, -1 where one ends: the running sum tells which bytes go.
+    turns = np.zeros(len(data) + 1, np.int8)
+    turns[ends[row] + a] += 1
+    turns[ends[row] + b] -= 1
+    kept = data[np.cumsum(turns[:-1], dtype=np.int8) == 0]
+    removed = np.bincount(row, b - a, count).astype(np.int64)
+    spans = pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=count))))
+    left = np.concatenate(([0], np.cumsum(sizes - removed)))
+    bytes_left = pa.Array.from_buffers(pa.large_binary(), count, [None, pa.py_buffer(left), pa.py_buffer(kept)]).cast(pa.binary())
+    columns = [pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spans), bytes_left]
+    return pa.StructArray.from_arrays(columns, fields=list(_RESULT))
 
 
 _RESULT = pa.struct(

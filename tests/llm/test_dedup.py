@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -265,3 +267,30 @@ def test_sampled_positions_follow_the_bytes(cut):
     for a, f, l in zip(other, f2, l2):
         assert all(place[p + cut] == a + cut for p in range(f, l + 1))
     assert len(at) < len(text) / 8 and hashlib.sha256(name.tobytes())
+
+
+def test_ranges_are_merged_without_an_object_each():
+    def plain(text, whole, ranges):
+        data = (text or "").encode()
+        gone = set(range(len(data))) if whole and len(data) >= 50 else {x for a, b in ranges or () for x in range(a, b)}
+        starts, ends = (sorted(x for x in gone if x + step not in gone) for step in (-1, 1))
+        spans = [{"a": a, "b": b + 1} for a, b in zip(starts, ends, strict=True)]
+        return {"n_bytes": len(data), "spans": spans, "kept": bytes(c for i, c in enumerate(data) if i not in gone)}
+
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    rng, rows = random.Random(5), [(None, None, None), ("", True, []), ("x" * 49, True, None), ("é" * 25, True, [(0, 50)])]
+    for _ in range(200):
+        text = "aé日" * rng.randint(9, 40)
+        starts = [rng.randint(0, len(text.encode()) - 50) for _ in range(rng.randint(0, 5))]
+        rows.append((text, rng.random() < 0.1, [(a, a + 50) for a in starts]))
+    found = repeats._removed.func(*(pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.bool_(), kind))))
+    assert found.to_pylist() == [plain(*row) for row in rows]
+    text, count = "x" * 400_050, 400_000
+    spans = pa.StructArray.from_arrays([pa.array(range(count)), pa.array(range(50, count + 50))], names=["a", "b"])
+    ranges = pa.ListArray.from_arrays(pa.array([0, count], pa.int32()), spans)
+    tracemalloc.start()
+    found = repeats._removed.func(pa.array([text]), pa.array([False]), ranges)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == [{"n_bytes": 400_050, "spans": [{"a": 0, "b": 400_049}], "kept": b"x"}]
+    assert peak < 60_000_000  # an object for each range takes more
