@@ -42,6 +42,11 @@ class WordTokenizer:
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {"": b""}
 
+    def forget(self) -> None:
+        """Give the memory of all words back."""
+        self.words, self.cores = {}, {"": b""}
+        pa.default_memory_pool().release_unused()
+
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         return b"".join(self._parts((text or "").encode("utf-8")))
@@ -104,13 +109,14 @@ def blocks(data: bytes) -> Iterator[bytes]:
 
 def pieces(
     docs: DataFrame, tokenizer_path: str, *, window: int = WINDOW, end_id: int = END_ID,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", remember: bool = True,
 ) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): documents cut into windows, the last one shorter.
 
     ``ids`` are little-endian unsigned 32-bit integers; every document ends with ``end_id``. NULL
     and empty texts are that id alone; repeated rows are documents of their own; ids may be
-    NULL; further columns are not read. ``tokenizer_path`` must exist on every machine.
+    NULL; further columns are not read. ``tokenizer_path`` must exist on every machine. With
+    ``remember`` a worker keeps the words of a task for the next one; an idle worker holds them for as long as it lives.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -131,6 +137,8 @@ def pieces(
                 [ids, pa.array(starts, pa.int64()), lengths, pa.array(totals, pa.int64()), pa.array(parts, pa.binary())],
                 names=["doc_id", "start", "length", "doc_tokens", "ids"],
             )
+        if not remember:
+            tokenizer.forget()
 
     schema = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids binary"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
@@ -200,21 +208,25 @@ def place(cut: DataFrame, *, window: int = WINDOW, parts: int = RANK_PARTS) -> D
     Only the counts of each length, at most ``window`` rows, reach the driver, which plans with them.
     A piece finds its place by its rank among the pieces of its length. Ranks are counted over
     ``parts`` hash parts first, so full windows, the most frequent length, are not one group.
-    Pieces that agree in all ranking columns are alike and may swap places.
+    Pieces that agree in all ranking columns are alike and may swap places. Columns that do not rank, such as the
+    tokens themselves, are not sorted with the others: they come in at the end by the number of the stored piece.
     """
     spark = cut.sparkSession
-    cut = stored(cut, "pieces")
+    ties = [c for c in ("doc_id", "start", "doc_tokens", "ids_crc32") if c in cut.columns]
+    further = [c for c in cut.columns if c not in (*ties, "length")]
+    number = ["_piece"] if further else []
+    columns = cut.columns
+    cut = stored(cut.withColumn("_piece", F.monotonically_increasing_id()) if further else cut, "pieces")
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     schema = "length bigint, first bigint, last bigint, copies bigint, sequence bigint, base bigint"
     places = spark.createDataFrame(plan(counts, window), schema)
-    keyed = cut.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)))
+    keyed = cut.select("length", *ties, *number).withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         keyed.groupBy("length", "_part")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry"))
     )
-    ties = [c for c in ("doc_id", "start", "doc_tokens", "ids_crc32") if c in cut.columns]
     inside = Window.partitionBy("length", "_part").orderBy(*ties)
     ranked = keyed.withColumn("_rank", F.row_number().over(inside) - 1).join(carried, ["length", "_part"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_carry"))
@@ -225,11 +237,13 @@ def place(cut: DataFrame, *, window: int = WINDOW, parts: int = RANK_PARTS) -> D
     )
     index = F.col("_rank") - F.col("first")
     slot = index % F.col("copies")
-    return joined.select(
-        *cut.columns,
+    found = [
         (F.col("sequence") + F.floor(index / F.col("copies"))).alias("sequence_id"),
         (F.col("base") + slot * F.col("length")).alias("offset"),
-    )
+    ]
+    if not further:
+        return joined.select(*columns, *found)
+    return cut.join(joined.select("_piece", *found).hint("shuffle_hash"), "_piece").select(*columns, "sequence_id", "offset")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -249,3 +249,29 @@ def test_pipeline_stages_hand_on_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = corpus_pipeline.stored(stage(spark, empty, str(tmp_path)), "stage")
     assert empty.count() == 0
+
+
+def test_tokens_are_not_sorted_for_ranks(spark):
+    rows = [(i % 40, "alpha beta gamma " * (i % 9) + "delta " * (i % 2 * 3000)) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cut = packing.pieces(docs, PATH, remember=False)
+    placed = packing.place(cut.withColumn("ids_crc32", F.crc32("ids")))
+    lines = placed._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "Window [row_number()" in line)
+    below = next(line for line in lines[at + 1 :] if "Project [" in line)
+    assert "length#" in below and "ids#" not in below
+    found, kept = placed.collect(), packing.pieces(docs, PATH).collect()
+    key = ["doc_id", "start", "length", "doc_tokens", "ids"]
+    assert sorted([r[k] for k in key] for r in found) == sorted([r[k] for k in key] for r in kept)
+    assert all(r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length for r in found)
+    slim = packing.place(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).collect()
+    place = ["doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert sorted([r[k] for k in place] for r in found) == sorted([r[k] for k in place] for r in slim)
+
+
+def test_tokenizer_forgets_words():
+    tokenizer = packing.WordTokenizer(PATH)
+    first = tokenizer.ids("Alpha, beta gamma")
+    tokenizer.forget()
+    assert not tokenizer.words and tokenizer.cores == {"": b""}
+    assert tokenizer.ids("Alpha, beta gamma") == first
