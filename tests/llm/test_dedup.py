@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import tracemalloc
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -195,6 +197,44 @@ def test_similar_texts_meet_in_slices_of_buckets(spark, monkeypatch):
     assert written.count("ends") > 1
 
 
+def test_similar_texts_always_share_a_bucket():
+    """Sets at the similarity have a first shingle in common whatever the order; sketches differ in no more bits than sets."""
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        common, own, other = (rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (rng.integers(1, 90), rng.integers(0, 15), rng.integers(0, 15)))
+        x, y = np.unique(np.concatenate([common, own])), np.unique(np.concatenate([common, other]))
+        frequent = np.unique(rng.choice(common, len(common) // 2))
+        counts = rng.integers(1, 5, len(frequent)).astype(np.int32)
+        shared = len(np.intersect1d(x, y))
+        if shared / len(np.union1d(x, y)) >= 0.8:
+            assert len(np.intersect1d(*(similar.prefix(s, frequent, counts, 0.8) for s in (x, y))))
+        apart = sum((int(a) ^ int(b)).bit_count() for a, b in zip(*(similar.parity(s).view(np.uint64) for s in (x, y))))
+        assert apart <= len(x) + len(y) - 2 * shared
+
+
+def test_similar_texts_of_a_large_group_leave_few_pairs_and_tables(spark, monkeypatch):
+    """A group whose texts are partly alike is contracted, not paired; the tables of all steps go with the stage."""
+    written, write = [], tables.Stored.__init__
+    monkeypatch.setattr(tables.Stored, "__init__", lambda self, df, name: write(self, df, name) or written.append((name, self)))
+    counts = {}
+    drop = tables.Stored.drop
+    monkeypatch.setattr(tables.Stored, "drop", lambda self: counts.update({self.path: self.df.count()}) or drop(self))
+    rng, words = random.Random(6), vocabulary(4000, 5)
+    base = [rng.choice(words) for _ in range(200)]
+    texts = []
+    for _ in range(300):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            copy[rng.randrange(200)] = rng.choice(words)
+        texts.append(" ".join(copy))
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    kept = {r.doc_id for r in similar.without_near_duplicates(documents(spark, texts)).collect()}
+    assert kept == set(components(pairs, range(len(texts))).values())
+    left = {name for name, table in written if Path(table.path.removeprefix("file:")).exists()}
+    assert left == {"edges"}
+    assert counts and sum(counts[t.path] for name, t in written if name.endswith("-pairs")) < len(texts) ** 2 / 4
+
+
 def test_similar_texts_of_nothing_and_repeated_rows(spark):
     assert similar.without_near_duplicates(documents(spark, [])).count() == 0
     same = documents(spark, ["one two three four five six"] * 4, [3, 3, None, 8])
